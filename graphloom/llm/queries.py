@@ -35,6 +35,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_chat
+
+    return format_chat(table(spark, sf_dir, "conversations")).withColumn("violations", F.array_join("violations", ","))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_main_text
 
@@ -101,5 +107,26 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+#: Messages, calls and results with their links; no conversation here depends on calls.
+OP3_SQL = """
+WITH m AS (SELECT *, CASE WHEN role = 'assistant' AND ltrim(text, ' ') LIKE '{%' AND contains(text, '"tool_calls"') THEN TRY_CAST(text AS JSON) END AS call,
+                  CASE WHEN role IN ('tool', 'function') AND ltrim(text, ' ') LIKE '{%' THEN TRY_CAST(text AS JSON) END AS result FROM conversations),
+e AS (SELECT conv_id, turn, 0 AS item, CASE WHEN result ->> 'tool_call_id' IS NOT NULL THEN 'result' ELSE 'message' END AS kind, role, result ->> 'tool_call_id' AS call_id, result -> 'content' AS value, NULL AS name, CASE WHEN json_array_length(call -> 'tool_calls') > 0 THEN call ->> 'content' ELSE text END AS content FROM m
+      UNION ALL
+      SELECT conv_id, turn, i, 'call', role, call ->> ('$.tool_calls[' || (i - 1) || '].id'), call -> ('$.tool_calls[' || (i - 1) || '].arguments'), call ->> ('$.tool_calls[' || (i - 1) || '].name'), NULL
+      FROM (SELECT *, unnest(range(1, coalesce(CAST(json_array_length(call -> 'tool_calls') AS BIGINT), 0) + 1)) AS i FROM m)),
+c AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM e WHERE kind = 'call' AND call_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT conv_id, call_id, max(turn) AS answer_turn FROM e WHERE kind = 'result' GROUP BY ALL)
+SELECT e.conv_id, e.turn, CAST(item AS INTEGER) AS item, kind, role, e.call_id,
+  CASE WHEN kind = 'message' THEN e.turn ELSE coalesce(call_turn, e.turn) END AS anchor,
+  CAST(CASE WHEN kind = 'call' THEN 1 WHEN kind = 'result' AND call_turn IS NOT NULL THEN 2 ELSE 0 END AS INTEGER) AS level,
+  CASE WHEN kind = 'call' THEN CASE WHEN answer_turn >= call_turn THEN 'linked' ELSE 'unanswered' END
+       WHEN kind = 'result' THEN CASE WHEN call_turn IS NULL THEN 'orphan' WHEN e.turn < call_turn THEN 'early' ELSE 'linked' END ELSE 'plain' END AS status,
+  '' AS violations,
+  CAST(CASE kind WHEN 'call' THEN to_json({'arguments': value, 'id': e.call_id, 'name': name, 'type': 'tool_call'}) WHEN 'result' THEN to_json({'content': value, 'role': role, 'tool_call_id': e.call_id}) ELSE to_json({'content': content, 'role': role}) END AS VARCHAR) AS json
+FROM e LEFT JOIN c ON e.conv_id = c.conv_id AND e.call_id = c.call_id LEFT JOIN r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL}
