@@ -66,3 +66,22 @@ def text_or_empty(column: str = "text") -> Column:
 def crc_mod(key: Column | str, modulus: int) -> Column:
     """crc32 of a key written as text, modulo ``modulus``."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus
+
+
+#: Rows of a narrow table up to which it is broadcast (some 50 MB at most).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has been counted and is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def row_hash() -> Column:
+    """Tells rows of one doc_id apart by their text."""
+    return F.xxhash64(text_or_empty())
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Rows with the same doc_id (null equals null) and the same text_hash."""
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_hash"] == right["text_hash"])

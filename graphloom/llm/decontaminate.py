@@ -24,12 +24,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_or_empty, written
+from .common import lower_ascii, row_hash, small, text_or_empty, written
 
 #: Words of a window, and of the hashed grams within it.
 WINDOW, GRAM = 13, 5
-#: Rows up to which a side is broadcast (some 50 MB at most).
-BROADCAST_ROWS = 500_000
 #: A document is contaminated if one in so many of its words is hit.
 SHARE = 20
 
@@ -69,11 +67,6 @@ def _kept(hashes: Column, window: int, gram: int, short: list[int]) -> Column:
     return _let(hashes, lambda h: F.concat(_winnowed(h, window, gram), *[F.array_distinct(_grams(h, m, m)) for m in short]))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it has been counted and is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, items, contaminated.
 
@@ -95,13 +88,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     marks = items.withColumn("hashes", hashed("words")).select(F.explode(F.when(F.size("words") >= window, _winnowed(F.col("hashes"), window, gram)).otherwise(F.array(_whole(F.col("hashes"), short)))).alias("mark")).distinct()
     marks = written(marks, "benchmark-marks")
 
-    source = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    source = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", row_hash())
     kept = source.select("doc_id", "text_hash", words_of(F.col("text")).alias("words")).withColumn("hashes", hashed("words")).select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), _kept(F.col("hashes"), window, gram, short).alias("kept"))
     kept = written(kept, "document-marks")
-    hits = kept.select("doc_id", "text_hash", F.explode("kept").alias("mark")).join(_small(marks), "mark").groupBy("doc_id", "text_hash").agg(F.collect_set("mark").alias("marks"))
+    hits = kept.select("doc_id", "text_hash", F.explode("kept").alias("mark")).join(small(marks), "mark").groupBy("doc_id", "text_hash").agg(F.collect_set("mark").alias("marks"))
     hits = written(hits, "document-hits").withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
 
-    suspects = source.join(_small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
+    suspects = source.join(small(hits), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
     suspects = suspects.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "marks", words_of(F.col("text")).alias("words")).withColumn("hashes", hashed("words"))
     # starts of all windows that may be shared: those around each gram that hit
     last = F.size("words") - window
@@ -114,12 +107,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         own = F.when(F.size("words") >= m, F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0))), lambda i, m=m: F.array_contains("marks", _gram(F.col("hashes"), i, m, m))), lambda i, m=m: F.struct(i.alias("at"), F.lit(m).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
         spans = F.concat(spans, own)
     spelled = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))
-    shared = suspects.select("doc_id", "text_hash", F.explode(spelled).alias("s")).select("doc_id", "text_hash", "s.*").join(_small(windows), "window")
+    shared = suspects.select("doc_id", "text_hash", F.explode(spelled).alias("s")).select("doc_id", "text_hash", "s.*").join(small(windows), "window")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     found = shared.groupBy("doc_id", "text_hash").agg(F.size(covered).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     found = written(found, "contaminated").withColumnRenamed("doc_id", "hit_id").withColumnRenamed("text_hash", "hit_hash")
 
-    rows = kept.select("doc_id", "text_hash", "n_words").join(_small(found), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    rows = kept.select("doc_id", "text_hash", "n_words").join(small(found), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import row_hash, text_or_empty, written
 from .components import components
 
 #: Differing bits at which two fingerprints are linked, and words of a shingle.
@@ -56,15 +56,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
+    """doc_id, text_hash and fp (the 64 bits as a long) of every row."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = np.array([fingerprint(t, shingle) for t in batch.text], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch.doc_id, "fp": bits})
+            yield batch[["doc_id", "text_hash"]].assign(fp=bits)
 
-    rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, "doc_id decimal(20,0), fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
+    rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), text_or_empty().alias("text"), row_hash().alias("text_hash"))
+    return rows.mapInPandas(run, "doc_id decimal(20,0), text_hash long, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "fp")
 
 
 def _ball(bits: int, radius: int) -> np.ndarray:
@@ -189,7 +189,10 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id reachable).
+    """One row per document: doc_id, text_hash, fp, component, component_id.
+
+    ``component`` is the least fingerprint of the component and ``component_id``
+    the smallest doc_id reachable.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any
     other.  Repeated rows each give a row.  A null doc_id is never a component
@@ -201,8 +204,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     groups = components(link_fingerprints(nodes, radius)).withColumnRenamed("node", "fp")
     labelled = nodes.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    lookup = labelled.join(least, "component").select("fp", "component_id")
-    return marked.join(lookup, "fp").select("doc_id", "fp", "component_id")
+    lookup = labelled.join(least, "component").select("fp", "component", "component_id")
+    return marked.join(lookup, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def fp_hex(fp: Column) -> Column:

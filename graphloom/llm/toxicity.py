@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_or_empty, written
+from .common import crc_mod, row_hash, text_or_empty, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4096
@@ -225,7 +225,7 @@ def _ratio(a: str, b: str, n: str, m: str) -> str:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence.
+    """One row per document: doc_id, text_hash, held_out, score, predicted, evidence.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  Labels are learnt
     only from rows whose crc32(doc_id as text) modulo ``folds`` is not
@@ -254,9 +254,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     kept = [r.term for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
     vocabulary = {t: i for i, t in enumerate(sorted(kept))}
 
-    exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text")
-    vectors = exact.mapInPandas(lambda it: _vectors(vocabulary, it), "doc_id decimal(20,0), terms array<int>, counts array<int>")
-    vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "terms", "counts"), "toxicity-vectors")
+    exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), row_hash().alias("text_hash"), "text")
+    vectors = exact.mapInPandas(lambda it: _vectors(vocabulary, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
+    vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "terms", "counts"), "toxicity-vectors")
 
     total = vectors.count()
     seen = {r.term: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
@@ -280,9 +280,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
                 s, voters = model.score(np.asarray(terms, np.int64), np.asarray(counts, float)) if model else (0.0, [])
                 score.append(min(max(s, 0.0), 1.0))
                 evidence.append([{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for i, c in voters])
-            yield batch[["doc_id"]].assign(score=score, evidence=evidence)
+            yield batch[["doc_id", "text_hash"]].assign(score=score, evidence=evidence)
 
-    scored = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "terms", "counts").mapInPandas(run, "doc_id decimal(20,0), score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    scored = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts").mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
     key = F.col("doc_id").cast("long")
     held_out = F.coalesce(crc_mod(key, folds) == held_out_fold, F.lit(False))
-    return scored.select(key.alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
