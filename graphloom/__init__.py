@@ -1 +1 @@
-
+"""RDF graph and dataset analytics on Spark DataFrames."""
