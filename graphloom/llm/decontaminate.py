@@ -99,13 +99,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     # starts of all windows that may be shared: those around each gram that hit
     last = F.size("words") - window
     around = F.array_distinct(F.flatten(F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("words") - gram), lambda i: F.array_contains("marks", _gram(F.col("hashes"), i, gram, window))),
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - gram, F.lit(0))), lambda i: F.array_contains("marks", _gram(F.col("hashes"), i, gram, window))),
         lambda i: F.sequence(F.greatest(i - (window - gram), F.lit(0)), F.least(i, last)),
     )))
     spans = F.when(last >= 0, F.transform(around, lambda i: F.struct(i.alias("at"), F.lit(window).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
     for m in short:
-        own = F.when(F.size("words") >= m, F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0))), lambda i, m=m: F.array_contains("marks", _gram(F.col("hashes"), i, m, m))), lambda i, m=m: F.struct(i.alias("at"), F.lit(m).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
-        spans = F.concat(spans, own)
+        spans = F.concat(spans, _whole_hits(m))
     spelled = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.array_join(F.slice("words", s["at"] + 1, s["n"]), " ").alias("window")))
     shared = suspects.select("doc_id", "text_hash", F.explode(spelled).alias("s")).select("doc_id", "text_hash", "s.*").join(small(windows), "window")
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "n")), lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
@@ -117,6 +116,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return rows.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def _whole_hits(m: int) -> Column:
+    """Where grams of ``m`` words may be short items, for rows with words, hashes and marks."""
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("words") - m, F.lit(0))), lambda i: F.array_contains("marks", _gram(F.col("hashes"), i, m, m)))
+    return F.when(F.size("words") >= m, F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(m).alias("n")))).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+
+
 def _whole(hashes: Column, short: list[int]) -> Column:
     """The hash of a whole short item."""
     out = F.lit(None).cast("bigint")

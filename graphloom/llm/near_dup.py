@@ -93,7 +93,7 @@ def _spanning(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(i, int(k)) for i, k in enumerate(label) if k != i]
 
 
-def _verify(radius: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(radius: int, most: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows sorted by (point, fp): links of small runs, and the members of large ones."""
     held_key, held = None, []  # the last run, which may go on; None in ``held`` once it is large
 
@@ -106,7 +106,7 @@ def _verify(radius: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFra
         yield pd.DataFrame({"a": a[ok].view(np.int64), "b": b[ok].view(np.int64)})
         for start, k in zip(cuts[:-1][size > 2], size[size > 2], strict=True):
             run = fps[start : start + k]
-            if k > SMALL:
+            if k > most:
                 yield large(run)
             else:
                 links = np.array(_spanning(run, radius), int).reshape(-1, 2)
@@ -132,7 +132,7 @@ def _verify(radius: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFra
         if tail:
             yield from small(keys[:tail], fps[:tail])
         held_key, held = keys[-1], fps[tail:]
-        if len(held) > SMALL:
+        if len(held) > most:
             yield large(held)
             held = None
     if held is not None and len(held):
@@ -173,14 +173,14 @@ def _stars(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, head = keys[-1], heads[-1]
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """Links (a, b) whose components are those of all pairs within ``radius`` bits.
 
     ``fps`` has one row per distinct fingerprint.  ``radius`` is a multiple of 4.
     """
     points = fps.select("fp", F.explode(_half_points(radius)).alias("point"))
     # a point with a single fingerprint links nothing; sorted runs are read as a stream
-    met = points.repartition("point").sortWithinPartitions("point", "fp").mapInPandas(lambda it: _verify(radius, it), "a long, b long")
+    met = points.repartition("point").sortWithinPartitions("point", "fp").mapInPandas(lambda it: _verify(radius, small, it), "a long, b long")
     met = written(met, "simhash-links")
     balls = met.where("b is null").select(F.col("a").alias("fp")).distinct().repartition("fp").mapInPandas(lambda it: _whole_balls(radius, it), "point long, a long, b long")
     balls = written(balls, "simhash-balls")

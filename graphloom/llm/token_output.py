@@ -38,7 +38,7 @@ HEAD = struct.Struct("<4sHHIII")
 #: Ids after which a block is closed at the next end of a document.
 BLOCK_IDS = 1 << 19
 #: Most lanes of a block, and the ids a lane has at least.
-LANES, LANE_IDS = 2048, 64
+LANES, LANE_IDS = 2048, 256
 #: Total weight of the order-0 counts, and steps between their renewals.
 BASE, RENEW = 1 << 20, 16
 _CONF, _HASH = 16, 17
