@@ -74,8 +74,11 @@ def triplify(df: DataFrame, spec: ClassSpec, graph: str | None = None) -> DataFr
         dt = F.lit(KINDS[prop.kind]) if prop.language is None else F.lit("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString")
         return term(prop.predicate, LITERAL, lexical(value, prop.kind), dt, F.lit(prop.language).cast("string"))
 
+    def each(prop: Property) -> Column:
+        return F.transform(prop.column, lambda v: of(prop, v))
+
     singles = F.array(term(TYPE, IRI, F.lit(spec.iri)), *[of(p, F.col(p.column)) for p in spec.properties if not p.many])
-    every = F.concat(singles, *[F.coalesce(F.transform(p.column, lambda v, p=p: of(p, v)), F.array()) for p in spec.properties if p.many]) if any(p.many for p in spec.properties) else singles
+    every = F.concat(singles, *[F.coalesce(each(p), F.array()) for p in spec.properties if p.many]) if any(p.many for p in spec.properties) else singles
     rows = df.where(F.col(spec.key).isNotNull()).select(_filled(spec.template, F.col(spec.key)).alias("s"), F.explode(F.filter(every, lambda t: t["o"].isNotNull())).alias("t"))
     return rows.select(F.lit(IRI if graph else None).cast("byte").alias("g_kind"), F.lit(graph).cast("string").alias("g"), F.lit(IRI).cast("byte").alias("s_kind"), "s", "t.*").select(*COLUMNS)
 
