@@ -592,3 +592,22 @@ def iri_resolve(spark, d):
 @query("SELECT page_id, '/b/' || page_id AS relative FROM pages")
 def iri_relativize(spark, d):
     return read(spark, d, "pages").select("page_id", I.relativize(F.concat(F.lit("http://a.example/b/"), F.col("page_id").cast("string")), F.lit("http://a.example/xlonger/y")).alias("relative"))
+
+
+# --- documents ---------------------------------------------------------------
+
+
+@query(f"SELECT {ALL} FROM q", "customer", "part")
+def turtle_roundtrip(spark, d):
+    """Written as Turtle documents and read back."""
+    from ..sources import turtle
+
+    q = quads(spark, d, "customer", "part")
+    return turtle.parse_documents(turtle.documents(q, {"v": V, "c": BASE + "customer/", **I.PREFIXES}), graphs=False)
+
+
+@query(f"SELECT {ALL} FROM q", "customer", "nation", "events", graphs=True)
+def trig_roundtrip(spark, d):
+    from ..sources import turtle
+
+    return turtle.parse_documents(turtle.documents(quads(spark, d, "customer", "nation", "events", graphs=True), {"v": V}))
