@@ -611,3 +611,18 @@ def trig_roundtrip(spark, d):
     from ..sources import turtle
 
     return turtle.parse_documents(turtle.documents(quads(spark, d, "customer", "nation", "events", graphs=True), {"v": V}))
+
+
+@query(f"SELECT {ALL} FROM q", "customer", "part", graphs=True)
+def jsonld_roundtrip(spark, d):
+    """Written as node objects, one per line, and read back."""
+    from ..sources import jsonld
+
+    return jsonld.parse_documents(jsonld.documents(quads(spark, d, "customer", "part", graphs=True)).withColumn("doc", F.lit("d")))
+
+
+@query(f"SELECT {ALL} FROM q", "supplier", "nation")
+def rdfxml_roundtrip(spark, d):
+    from ..sources import rdfxml
+
+    return rdfxml.parse_documents(rdfxml.documents(quads(spark, d, "supplier", "nation")))
