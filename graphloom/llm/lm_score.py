@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 #: Tokens of a block (it closes at the end of the text that fills it), and n-grams aimed at in a bucket.
-BLOCK_TOKENS, BUCKET_GRAMS = 4_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_GRAMS = 1_500_000, 2_000_000
 #: Length of the n-grams, and what is taken off each count.
 ORDER, DISCOUNT = 2, 0.75
 #: A context with over 1/HEAVY of all tokens is split into SPLIT buckets.

@@ -36,6 +36,8 @@ TERMS, LEAST_RATIO = 4096, 25.0
 K, BLOCK = 15, 64
 #: Sample rows of each class that the calibration is fitted on, and its pull towards none.
 CALIBRATION, RIDGE = 1000, 1.0
+#: Rows that one task scores.
+DEAL_ROWS = 4000
 _CACHE_WORDS = 500_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -50,6 +52,44 @@ def terms_of(token: str) -> set[str]:
     return out
 
 
+def distinct_terms(counted: list[tuple[str, int, int]]) -> list[str]:
+    """One of all terms that always come together.
+
+    A word and the grams within it, or grams that overlap in all but a letter,
+    are the same evidence if as many documents of each class hold them.  The
+    gram inside the word is kept before one at its edge and before the word, as
+    it also meets other forms.
+    """
+    counts = {t: (b, x) for t, b, x in counted}
+    root = {t: t for t in counts}
+
+    def top(t: str) -> str:
+        while root[t] != t:
+            root[t] = t = root[root[t]]
+        return t
+
+    def link(a: str, b: str) -> None:
+        if b in counts and counts[a] == counts[b]:
+            root[top(a)] = top(b)
+
+    heads: dict[str, list[str]] = {}
+    for t in counts:
+        if t.endswith("*"):
+            heads.setdefault(t[:4], []).append(t)
+    for t in counts:
+        if t.endswith("*"):
+            for other in heads.get(t[1:5], []):
+                link(t, other)
+        else:
+            for gram in terms_of(t):
+                link(t, gram)
+    best: dict[str, str] = {}
+    rank = lambda t: (not t.endswith("*"), "^" in t or "$" in t, t)
+    for t in counts:
+        best[top(t)] = min(best.get(top(t), t), t, key=rank)
+    return sorted(best.values())
+
+
 class BlockMaxIndex:
     """Unit vectors in blocks, with the greatest weight of each term in each block."""
 
@@ -75,10 +115,11 @@ class BlockMaxIndex:
 
         Ties go to the row that comes first in the index; ``skip`` is left out.
         """
-        bound = np.zeros(self.blocks)
-        spans = [(self.term_run[t], self.term_run[t + 1], w) for t, w in zip(terms.tolist(), weights.tolist(), strict=True)]
-        for a, b, w in spans:
-            bound[self.run_block[a:b]] += w * self.run_most[a:b]
+        begin, n = self.term_run[terms], self.term_run[terms + 1] - self.term_run[terms]
+        runs = np.arange(n.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n)  # (term, block) lists of the query
+        blocks, power = self.run_block[runs], np.repeat(weights, n)
+        bound = np.bincount(blocks, power * self.run_most[runs], self.blocks)
+        slot_of = np.full(self.blocks, -1)
         todo = np.flatnonzero(bound > 0)
         todo = todo[np.argsort(-np.round(bound[todo], 12), kind="stable")]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
@@ -90,15 +131,14 @@ class BlockMaxIndex:
                 if top < last - 1e-11 or (top <= last + 1e-11 and todo[i] * self.block > place):
                     break
             group = np.sort(todo[i : i + step])
-            i, step = i + step, min(2 * step, 64)
-            score = np.zeros(len(group) * self.block)
-            for a, b, w in spans:
-                blocks = self.run_block[a:b]
-                where = np.searchsorted(blocks, group)
-                for slot, r in enumerate(where.tolist()):
-                    if r < len(blocks) and blocks[r] == group[slot]:
-                        lo, hi = self.run[a + r], self.run[a + r + 1]
-                        score[self.at[lo:hi] - group[slot] * self.block + slot * self.block] += w * self.weights[lo:hi]
+            i, step = i + step, min(4 * step, 1024)
+            slot_of[group] = np.arange(len(group))
+            wanted = np.flatnonzero(slot_of[blocks] >= 0)
+            first, size = self.run[runs[wanted]], self.run[runs[wanted] + 1] - self.run[runs[wanted]]
+            postings = np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+            at = np.repeat(slot_of[blocks[wanted]] * self.block, size) + self.at[postings] % self.block
+            score = np.bincount(at, np.repeat(power[wanted], size) * self.weights[postings], len(group) * self.block)
+            slot_of[group] = -1
             hit = np.flatnonzero(score > 0)
             place = group[hit // self.block] * self.block + hit % self.block
             if skip >= 0:
@@ -251,7 +291,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     counted = train.mapInPandas(_term_counts, "term string, benign long, toxic long").groupBy("term").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
     n = {label: max(1, sum(x[1] == label for x in picked)) for label in (0, 1)}
     ranked = counted.where("toxic + benign >= 3").withColumn("ratio", F.expr(_ratio("toxic", "benign", f"{n[1]}D", f"{n[0]}D"))).where(F.col("ratio") >= LEAST_RATIO)
-    kept = [r.term for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
+    kept = distinct_terms([(r.term, r.benign, r.toxic) for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()])
     vocabulary = {t: i for i, t in enumerate(sorted(kept))}
 
     exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), row_hash().alias("text_hash"), "text")
@@ -282,7 +322,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
                 evidence.append([{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for i, c in voters])
             yield batch[["doc_id", "text_hash"]].assign(score=score, evidence=evidence)
 
-    scored = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts").mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    # the vectors are few bytes but much work: deal them evenly
+    dealt = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts").repartition(max(8, total // DEAL_ROWS))
+    scored = dealt.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
     key = F.col("doc_id").cast("long")
     held_out = F.coalesce(crc_mod(key, folds) == held_out_fold, F.lit(False))
     return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
