@@ -257,6 +257,16 @@ def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Ite
         yield batch.drop(columns=["text"]).assign(terms=terms, counts=counts)
 
 
+def _document_counts(n_terms: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents that hold each term, summed within the task."""
+    seen = np.zeros(n_terms, np.int64)
+    for batch in batches:
+        if len(batch):
+            seen += np.bincount(np.concatenate(batch.terms.to_list()).astype(np.int64), minlength=n_terms)
+    held = np.flatnonzero(seen)
+    yield pd.DataFrame({"term": held, "n": seen[held]})
+
+
 def _ratio(a: str, b: str, n: str, m: str) -> str:
     """SQL for the likelihood ratio (2 ln) of a of n against b of m, rates smoothed by half a row."""
     p, q, r = f"(({a} + 0.5) / ({n} + 1))", f"(({b} + 0.5) / ({m} + 1))", f"(({a} + {b} + 0.5) / ({n} + {m} + 1))"
@@ -299,7 +309,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "terms", "counts"), "toxicity-vectors")
 
     total = vectors.count()
-    seen = {r.term: r["count"] for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}
+    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(len(vocabulary), it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = {r.term: r.n for r in summed.collect()}  # a row per kept term
     idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
     examples = vectors.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("terms", "counts")).alias("v")).orderBy("doc_id").collect()
     as_arrays = [(np.array(r.v.terms, np.int64), np.array(r.v.counts, float)) for r in examples]
