@@ -20,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,7 @@ class BlockMaxIndex:
         runs = np.arange(n.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n)  # (term, block) lists of the query
         blocks, power = self.run_block[runs], np.repeat(weights, n)
         bound = np.bincount(blocks, power * self.run_most[runs], self.blocks)
-        slot_of = np.full(self.blocks, -1)
+        wanted_block = np.zeros(self.blocks, bool)
         todo = np.flatnonzero(bound > 0)
         todo = todo[np.argsort(-np.round(bound[todo], 12), kind="stable")]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
@@ -130,21 +131,21 @@ class BlockMaxIndex:
                 top = bound[todo[i]]
                 if top < last - 1e-11 or (top <= last + 1e-11 and todo[i] * self.block > place):
                     break
-            group = np.sort(todo[i : i + step])
+            group = todo[i : i + step]
             i, step = i + step, min(4 * step, 1024)
-            slot_of[group] = np.arange(len(group))
-            wanted = np.flatnonzero(slot_of[blocks] >= 0)
+            wanted_block[group] = True
+            wanted = np.flatnonzero(wanted_block[blocks])
             first, size = self.run[runs[wanted]], self.run[runs[wanted] + 1] - self.run[runs[wanted]]
             postings = np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            at = np.repeat(slot_of[blocks[wanted]] * self.block, size) + self.at[postings] % self.block
-            score = np.bincount(at, np.repeat(power[wanted], size) * self.weights[postings], len(group) * self.block)
-            slot_of[group] = -1
-            hit = np.flatnonzero(score > 0)
-            place = group[hit // self.block] * self.block + hit % self.block
+            score = np.bincount(self.at[postings], np.repeat(power[wanted], size) * self.weights[postings], len(self.order))
+            wanted_block[group] = False
+            place = np.flatnonzero(score > 0)
             if skip >= 0:
-                keep = self.order[place] != skip
-                hit, place = hit[keep], place[keep]
-            best_at, best = np.concatenate((best_at, place)), np.concatenate((best, np.round(score[hit], 12)))
+                place = place[self.order[place] != skip]
+            best_at, best = np.concatenate((best_at, place)), np.concatenate((best, np.round(score[place], 12)))
+            if len(best) > 4 * k:  # only what reaches the k-th best is sorted
+                keep = best >= np.partition(best, len(best) - k)[len(best) - k]
+                best_at, best = best_at[keep], best[keep]
             sort = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[sort], best[sort]
         return self.order[best_at], best
@@ -248,9 +249,7 @@ def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Ite
     for batch in batches:
         terms, counts = [], []
         for text in batch.text:
-            met: Counter = Counter()
-            for found in filter(None, map(ids.__getitem__, text.lower().split())):
-                met.update(found)
+            met = Counter(chain.from_iterable(map(ids.__getitem__, text.lower().split())))
             keys = sorted(met)
             terms.append(keys)
             counts.append([met[t] for t in keys])
