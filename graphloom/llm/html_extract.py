@@ -8,30 +8,36 @@ differs, runs that repeat become a repeated group, what only one side has
 becomes an optional group, and texts become a slot.  A slot whose text never
 changes over different pages is part of the template; one inside a menu, an
 advert, a form or reader comments is not article either.  The wrapper then
-labels the texts of every page of the host.  A page that its host's wrapper
-does not fit is its own wrapper of one page.
-
-The wrapper of a host is inferred from ``SAMPLE`` different pages at most, the
-ones of least hash in as many classes, so a host with a third of all pages
-costs no more than another.
+labels the texts of every page of the host.  A page of which it keeps nothing
+is its own wrapper of one page.
+
+All pages of a host teach.  They are reduced to their symbol sequences, distinct
+ones per host are counted, and the wrappers are widened in rounds: of the
+sequences that don't fit yet, up to ``PICKED`` a host (twice as many each round,
+``PICKED_MOST`` at most) are aligned, until every sequence fits.  A round bounds
+what one task aligns, not what is learnt.  The votes and texts of the slots are
+then summed over all different pages, so a host with a third of all pages is
+never one task's work.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Pages of a host that its wrapper is inferred from, and the longest repeated run looked for.
-SAMPLE, LONGEST_RUN = 12, 16
+#: Sequences of a host that the first round aligns, and that any round aligns at most.
+PICKED, PICKED_MOST = 64, 1024
 #: Wrappers up to which they are broadcast, and parts that pages are dealt in beyond.
 BROADCAST_ROWS, SALTS = 20_000, 32
 
@@ -128,8 +134,16 @@ def labels_of(stream: list[tuple[str, str]]) -> list[str]:
 
 def fold(symbols: list) -> list:
     """Runs that repeat become repeated groups, the shortest first, until none is left."""
-    out, period = list(symbols), 1
-    while period <= min(LONGEST_RUN, len(out) // 2):
+    out, period, ids = list(symbols), 1, None
+    while period <= len(out) // 2:
+        if period > 1:
+            if ids is None:
+                names: dict[str, int] = {}
+                ids = np.array([names.setdefault(_key(n), len(names)) for n in out])
+            apart = np.flatnonzero(np.concatenate(([True], ids[:-period] != ids[period:], [True])))
+            if (np.diff(apart) <= period).all():  # nothing repeats at this distance
+                period += 1
+                continue
         i, new, changed = 0, [], False
         while i < len(out):
             unit, n = out[i : i + period], 1
@@ -145,6 +159,8 @@ def fold(symbols: list) -> list:
             else:
                 new.append(out[i])
                 i += 1
+        if changed:
+            ids = None
         out, period = new, 1 if changed else period + 1
     return out
 
@@ -215,60 +231,86 @@ def _slots_in(nodes: list) -> int:
     return sum(_slots_in(n[1]) if isinstance(n, list) else n == TEXT for n in nodes)
 
 
-def fit(wrapper: list, symbols: list[str]) -> list[int] | None:
-    """The slot of each text of a page, or None where the wrapper doesn't fit."""
-    slots: list[int] = []
-    end = _fit(wrapper, symbols, 0, 0, slots)
-    return slots if end and end[0] == len(symbols) else None
+class Matcher:
+    """Fits pages to a wrapper: greedily, and where that fails by all ways at once."""
 
+    def __init__(self, wrapper: list) -> None:
+        self.wrapper = wrapper
+        self.code: list[tuple] = []  # (symbol, slot), or (None, first choice, second choice)
+        self.after: dict[int, dict[str | None, list[int]]] = {}
 
-def infer(pages: list[str]) -> dict:
-    """Wrapper and slot labels for different pages of one host.
+    def slots(self, symbols: list[str]) -> list[int] | None:
+        """The slot of each text of a page, or None where the wrapper doesn't fit."""
+        slots: list[int] = []
+        end = _fit(self.wrapper, symbols, 0, 0, slots)
+        return slots if end and end[0] == len(symbols) else self._exact(symbols)
 
-    A slot is kept if most of the texts that it takes are in an article, or - on
-    pages that have none - outside what surrounds articles and not the same on
-    every page.
-    """
-    streams = [tokens(p) for p in pages]
-    plain = [[s for s, _ in t if s != " "] for t in streams]
-    wrapper: list = []
-    for symbols in plain:
-        if wrapper and fit(wrapper, symbols) is not None:
-            continue
-        folded = fold(symbols)
-        wrapper = align(wrapper, folded) if wrapper else folded
-    votes: dict[int, list[int]] = {}
-    texts: dict[int, list[str]] = {}
-    inside: set[int] = set()
-    for stream, symbols in zip(streams, plain, strict=True):
-        slots = fit(wrapper, symbols)
-        if slots is None:
-            continue
-        labels = labels_of(stream)
-        best = "main" if "main" in labels else "?"
-        for slot, label, text in zip(slots, labels, (x for s, x in stream if s == TEXT), strict=True):
-            votes.setdefault(slot, []).append(label == best)
-            texts.setdefault(slot, []).append(text)
-            if label == "main":
-                inside.add(slot)
-    keep = []
-    for slot, v in votes.items():
-        fixed = len(texts[slot]) > 2 and len(set(texts[slot])) == 1
-        if sum(v) * 2 > len(v) and (slot in inside or not fixed):
-            keep.append(slot)
-    return {"wrapper": wrapper, "keep": sorted(keep), "slots": sorted(votes)}
+    def _compile(self, nodes: list, slot: int) -> int:
+        for node in nodes:
+            if isinstance(node, str):
+                self.code.append((node, slot))
+                slot += node == TEXT
+                continue
+            start = len(self.code)
+            if node[0] == "?":
+                self.code.append(())
+                slot = self._compile(node[1], slot)
+                self.code[start] = (None, start + 1, len(self.code))
+            else:
+                slot = self._compile(node[1], slot)
+                self.code.append((None, start, len(self.code) + 1))
+        return slot
+
+    def _next(self, at: int) -> dict[str | None, list[int]]:
+        """Places that read a symbol next, by symbol and in the order of a greedy walk; None is the end."""
+        found = self.after.get(at)
+        if found is None:
+            found, todo, seen = {}, [at], set()
+            while todo:
+                i = todo.pop()
+                if i in seen:
+                    continue
+                seen.add(i)
+                if i == len(self.code):
+                    found.setdefault(None, []).append(i)
+                elif self.code[i][0] is None:
+                    todo += [self.code[i][2], self.code[i][1]]
+                else:
+                    found.setdefault(self.code[i][0], []).append(i)
+            self.after[at] = found
+        return found
+
+    def _exact(self, symbols: list[str]) -> list[int] | None:
+        if not self.code:
+            self._compile(self.wrapper, 0)
+        steps: list[dict[int, int]] = [{-1: -1}]  # place: the place read before it
+        for symbol in [*symbols, None]:
+            now: dict[int, int] = {}
+            for before in steps[-1]:
+                for place in self._next(before + 1).get(symbol, ()):
+                    now.setdefault(place, before)
+            if not now:
+                return None
+            steps.append(now)
+        place, slots = len(self.code), []
+        for step in reversed(steps[1:]):
+            if place < len(self.code) and self.code[place][0] == TEXT:
+                slots.append(self.code[place][1])
+            place = step[place]
+        return slots[::-1]
+
+
+def fit(wrapper: list, symbols: list[str]) -> list[int] | None:
+    """The slot of each text of a page, or None where the wrapper doesn't fit."""
+    return Matcher(wrapper).slots(symbols)
 
 
 def main_text(page: str | None, model: dict | None) -> tuple[str, bool]:
     """The article's text, and whether the wrapper fits the page."""
     stream = tokens(page or "")
     symbols = [s for s, _ in stream if s != " "]
-    slots = fit(model["wrapper"], symbols) if model else None
-    if slots is not None and set(slots) <= set(model["slots"]):
-        kept = set(model["keep"])
-        wanted = [s in kept for s in slots]
-    else:
-        slots, wanted = None, []
+    slots = model["matcher"].slots(symbols) if model else None
+    wanted = [s in model["keep"] for s in slots] if slots is not None else []
     if not any(wanted):  # no wrapper, or none of its slots: the page is its own wrapper
         labels = labels_of(stream)
         best = "main" if "main" in labels else "?"
@@ -288,9 +330,73 @@ def main_text(page: str | None, model: dict | None) -> tuple[str, bool]:
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks))), slots is not None
 
 
-def _infer_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    pages = [p for p in rows.sort_values("hash")["html"].tolist() if p]
-    return pd.DataFrame({"host": [key[0]], "model": [json.dumps(infer(pages))]})
+class _Matchers(dict):
+    """Matchers by the wrapper's JSON, kept while a task meets it."""
+
+    def __missing__(self, wrapper: str) -> Matcher:
+        if len(self) >= 1000:
+            self.clear()
+        self[wrapper] = made = Matcher(json.loads(wrapper))
+        return made
+
+
+def _sequences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Symbols of each page, and a hash of each of its texts."""
+    for batch in batches:
+        symbols, texts = [], []
+        for page in batch.html:
+            stream = tokens(page)
+            symbols.append(json.dumps([s for s, _ in stream if s != " "]))
+            texts.append([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for s, x in stream if s == TEXT])
+        yield batch[["host", "page"]].assign(symbols=symbols, texts=texts)
+
+
+def _widen(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The host's wrapper, if it has one, widened by the picked sequences."""
+    rows = rows.sort_values("hash")
+    known = rows["wrapper"].iloc[0]
+    matcher = Matcher(json.loads(known)) if isinstance(known, str) else None
+    for symbols in map(json.loads, rows["symbols"]):
+        if matcher is None:
+            matcher = Matcher(fold(symbols))
+        elif matcher.slots(symbols) is None:
+            matcher = Matcher(align(matcher.wrapper, fold(symbols)))
+    return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(matcher.wrapper)]})
+
+
+def _unfit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    matchers = _Matchers()
+    for batch in batches:
+        yield batch[[matchers[w].slots(json.loads(s)) is None for w, s in zip(batch.wrapper, batch.symbols, strict=True)]][["host", "symbols"]]
+
+
+def _votes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each slot, summed within the task: texts, votes to keep it, whether one is in an article, least and greatest text hash."""
+    matchers, seen, met = _Matchers(), {}, {}
+    columns = ["host", "slot", "n", "votes", "inside", "least", "most"]
+    for batch in batches:
+        for host, wrapper, symbols, texts in zip(batch.host, batch.wrapper, batch.symbols, batch.texts, strict=True):
+            if (host, symbols) not in met:
+                if len(met) >= 5000:
+                    met.clear()
+                names = json.loads(symbols)
+                labels = labels_of([(s, "") for s in names])
+                best = "main" if "main" in labels else "?"
+                met[host, symbols] = [(slot, x == best, x == "main") for slot, x in zip(matchers[wrapper].slots(names), labels, strict=True)]
+            for (slot, vote, inside), text in zip(met[host, symbols], texts, strict=True):
+                got = seen.get((host, slot))
+                if got is None:
+                    seen[host, slot] = [1, int(vote), inside, text, text]
+                else:
+                    got[0] += 1
+                    got[1] += vote
+                    got[2] |= inside
+                    got[3], got[4] = min(got[3], text), max(got[4], text)
+        if len(seen) > 200_000:
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=columns)
+            seen = {}
+    if seen:
+        yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=columns)
 
 
 def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,28 +407,55 @@ def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if model not in models:
                 if len(models) > 1000:
                     models = {None: None}
-                models[model] = json.loads(model)
+                parts = json.loads(model)
+                models[model] = {"matcher": Matcher(json.loads(parts["wrapper"])), "keep": set(parts["keep"])}
             out.append(main_text(page, models[model]))
         yield batch[["page_id", "url"]].assign(text=[t for t, _ in out], fits=[f for _, f in out])
 
 
+def _joined(rows: DataFrame, by_host: DataFrame, spread: str, how: str = "left") -> DataFrame:
+    """Rows with their host's row; where there are many hosts, dealt by host and the column ``spread``."""
+    if by_host.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(by_host), "host", how)
+    salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)
+
+
+def _wrappers(sequences: DataFrame) -> DataFrame:
+    """(host, wrapper): a wrapper for each host that fits all of its distinct sequences (host, symbols)."""
+    wrappers, left, classes = None, sequences, PICKED
+    while True:
+        hashed = left.withColumn("hash", F.xxhash64("symbols"))
+        picked = hashed.groupBy("host", F.pmod("hash", F.lit(classes)).alias("class")).agg(F.min("hash").alias("hash"), F.min_by("symbols", F.struct("hash", "symbols")).alias("symbols"))
+        picked = picked.withColumn("wrapper", F.lit(None).cast("string")) if wrappers is None else picked.join(wrappers, "host", "left")
+        grown = written(picked.groupBy("host").applyInPandas(_widen, "host string, wrapper string"), "wrappers")
+        wrappers = grown if wrappers is None else written(wrappers.join(grown, "host", "left_anti").unionByName(grown), "wrappers")
+        left = written(_joined(left, grown, "symbols", "inner").select("host", "symbols", "wrapper").mapInPandas(_unfit, "host string, symbols string"), "unfit-sequences")
+        if left.isEmpty():
+            return wrappers
+        classes = min(2 * classes, PICKED_MOST)
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of every page: page_id, url, text, fits (the host's wrapper fits).
 
     ``pages`` has page_id, url and html.  Null, empty and text-free pages give
     an empty text; a null or odd url belongs to the host "" ; repeated rows each
     give a row; an empty table gives none; other columns are ignored; pages of
-    any length are read whole.
+    any length are read whole.  A slot is kept if most of the texts that it takes
+    are in an article, or - on pages that have none - outside what surrounds
+    articles and not the same on every different page of the host.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("decimal(20,0)").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    hashed = rows.select("host", "html", F.xxhash64("html").alias("hash"))
-    sample = hashed.groupBy("host", F.pmod("hash", F.lit(SAMPLE)).alias("class")).agg(F.min("hash").alias("hash"), F.min_by("html", "hash").alias("html"))
-    models = written(sample.groupBy("host").applyInPandas(_infer_group, "host string, model string"), "wrappers")
-    if models.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(models), "host", "left")
-    else:
-        salted = models.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    read = rows.where("html <> ''").select("host", F.xxhash64("html").alias("page"), "html").mapInPandas(_sequences, "host string, page long, symbols string, texts array<long>")
+    read = written(read.where("symbols <> '[]'").dropDuplicates(["host", "page"]), "page-sequences")
+    wrappers = _wrappers(written(read.select("host", "symbols").distinct(), "host-sequences"))
+    counted = _joined(read, wrappers, "page").select("host", "wrapper", "symbols", "texts").mapInPandas(_votes, "host string, slot int, n long, votes long, inside boolean, least long, most long")
+    slots = counted.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("n", "votes")], F.max("inside").alias("inside"), F.min("least").alias("least"), F.max("most").alias("most"))
+    fixed = (F.col("n") > 2) & (F.col("least") == F.col("most"))
+    keep = slots.where((F.col("votes") * 2 > F.col("n")) & (F.col("inside") | ~fixed)).groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("keep"))
+    models = wrappers.join(keep, "host", "left").select("host", F.to_json(F.struct("wrapper", F.coalesce("keep", F.array().cast("array<int>")).alias("keep"))).alias("model"))
+    joined = _joined(rows, written(models, "wrappers"), "html")
     out = joined.select("page_id", "url", "html", "model").mapInPandas(_extract, "page_id decimal(20,0), url string, text string, fits boolean")
     return out.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", "fits")

@@ -256,6 +256,32 @@ def test_wrapper_grows_by_groups():
     assert html_extract.fit(w, ["x", "q", "y"]) is None
 
 
+def test_every_page_of_a_host_teaches(spark):
+    extra = lambda i: "".join(f"<h{k + 1}>s{i}</h{k + 1}>" for k in range(6) if i >> k & 1)
+    note = lambda i: "same" if i else "other"
+    rows = [(i, f"http://one.example/{i}", f"<body><div>{extra(i)}<p>text {i}</p><i>fixed</i><u>{note(i)}</u></div></body>") for i in range(64)]
+    pages = spark.createDataFrame(rows * 2, "page_id long, url string, html string")
+    found = {r.page_id: r for r in html_extract.extract_main_text(pages).collect()}
+    assert all(r.fits for r in found.values())
+    for i in range(64):
+        assert found[i].text == " ".join([f"s{i}"] * i.bit_count() + [f"text {i}", note(i)])
+
+
+def test_long_repeated_cards_are_folded():
+    card = ["div", *[x for k in range(12) for x in (f"t{k}", "", f"/t{k}")], "/div"]
+    w = html_extract.fold(["body", *card * 3, "/body"])
+    assert w == ["body", ["+", card], "/body"] and html_extract.fit(w, ["body", *card * 7, "/body"]) is not None
+
+
+def test_a_wrapper_fits_whatever_it_was_aligned_with():
+    rng = np.random.default_rng(4)
+    pages = [rng.choice(["a", "b", "", "c"], rng.integers(1, 14)).tolist() for _ in range(60)]
+    w = html_extract.fold(pages[0])
+    for p in pages[1:]:
+        w = html_extract.align(w, html_extract.fold(p))
+    assert all(len(html_extract.fit(w, p)) == p.count("") for p in pages)
+
+
 # --- chat --------------------------------------------------------------------
 
 
