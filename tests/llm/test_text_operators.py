@@ -301,3 +301,16 @@ def test_chat(spark):
     assert found.where("call_id = 'a' and kind = 'call'").first().json == '{"arguments":{"b":{"x":[1,null],"y":2},"z":1},"id":"a","name":"f","type":"tool_call"}'
     assert found.where("call_id = 'c'").first().violations == ["arguments:not an object"]
     assert chat_format.format_chat(chat.limit(0), schemas).count() == 0
+
+
+def test_long_chains_and_real_circles(spark):
+    call = lambda i, *needs: {"id": i, "name": "f", "arguments": {}, "depends_on": list(needs)}
+    chain = [call(f"c{i:02}", *([f"c{i + 1:02}"] if i < 39 else [])) for i in range(40)]
+    # two circles, x before p, a call between them, and calls ahead of and behind both
+    rings = [call("end", "q"), call("p", "q", "mid"), call("q", "p"), call("mid", "x"), call("x", "y"), call("y", "z"), call("z", "x", "first"), call("first"), call("self", "self")]
+    rows = [(1, 0, "assistant", json.dumps({"tool_calls": chain})), (2, 0, "assistant", json.dumps({"tool_calls": rings}))]
+    found = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    at = {r.call_id: (r.anchor, r.level) for r in found}
+    assert {r.call_id for r in found if r.status == "cyclic"} == {"p", "q", "x", "y", "z"}
+    assert [at[f"c{i:02}"] for i in range(40)] == [(0, 79 - 2 * i) for i in range(40)]
+    assert at["first"] < at["z"] and at["x"] < at["mid"] < at["p"] and at["q"] < at["end"]
