@@ -6,12 +6,13 @@ best bin first: a priority queue holds the open nodes by the inner product of
 the query with their centre, the best is opened, and leaves are visited in the
 order in which they come out.  How many leaves a query visits is calibrated:
 ``CALIBRATION`` queries are answered by brute force over all rows, and visits
-widen until the leaves hold ``recall`` of their true neighbours.
+widen until the leaves hold ``recall`` of their true neighbours.  A query whose
+leaves hold fewer than ``k + 1`` rows goes on until they do.
 
 Equal vectors are one node with the ``k + 1`` smallest ids it has, which is all
 that ties by smaller id can ask of it; equal queries are searched once.  A leaf
-is dealt in parts of ``PART`` vectors, so neither a common vector nor a dense
-region is one task's work.
+is dealt in parts of ``PART`` vectors and its queries in blocks of as many, so
+neither a common vector nor a dense or much-asked region is one task's work.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import written
 
 #: Numbers in the sample that the tree is fitted on, and its rows at most.
 SAMPLE_FLOATS, SAMPLE_ROWS = 4_000_000, 20_000
-#: Children of a node, vectors aimed at in a leaf, and vectors of one search task.
+#: Children of a node, vectors aimed at in a leaf, and vectors and queries of one search task.
 BRANCH, LEAF, PART = 16, 400, 4096
 #: Queries for the calibration and the recall it aims at.
 CALIBRATION, RECALL = 64, 0.97
@@ -69,13 +70,14 @@ class Tree:
             todo += [(kid, at[best == k]) for k, kid in enumerate(self.children[node]) if (best == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of a best-bin-first walk, ``most`` at most."""
-        heap, found = [(0.0, 0)], []
-        while heap and len(found) < most:
+    def visits(self, query: np.ndarray, least: int, held: dict[int, int] | None = None, enough: int = 0) -> list[int]:
+        """Leaves in the order of a best-bin-first walk: ``least`` of them, and on until they hold ``enough`` rows."""
+        heap, found, rows = [(0.0, 0)], [], 0
+        while heap and (len(found) < least or rows < enough):
             _, node = heapq.heappop(heap)
             if not self.children[node]:
                 found.append(node)
+                rows += held.get(node, 0) if held else 0
                 continue
             for kid, product in zip(self.children[node], self.matrix[node] @ query, strict=True):
                 heapq.heappush(heap, (-product, kid))
@@ -167,7 +169,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
                 yield batch.assign(leaf=shared.value.leaves_of(np.stack(batch.v.to_list())))
 
     placed = written(nodes.mapInPandas(route, "v array<double>, ids array<bigint>, node long, leaf long"), "ann-leaves")
-    sizes = {r.leaf: -(-r["count"] // PART) for r in placed.groupBy("leaf").count().where(F.col("count") > PART).collect()}
+    counted = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()  # a row per leaf of the tree
+    held = {r.leaf: r.ids for r in counted}
     asked = written(rows.where("q").select("vec_id", "v").distinct(), "ann-queries")
     # equal queries have one key; its vector is looked up by value, not by hash alone
     queries = asked.groupBy("v").agg(F.min("vec_id").alias("key"))
@@ -191,19 +194,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, v in zip(batch.key, batch.v, strict=True):
-                stops = [(leaf, part) for leaf in shared.value.visits(np.array(v), visits) for part in range(sizes.get(leaf, 1))]
-                yield pd.DataFrame({"key": key, "v": [v] * len(stops), "leaf": [s[0] for s in stops], "part": [s[1] for s in stops]})
+                stops = shared.value.visits(np.array(v), visits, held, k + 1)
+                yield pd.DataFrame({"key": key, "leaf": stops})
 
     def scan(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"key": [], "found": []})
+            return pd.DataFrame({"key": np.zeros(0, np.int64), "found": np.zeros(0, object)})
         lists = _best(np.stack(queries.v.to_list()), np.stack(rows.v.to_list()), rows.ids.to_list(), k + 1)
         return pd.DataFrame({"key": queries.key.to_numpy(), "found": [[{"score": s, "id": i} for s, i in x] for x in lists]})
 
-    stops = queries.mapInPandas(walk, "key long, v array<double>, leaf long, part int")
-    parts = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("leaf")] if sizes else F.lit(1)
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.coalesce(parts, F.lit(1))).cast("int"))
-    found = stops.groupBy("leaf", "part").cogroup(dealt.groupBy("leaf", "part")).applyInPandas(scan, f"key long, found {FOUND}")
+    stops = written(queries.mapInPandas(walk, "key long, leaf long"), "ann-stops")
+    asking = {r.leaf: r["count"] for r in stops.groupBy("leaf").count().collect()}
+    shares = F.broadcast(spark.createDataFrame([(r.leaf, -(-r.n // PART), -(-asking[r.leaf] // PART)) for r in counted if r.leaf in asking], "leaf long, parts int, blocks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
+    asks = stops.join(shares, "leaf").join(queries, "key").select("key", "v", "leaf", every("parts").alias("part"), share("key", "blocks").alias("block"))
+    dealt = placed.join(shares, "leaf").select("v", "ids", "leaf", share("node", "parts").alias("part"), every("blocks").alias("block"))
+    found = asks.groupBy("leaf", "part", "block").cogroup(dealt.groupBy("leaf", "part", "block")).applyInPandas(scan, f"key long, found {FOUND}")
     answers = asked.join(queries, "v").select("vec_id", "key").join(_merged(found, "key", k + 1), "key")
     ranked = answers.select(F.col("vec_id").alias("query_id"), F.slice(F.filter("found", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("found"))
     return ranked.select("query_id", F.posexplode("found").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_format, components, decontaminate, html_extract, lm_score, near_dup, secret_scan, toxicity
+from graphloom.llm import ann, chat_format, components, decontaminate, html_extract, lm_score, near_dup, secret_scan, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TEXTS = [None, "", "  \n", "One", "One two THREE four five six seven", "one two three four five six seven", "Été été x y", "a " * 3000, "a " * 3000, "lorem ipsum dolor sit amet " * 40 + "end"]
@@ -228,6 +228,27 @@ def test_toxicity_learns_and_generalises(spark):
     assert {r.score for r in toxicity.score_toxicity(docs.limit(5), known.limit(0)).collect()} == {0.0}
 
 
+# --- nearest neighbours ------------------------------------------------------
+
+
+@pytest.mark.parametrize("part", [50, 4096])
+def test_outliers_get_all_their_neighbours(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "PART", part)
+    rng = np.random.default_rng(2)
+    dense = np.repeat(np.eye(24)[:10], 300, axis=0) + rng.normal(0, 0.01, (3000, 24))
+    lone = rng.normal(0, 1, (40, 24)) * 4
+    vectors = np.concatenate((dense, lone[:, :] * (np.arange(24) > 11)))
+    is_query = (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 3000) | (F.col("vec_id") >= 3037)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found: dict[int, list[int]] = {}
+    for r in ann.search(rows, is_query).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    asked = [*range(0, 3000, 10), *range(3037, 3040)]
+    assert {i: len(found.get(i, [])) for i in asked} == dict.fromkeys(asked, 20)
+    right = sum(len({j for j in np.argsort(-(vectors @ vectors[i]), kind="stable")[:21].tolist() if j != i} & set(found[i])) for i in asked)
+    assert right >= 0.9 * 20 * len(asked)
+
+
 # --- pages -------------------------------------------------------------------
 
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul>{nav}</ul></nav><div class="ad">buy {n}</div><article><h1>Head {n}</h1>{paras}<div class="comments"><p>reader {n}</p></div></article><footer>&copy; {n}</footer></body></html>'
