@@ -25,8 +25,7 @@ def ids_crc32(ids: str) -> Column:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_token_files, write_token_files
 
-    docs = read_token_files(write_token_files(table(spark, sf_dir, "documents")))
-    return docs.select("doc_id", "start", "n_tokens", ids_crc32("ids").alias("ids_crc32"))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents")), with_ids=False)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,172 +30,189 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import small, text_or_empty, written
 from .tokens import default_vocabulary, encoder
 
-MAGIC, VERSION = b"GLTB", 1
+MAGIC, VERSION = b"GLTB", 2
 HEAD = struct.Struct("<4sHHIII")
 #: Ids after which a block is closed at the next end of a document.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 20
+#: Bytes of text for which a file is written.
+FILE_BYTES = 1 << 24
 #: Most lanes of a block, and the ids a lane has at least.
-LANES, LANE_IDS = 2048, 256
-#: Total weight of the order-0 counts, and steps between their renewals.
-BASE, RENEW = 1 << 20, 16
-_CONF, _HASH = 16, 17
+LANES, LANE_IDS = 4096, 256
+#: Total weight of the order-0 counts, and the most steps between renewals of the weights.
+BASE, RENEW = 1 << 20, 64
+#: Levels of confidence in a point prediction, and bits of the hash of two ids.
+LEVELS, HASH_BITS = 16, 17
+_IDS = 1 << 16
+_PAIR = np.int32(-1640531527), np.int32(40503 << 15 | 1)
+#: What a point prediction gains when right (second half) and loses when wrong; at level 0 the id is replaced.
+_STEP = np.array([-((k + 1) // 2) << 16 for k in range(LEVELS)] + [(k < LEVELS - 1) << 16 for k in range(LEVELS)], np.int32)
 _LOW = np.uint64((1 << 32) - 1)
 _W = np.uint64(32)
 _ONE32 = np.uint64(1 << 32)
 
 
 class _Model:
-    """The adaptive predictions; coder and decoder feed it the same ids."""
-
-    def __init__(self, lanes: int) -> None:
-        self.counts = np.zeros(1 << 16, np.int64)
-        self.next1 = np.zeros(1 << 16, np.uint16)
-        self.conf1 = np.zeros(1 << 16, np.uint8)
-        self.next2 = np.zeros(1 << _HASH, np.uint16)
-        self.conf2 = np.zeros(1 << _HASH, np.uint8)
-        self.hits = np.full((2, _CONF), 0.5)
-        self.misses = np.full((2, _CONF), 16.0)
+    """The adaptive predictions; coder and decoder feed it the same ids.
+
+    A point prediction is one number: the id, and above it the confidence.
+    Counts and earned weights are renewed after 1, 2, 4, ... steps and then every
+    ``RENEW`` ones.
+    """
+
+    def __init__(self, lanes: int, decodes: bool) -> None:
+        self.decodes = decodes
+        self.counts = np.zeros(_IDS, np.int64)
+        self.points = np.zeros(_IDS, np.int32), np.zeros(1 << HASH_BITS, np.int32)
+        self.hits = np.full((2, LEVELS), 0.5)
+        self.misses = np.full((2, LEVELS), 16.0)
         self.recent: list[np.ndarray] = []
-        self.last = np.zeros(lanes, np.int64)
-        self.slot2 = np.zeros(lanes, np.int64)
-        self.steps = 0
+        self.met: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.last, self.pair = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.steps = self.due = 0
+
+    def _renew(self) -> None:
+        if self.recent:
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=_IDS)
+            for k in (0, 1):
+                met = np.bincount(np.concatenate(self.met[k]), minlength=2 * LEVELS)
+                self.misses[k] += met[:LEVELS]
+                self.hits[k] += met[LEVELS:]
+                self.met[k].clear()
+            self.recent.clear()
+        freq = (self.counts * ((BASE - _IDS) / max(int(self.counts.sum()), 1))).astype(np.int32) + 1
+        freq[0] += BASE - int(freq.sum())
+        self.freq, self.cum = freq, np.cumsum(freq, dtype=np.int32) - freq
+        if self.decodes:
+            self.slots = np.repeat(np.arange(_IDS, dtype=np.uint16), freq)
+        self.weights = (np.minimum(self.hits / self.misses, 64.0) * BASE).astype(np.int32)
+        self.due += min(max(self.due, 1), RENEW)
 
     def predict(self, n: int) -> None:
         """Point predictions and weights for the first ``n`` lanes."""
-        if self.steps % RENEW == 0:
-            if self.recent:
-                self.counts += np.bincount(np.concatenate(self.recent), minlength=1 << 16)
-                self.recent = []
-            total = int(self.counts.sum())
-            spare = BASE - (1 << 16)
-            freq = self.counts * spare // max(total, 1) + 1
-            freq[0] += BASE - int(freq.sum())
-            self.freq, self.cum = freq, np.concatenate(([0], np.cumsum(freq)))
-            self.slots = np.repeat(np.arange(1 << 16, dtype=np.uint16), freq)
-            self.weights = (np.minimum(self.hits / self.misses, 64.0) * BASE).astype(np.int64)
+        if self.steps == self.due:
+            self._renew()
         self.steps += 1
-        self.n = n
-        self.c1, self.c2 = self.last[:n], self.slot2[:n]
-        self.p1, self.p2 = self.next1[self.c1].astype(np.int64), self.next2[self.c2].astype(np.int64)
-        self.k1, self.k2 = self.conf1[self.c1], self.conf2[self.c2]
-        self.m1, self.m2 = self.weights[0][self.k1], self.weights[1][self.k2]
-        self.total = self.m1 + self.m2 + BASE
+        self.at = self.last[:n], self.pair[:n]
+        self.held = [table.take(at, mode="clip") for table, at in zip(self.points, self.at, strict=True)]
+        self.level = [held >> 16 for held in self.held]
+        self.guess = [held & 0xFFFF for held in self.held]
+        self.mass = [weights.take(level, mode="clip") for weights, level in zip(self.weights, self.level, strict=True)]
+        self.total = self.mass[0] + self.mass[1] + BASE
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each id within the mixture's total."""
-        start = self.cum[ids] + self.m1 * (self.p1 < ids) + self.m2 * (self.p2 < ids)
-        return start, self.freq[ids] + self.m1 * (self.p1 == ids) + self.m2 * (self.p2 == ids)
+        start, width = self.cum.take(ids, mode="clip"), self.freq.take(ids, mode="clip")
+        self.right = [(guess == ids).astype(np.int32) for guess in self.guess]
+        for guess, mass, right in zip(self.guess, self.mass, self.right, strict=True):
+            start += mass * (guess < ids)
+            width += mass * right
+        return start, width
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The id in whose interval a value lies."""
-        start1, width1 = self.interval(self.p1)
-        start2, width2 = self.interval(self.p2)
-        past1, past2 = value >= start1 + width1, value >= start2 + width2
-        ids = self.slots[np.minimum(value - self.m1 * past1 - self.m2 * past2, BASE - 1)].astype(np.int64)
-        ids = np.where((value >= start1) & ~past1, self.p1, ids)
-        return np.where((value >= start2) & ~past2, self.p2, ids)
+        """The id in whose interval a value lies: a guess, or that of the order-0 slot."""
+        starts, widths = zip(*(self.interval(guess) for guess in self.guess), strict=True)
+        past = [value >= start + width for start, width in zip(starts, widths, strict=True)]
+        ids = self.slots.take(value - self.mass[0] * past[0] - self.mass[1] * past[1], mode="clip").astype(np.int32)
+        for guess, start, after in zip(self.guess, starts, past, strict=True):
+            np.copyto(ids, guess, where=(value >= start) > after)
+        return ids
 
     def update(self, ids: np.ndarray) -> None:
-        for k, (table, conf, slot, guess, level) in enumerate(((self.next1, self.conf1, self.c1, self.p1, self.k1), (self.next2, self.conf2, self.c2, self.p2, self.k2))):
-            hit = guess == ids
-            met = np.bincount(level + np.uint8(_CONF) * hit, minlength=2 * _CONF)
-            self.misses[k] += met[:_CONF]
-            self.hits[k] += met[_CONF:]
-            conf[slot] = np.where(hit, np.minimum(level + np.uint8(1), _CONF - 1), level >> 1)
-            fresh = ~hit & (level == 0)
-            table[slot[fresh]] = ids[fresh]
-        if self.n < len(self.last):
-            self.last, self.slot2 = self.last.copy(), self.slot2.copy()
-        self.slot2[: self.n] = ((self.c1 * 40503 + ids) * 2654435761 >> 15) & ((1 << _HASH) - 1)
-        self.last[: self.n] = ids
+        for k in (0, 1):
+            held, met = self.held[k], self.level[k] + self.right[k] * LEVELS
+            self.met[k].append(met)
+            self.points[k][self.at[k]] = held + _STEP.take(met, mode="clip") + (ids - held) * (met == 0)
+        n = len(ids)
+        pair = (self.last[:n] * _PAIR[0] + ids * _PAIR[1] >> 15) & ((1 << HASH_BITS) - 1)
+        self.last, self.pair = (ids, pair) if n == len(self.last) else (np.concatenate((ids, self.last[n:])), np.concatenate((pair, self.pair[n:])))
         self.recent.append(ids)
 
 
-def _lanes(n: int) -> tuple[int, int]:
-    """Number of lanes for ``n`` ids, and steps: lane k has the ids k, k + lanes, ..."""
-    lanes = max(1, min(LANES, n // LANE_IDS))
-    return lanes, -(-n // lanes)
-
-
-def _stripes(n: int) -> tuple[int, int, np.ndarray]:
+def _lanes(n: int) -> tuple[int, int, np.ndarray]:
     """Lanes, steps and where each lane's run of consecutive ids begins."""
-    lanes, steps = _lanes(n)
-    short = lanes * steps - n  # the last lanes have one id less
+    lanes = max(1, min(LANES, n // LANE_IDS))
+    steps = -(-n // lanes)
     lengths = np.full(lanes, steps)
-    lengths[lanes - short :] -= 1
+    lengths[n - lanes * (steps - 1) :] -= 1  # the last lanes have one id less
     return lanes, steps, np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _narrow(low: np.ndarray, width: np.ndarray, m: int, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The intervals of the first ``m`` lanes narrowed; lanes whose leading word is settled."""
+    low[:m] += unit * start.astype(np.uint64)
+    width[:m] = unit * size.astype(np.uint64)
+    return np.flatnonzero(width[:m] < _ONE32)
+
+
+def _shifted(low: np.ndarray, width: np.ndarray, tight: np.ndarray) -> np.ndarray:
+    """Takes the leading words of the tight lanes off and returns them."""
+    a, b = low[tight], width[tight]
+    # an interval that spans two leading words is cut to the first
+    low[tight], width[tight] = a << _W, np.minimum(b, _ONE32 - (a & _LOW)) << _W
+    return a >> _W
+
+
 def encode_ids(ids: np.ndarray) -> bytes:
-    """Lane lengths and words of the coded ids."""
+    """Words per lane, and the words of all lanes."""
     n = len(ids)
     if not n:
         return b""
-    lanes, steps, begin = _stripes(n)
-    ids = ids.astype(np.int64)
-    model = _Model(lanes)
+    lanes, steps, begin = _lanes(n)
+    ids = ids.astype(np.int32)
+    model = _Model(lanes, False)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    out, fill = np.zeros((steps + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
-    every = np.arange(lanes)
-    alive = begin[1:] - begin[:-1]
+    words, owners = [], []
+    full = n - lanes * (steps - 1)
     for t in range(steps):
-        m = lanes if t < steps - 1 else int((alive == steps).sum())
-        now = ids[begin[:m] + t]
+        m = lanes if t < steps - 1 else full
+        now = ids.take(begin[:m] + t)
         model.predict(m)
         start, size = model.interval(now)
-        unit = width[:m] // model.total.astype(np.uint64)
-        low[:m] += unit * start.astype(np.uint64)
-        width[:m] = unit * size.astype(np.uint64)
-        tight = np.flatnonzero(width[:m] < _ONE32)
+        tight = _narrow(low, width, m, width[:m] // model.total.astype(np.uint64), start, size)
         if len(tight):
-            a, b = low[tight], width[tight]
-            b = np.where((a >> _W) != ((a + b - np.uint64(1)) >> _W), _ONE32 - (a & _LOW), b)
-            out[fill[tight], tight] = a >> _W
-            fill[tight] += 1
-            low[tight], width[tight] = a << _W, b << _W
+            words.append(_shifted(low, width, tight).astype("<u4"))
+            owners.append(tight.astype(np.uint16))
         model.update(now)
     for _ in range(2):
-        out[fill, every] = low >> _W
-        fill += 1
+        words.append((low >> _W).astype("<u4"))
+        owners.append(np.arange(lanes, dtype=np.uint16))
         low = low << _W
-    return fill.astype("<u4").tobytes() + b"".join(out[:k, i].astype("<u4").tobytes() for i, k in enumerate(fill))
+    owner = np.concatenate(owners)
+    return np.bincount(owner, minlength=lanes).astype("<u4").tobytes() + np.concatenate(words)[np.argsort(owner, kind="stable")].tobytes()
 
 
 def decode_ids(data: bytes, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, "<u2")
-    lanes, steps, begin = _stripes(n)
+    lanes, steps, begin = _lanes(n)
     fill = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate((np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(2, "<u4"))).astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum(fill)[:-1]))
+    at = np.cumsum(fill) - fill
     code = words[at] << _W | words[at + 1]
     at = at + 2
-    model = _Model(lanes)
+    model = _Model(lanes, True)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
-    ids = np.zeros(n, np.int64)
-    alive = begin[1:] - begin[:-1]
+    ids = np.zeros(n, "<u2")
+    full = n - lanes * (steps - 1)
     for t in range(steps):
-        m = lanes if t < steps - 1 else int((alive == steps).sum())
+        m = lanes if t < steps - 1 else full
         model.predict(m)
         unit = width[:m] // model.total.astype(np.uint64)
-        value = np.minimum(((code[:m] - low[:m]) // unit).astype(np.int64), model.total - 1)
+        value = np.minimum((code[:m] - low[:m]) // unit, (model.total - 1).astype(np.uint64)).astype(np.int32)
         now = model.find(value)
         start, size = model.interval(now)
-        low[:m] += unit * start.astype(np.uint64)
-        width[:m] = unit * size.astype(np.uint64)
-        tight = np.flatnonzero(width[:m] < _ONE32)
+        tight = _narrow(low, width, m, unit, start, size)
         if len(tight):
-            a, b = low[tight], width[tight]
-            b = np.where((a >> _W) != ((a + b - np.uint64(1)) >> _W), _ONE32 - (a & _LOW), b)
-            code[tight] = code[tight] << _W | words[np.minimum(at[tight], len(words) - 1)]
-            at[tight] += 1
-            low[tight], width[tight] = a << _W, b << _W
+            _shifted(low, width, tight)
+            place = at[tight]
+            code[tight] = code[tight] << _W | words.take(place, mode="clip")
+            at[tight] = place + 1
         model.update(now)
         ids[begin[:m] + t] = now
-    return ids.astype("<u2")
+    return ids
 
 
 def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -254,39 +271,48 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None, end_id: in
 
     Returns the written files as a DataFrame (part, seq, n_docs, n_tokens,
     block); (part, seq) ascends with doc_id, nulls first and equal ids in the
-    order of their texts.  Null and empty texts give the end id alone; no
-    documents give no blocks.  Other columns are ignored.  A block is closed at
-    the end of the document that fills it, so a very long text makes one larger
-    block; nothing is cut.
+    order of a hash of their texts.  Null and empty texts give the end id alone;
+    no documents give no blocks.  Other columns are ignored.  A block is closed
+    at the end of the document that fills it, so a very long text makes one
+    larger block; nothing is cut.  The number of files grows with the bytes of
+    the texts, and rows of one doc_id, or of none, are dealt by their texts and
+    the partition that they are read in, so no id is one task's work.
     """
     vocabulary = vocabulary or default_vocabulary()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.withColumn("doc_id", F.struct("doc_id")).select(F.col("doc_id.doc_id").cast("decimal(20,0)").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    files = -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    keys = ["doc_id", "hash", "part"]
+    ordered = rows.withColumn("hash", F.xxhash64("text")).withColumn("part", F.spark_partition_id()).repartitionByRange(max(8, files), *keys).sortWithinPartitions(*keys)
+    ordered = ordered.select(F.struct(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text").alias("row")).select("row.doc_id", "row.text")
     return written(ordered.mapInPandas(lambda it: _write_blocks(vocabulary, end_id, it), BLOCK_SCHEMA), "token-blocks", "uncompressed")
 
 
-def _read_blocks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_blocks(with_ids: bool, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for part, seq, block in zip(batch.part.tolist(), batch.seq.tolist(), batch.block.tolist(), strict=True):
+        for start, block in zip(batch.start.tolist(), batch.block.tolist(), strict=True):
             doc_ids, lengths, ids = unpack_block(block)
             ends = np.cumsum(lengths)
-            cuts = np.concatenate(([0], ends))
-            yield pd.DataFrame({
-                "part": part, "seq": seq, "doc_id": pd.array(doc_ids, "Int64"), "at": ends - lengths, "n_tokens": lengths,
-                "ids": [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-            })
+            cuts = [0, *ends.tolist()]
+            wide = ids.astype("<u4")
+            out = {"doc_id": pd.array(doc_ids, "Int64"), "start": start + ends - lengths, "n_tokens": lengths, "ids_crc32": [zlib.crc32(wide[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]}
+            if with_ids:
+                out["ids"] = [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pd.DataFrame(out)
 
 
-def read_token_files(blocks: DataFrame) -> DataFrame:
-    """Decode block files: doc_id, start, n_tokens, ids (16-bit little-endian).
+def read_token_files(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Decode block files: doc_id, start, n_tokens, ids_crc32, ids (16-bit little-endian).
 
     ``start`` counts the ids of all documents before: block totals are summed
     within each file and file totals over the files, of which there are as many
-    as tasks wrote.
+    as tasks wrote.  ``ids_crc32`` is the crc32 of the ids as 32-bit integers;
+    without ``with_ids`` it is all that is told of them.
     """
     sizes = blocks.select("part", "seq", "n_tokens")
     files = sizes.groupBy("part").agg(F.sum("n_tokens").alias("size"))
     files = files.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    starts = sizes.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("inside")).join(files, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("block_start"))
-    docs = blocks.select("part", "seq", "block").mapInPandas(_read_blocks, "part int, seq int, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    inside = (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("inside")
+    starts = sizes.select("part", "seq", inside).join(files, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
+    located = blocks.select("part", "seq", "block").join(small(starts), ["part", "seq"]).select("start", "block")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    return located.mapInPandas(lambda it: _read_blocks(with_ids, it), schema)

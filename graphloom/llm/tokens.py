@@ -3,22 +3,20 @@
 A tokenizer of the word kind drops white space and never merges across it, so
 the ids of a text are the ids of its blank-separated words, one after another.
 A worker remembers the ids of the words it has met; only a new word reaches the
-tokenizers library.  The memory is bounded: when it is full it is emptied.
-Nothing is approximated - ``tests/llm/test_tokens.py`` holds the ids against
-whole-text encoding.
+tokenizers library.  The memory is bounded.
+Nothing is approximated - ``tests/llm/test_tokens_packing.py`` holds the ids
+against whole-text encoding by the library, for words of all of Unicode.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import numpy as np
-
-#: Words a worker remembers at most; beyond that it starts anew.
+#: Words in each of the two halves of a worker's memory.
 CACHE_WORDS = 500_000
-#: Pattern of a plain word: letters, then punctuation that can't join a letter.
-_PLAIN = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\]^`{}~]*)")
+#: A plain word is letters up to this one, each with one lower case, and then marks that can't join
+#: a letter.  Every other word is left to the library whole.
+_LAST, _TWO_LOWER, _MARKS = "\u017f", "\u0130", "!\"#$%&()*+,-./:;=?@[]^`{}~"
 #: Blanks that Python's split() and the tokenizer's pattern may see differently.
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _ASCII_BLANK = re.compile("[\x20\x09-\x0d]+")
@@ -36,38 +34,49 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder(dict):
-    """Maps a word to the little-endian 16-bit ids of its pieces, as bytes."""
+    """Maps a word to the little-endian 16-bit ids of its pieces, as bytes.
+
+    New words go into this dictionary; when it is full it becomes the older
+    half of the memory, from which words that are met again come back.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16:
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if size > 1 << 16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.id_bytes = [i.to_bytes(2, "little") for i in range(size)]
+        self.letters = dict(zip(range(256), _byte_letters(), strict=True))
+        self.marks: dict[str, bytes] = {}  # runs of punctuation
+        self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(spelled)])
+
+    def _marks(self, run: str) -> bytes:
+        if run not in self.marks:
+            if len(self.marks) >= CACHE_WORDS:
+                self.marks.clear()
+            self.marks[run] = self._piece(run)
+        return self.marks[run]
 
     def __missing__(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain and (word.isascii() or unicodedata.is_normalized("NFC", word) and len(word) == len(word.lower()) and "Σ" not in word):
-            ids = self._piece(plain[1].lower())
-            if plain[2]:
-                ids += self._piece(plain[2])
-        else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST and _TWO_LOWER not in stem)):
+                ids = self._piece(stem.lower())
+                if len(stem) < len(word):
+                    ids += self._marks(word[len(stem) :])
+            else:
+                ids = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids

@@ -23,6 +23,30 @@ def test_cached_words_give_the_ids_of_whole_texts():
         assert got == enc.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def library_ids(text):
+    """Ids of a whole text by the library alone."""
+    return encoder(default_vocabulary()).tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_are_the_library_s_for_all_of_unicode():
+    """Every code point beside letters, digits and marks, and random words of the lower blocks."""
+    enc, rng = encoder(default_vocabulary()), random.Random(3)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    words = [f"a{chr(c)}b, {chr(c)}x 1{chr(c)}" for c in [*points[:0x3400], *rng.sample(points, 4000)]]
+    words += ["".join(chr(rng.randint(33, 0x250)) for _ in range(rng.randint(1, 7))) for _ in range(20_000)] + ["m² x½ café² a① ⅷⅧ 日本² Ⅷ ³"]
+    wrong = [w for w in words if np.frombuffer(enc.encode(w), "<u2").tolist() != library_ids(w)]
+    assert not wrong
+
+
+def test_a_full_memory_changes_no_ids(monkeypatch):
+    from graphloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
+    enc = tokens.WordEncoder(default_vocabulary())
+    text = "one two, three one four! five two six one seven, one"
+    assert all(np.frombuffer(enc.encode(text), "<u2").tolist() == library_ids(text) and len(enc) <= 3 and len(enc.older) <= 3 for _ in range(3))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 129, 5000, 140_000])
 @pytest.mark.parametrize("kind", ["zipf", "same", "uniform"])
 def test_coder_round_trip(n, kind):
@@ -50,8 +74,7 @@ def odd_docs(spark):
 
 
 def expected(docs, end):
-    enc = encoder(default_vocabulary())
-    return [(r.doc_id, np.frombuffer(enc.encode(r.text), "<u2").tolist() + [end], r.text) for r in docs.collect()]
+    return [(r.doc_id, library_ids(r.text) + [end], r.text) for r in docs.collect()]
 
 
 def test_token_files(spark, odd_docs, monkeypatch):
@@ -65,9 +88,22 @@ def test_token_files(spark, odd_docs, monkeypatch):
         at += r.n_tokens
     key = lambda d, ids: (str(d), ids)
     assert sorted(key(r.doc_id, np.frombuffer(r.ids, "<u2").tolist()) for r in found) == sorted(key(d, ids) for d, ids, _ in expected(odd_docs, 2))
+    for r in found:
+        ids = np.frombuffer(r.ids, "<u2").astype("<u4")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+    short = token_output.read_token_files(files, with_ids=False)
+    assert short.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and sorted(map(tuple, short.collect()), key=str) == sorted((tuple(r)[:4] for r in found), key=str)
     assert token_output.read_token_files(token_output.write_token_files(odd_docs.limit(0))).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_over_files(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 200)
+    docs = spark.range(400, numPartitions=4).selectExpr("cast(null as long) as doc_id", "concat('word ', id % 7) as text")
+    files = token_output.write_token_files(docs)
+    assert files.groupBy("part").agg({"n_docs": "sum"}).agg({"sum(n_docs)": "max"}).first()[0] < 200
+    assert token_output.read_token_files(files).count() == 400
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_histogram_packing_places_everything(seed):
     rng = random.Random(seed)
