@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLANK, IRI, LANG_STRING, LITERAL, STRING
@@ -33,28 +33,40 @@ def literal(value: Column, datatype: str = STRING, language: Column | None = Non
     return [kind.alias("o_kind"), value.alias("o"), dt.alias("o_dt"), lang.alias("o_lang")]
 
 
-def _replaced(value: Column, pairs: list[tuple[str, str]]) -> Column:
-    for old, new in pairs:
-        value = F.replace(value, F.lit(old), F.lit(new))
-    return value
+def _escaped(value: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Each first text of the pairs replaced by the second; values that hold none, nearly all, are only looked at once."""
+    held = "[" + "".join(f"\\x{ord(old):02X}" for old, _ in pairs) + "]"
+    table = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in pairs])
+    return F.when(value.rlike(held), F.aggregate(table, value, lambda text, pair: F.replace(text, pair["old"], pair["new"]))).otherwise(value)
 
 
 def escape_literal(value: Column, canonical: bool = False) -> Column:
     """Escapes of N-Quads strings; the canonical form escapes all other control characters too."""
     pairs = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")]
     if canonical:
-        named = {new for new, _ in pairs}
+        named = {old for old, _ in pairs}
         pairs += [(chr(c), f"\\u{c:04X}") for c in [*range(32), 127] if chr(c) not in named]
-    return _replaced(value, pairs)
+    return _escaped(value, pairs)
 
 
 def escape_iri(value: Column) -> Column:
     """Characters that an IRI may not hold become numeric escapes."""
-    return _replaced(value, [("\\", "\\u005C"), ("<", "\\u003C"), (">", "\\u003E"), ('"', "\\u0022"), ("{", "\\u007B"), ("}", "\\u007D"), ("|", "\\u007C"), ("^", "\\u005E"), ("`", "\\u0060"), (" ", "\\u0020")])
+    return _escaped(value, [(c, f"\\u{ord(c):04X}") for c in "\\<>\"{}|^`" + "".join(map(chr, range(33)))])
 
 
 def blank_label(value: Column) -> Column:
-    return F.concat(F.lit("_:"), F.regexp_replace(F.regexp_extract(value, r"([^|]*)$", 1), "[^A-Za-z0-9_]", "_"))
+    """A label of its own for every blank node, whatever documents the nodes come from.
+
+    The label is a 128-bit hash of the scoped value: labels of different
+    documents don't meet, and a node has one label in all files of an output.
+    """
+    return F.concat(F.lit("_:b"), F.md5(value))
+
+
+def label_table(nodes: DataFrame) -> DataFrame:
+    """(node, label) of the blank nodes of a quad table, to find written labels again."""
+    places = F.array(*[F.when(F.col(f"{c}_kind") == BLANK, F.col(c)) for c in ("s", "o", "g")])
+    return nodes.select(F.explode(F.array_compact(places)).alias("node")).distinct().select("node", blank_label(F.col("node")).alias("label"))
 
 
 def term_text(kind: Column, value: Column, datatype: Column | None = None, language: Column | None = None, canonical: bool = False, blank: Column | None = None) -> Column:

@@ -1,20 +1,33 @@
-"""Canonical form and isomorphism of datasets (RDF Dataset Canonicalization).
+"""Canonical form and isomorphism of datasets (RDF Dataset Canonicalization 1.0).
 
 Blank nodes are told apart by the hash of their own quads first: one shuffle on
 the node.  Nodes whose hash is unique get their identifier from its rank.  The
-rest, tied nodes, are few in real data; they are refined by the hashes of their
-neighbours (colour refinement, one shuffle a round, any size), and only classes
-that this leaves tied take the exhaustive tie-break, component by component.
+rest, tied nodes, are few in real data.  They fall into components: tied nodes
+that a quad mentions together.  The first run of the N-degree hash within a
+component names all of its nodes, and nothing that it reads depends on another
+component, so components are worked on side by side; only their order by hash
+is global, and it is a prefix sum.  The identifiers are those of the standard.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import sys
+from itertools import permutations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.terms import quad_text
 from ..schema import BLANK, COLUMNS
 from ..storage import written
+from .traverse import connected
+
+#: Runs of the N-degree hash that one component may take.
+BUDGET = 200_000
+#: Quads of tied nodes that one task works on, if no component is larger.
+TASK_QUADS = 50_000
 
 
 def _mentions(q: DataFrame) -> DataFrame:
@@ -28,66 +41,185 @@ def first_degree_hashes(q: DataFrame, bits: int = 256) -> DataFrame:
     own = lambda c: F.when(F.col(c) == F.col("node"), "_:a").otherwise("_:z")
     line = F.concat(quad_text(True, own("s"), own("o"), own("g")), F.lit("\n"))
     rows = _mentions(q.distinct()).select("node", line.alias("line"))
-    return rows.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("line")), ""), bits).alias("hash"))
-
-
-def refine(q: DataFrame, rounds: int = 32, bits: int = 256) -> DataFrame:
-    """(node, hash): first-degree hashes refined by their neighbours until no class splits."""
-    q = written(q.distinct(), "canon-quads")
-    now = written(first_degree_hashes(q, bits), "canon-hashes")
-    classes = now.select("hash").distinct().count()
-    total = now.count()
-    for _ in range(rounds):
-        if classes == total:
-            break
-        label = {c: now.select(F.col("node").alias(f"{c}_node"), F.col("hash").alias(f"{c}_hash")) for c in ("s", "o", "g")}
-        rows = _mentions(q)
+    return rows.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), bits).alias("hash"))
+
+
+def _ranked(rows: DataFrame, key: str, size: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``size`` of all rows before, in the order of a hex ``key``, without one window over everything."""
+    rows = rows.withColumn("_part", F.substring(key, 1, 3)).withColumn("_size", size)
+    sums = rows.groupBy("_part").agg(F.sum("_size").alias("_sum"))
+    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_size").over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    return rows.withColumn("_inside", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_size", "_before", "_inside")
+
+
+class Issuer:
+    """Identifiers in the order in which they are asked for."""
+
+    def __init__(self, prefix: str = "b") -> None:
+        self.prefix, self.issued = prefix, {}
+
+    def copy(self) -> Issuer:
+        out = Issuer(self.prefix)
+        out.issued = dict(self.issued)
+        return out
+
+    def issue(self, node: str) -> str:
+        return self.issued.setdefault(node, f"{self.prefix}{len(self.issued)}")
+
+
+class Component:
+    """N-degree hashes within one component of tied nodes.
+
+    ``quads`` are (s, p, o, g) with None in places that hold no blank node;
+    ``settled`` are the identifiers of nodes with a unique hash.
+    """
+
+    def __init__(self, quads: list[tuple], hashes: dict[str, str], settled: dict[str, str], bits: int, budget: int) -> None:
+        self.hashes, self.settled, self.budget, self.digest = hashes, settled, budget, {256: hashlib.sha256, 384: hashlib.sha384, 512: hashlib.sha512}[bits]
+        self.about: dict[str, list[tuple[str, str, str]]] = {n: [] for n in hashes}
+        for s, p, o, g in quads:
+            for node in {s, o, g} & hashes.keys():
+                self.about[node] += [(place, p, other) for place, other in (("s", s), ("o", o), ("g", g)) if other is not None and other != node]
+
+    def hash(self, text: str) -> str:
+        return self.digest(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def related(self, node: str, issuer: Issuer) -> dict[str, list[str]]:
+        """Blank nodes beside a node, by the hash of how they are related."""
+        out: dict[str, list[str]] = {}
+        for place, p, other in self.about[node]:
+            name = self.settled.get(other) or issuer.issued.get(other)
+            key = self.hash(place + (f"<{p}>" if place != "g" else "") + (f"_:{name}" if name else self.hashes[other]))
+            if other not in out.setdefault(key, []):
+                out[key].append(other)
+        return out
+
+    def n_degree(self, node: str, issuer: Issuer) -> tuple[str, Issuer]:
+        self.budget -= 1
+        if self.budget < 0:
+            raise ValueError("canonical identifiers: a component of tied blank nodes needs more work than the budget allows")
+        data = ""
+        for key, nodes in sorted(self.related(node, issuer).items()):
+            best = kept = None
+            for order in permutations(nodes):
+                tried = self.path(order, issuer.copy(), best)
+                if tried and (best is None or tried[0] < best):
+                    best, kept = tried
+            data += key + best
+            issuer = kept
+        return self.hash(data), issuer
+
+    def path(self, order: tuple[str, ...], issuer: Issuer, best: str | None) -> tuple[str, Issuer] | None:
+        """The path that visits the nodes in an order, or None as soon as it can't be the least."""
+        worse = lambda: best is not None and len(path) >= len(best) and path > best
+        path, ahead = "", []
+        for other in order:
+            if other in self.settled:
+                path += f"_:{self.settled[other]}"
+            else:
+                if other not in issuer.issued:
+                    ahead.append(other)
+                path += f"_:{issuer.issue(other)}"
+            if worse():
+                return None
+        for other in ahead:
+            found, after = self.n_degree(other, issuer)
+            path += f"_:{issuer.issue(other)}<{found}>"
+            issuer = after
+            if worse():
+                return None
+        return path, issuer
+
+    def order(self) -> tuple[str, str, list[str]]:
+        """Least first-degree hash, least N-degree hash of its bearers, and all nodes in the order in which they are named."""
+        least = min(self.hashes.values())
+        tries = []
+        for node in sorted(n for n, h in self.hashes.items() if h == least):
+            issuer = Issuer()
+            issuer.issue(node)
+            found, issuer = self.n_degree(node, issuer)
+            tries.append((found, list(issuer.issued)))
+        found, nodes = min(tries, key=lambda t: t[0])
+        return least, found, nodes
+
+
+def _name_components(bits: int, budget: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """(component, node, key, size, place) of the components dealt to one task; rows hold their quads and hashes."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    out = []
+    for component, own in rows.groupby("component"):
+        hashes, settled = {}, {}
         for c in ("s", "o", "g"):
-            rows = rows.join(label[c], (F.col(f"{c}_kind") == BLANK) & (F.col(c) == F.col(f"{c}_node")), "left")
-        mark = lambda c: F.concat(F.when(F.col(c) == F.col("node"), "_:a").otherwise("_:z"), F.coalesce(f"{c}_hash", F.lit("")))
-        line = quad_text(True, mark("s"), mark("o"), mark("g"))
-        nxt = rows.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), bits).alias("line_hash"))
-        nxt = written(nxt.join(now, "node").select("node", F.sha2(F.concat("hash", "line_hash"), bits).alias("hash")), "canon-hashes")
-        more = nxt.select("hash").distinct().count()
-        now = nxt
-        if more == classes:
-            break
-        classes = more
-    return now
-
-
-def canonical_ids(q: DataFrame, prefix: str = "c14n", budget: int = 5000) -> DataFrame:
-    """(node, id): identifiers that depend on the structure only.
-
-    Nodes are ranked by refined hash.  Where automorphic nodes stay tied, one of
-    them is marked and the refinement goes on, at most ``budget`` times; beyond
-    that a ValueError tells so (such graphs are built to be hard).
+            for node, hash_, name in zip(own[c], own[f"{c}_hash"], own[f"{c}_id"], strict=True):
+                if isinstance(name, str):
+                    settled[node] = name
+                elif isinstance(hash_, str):
+                    hashes[node] = hash_
+        quads = [tuple(x if isinstance(x, str) else None for x in r) for r in own[["s", "p", "o", "g"]].itertuples(index=False, name=None)]
+        least, found, nodes = Component(quads, hashes, settled, bits, budget).order()
+        out += [(component, node, least + found, len(nodes), i) for i, node in enumerate(nodes)]
+    return pd.DataFrame(out, columns=["component", "node", "key", "size", "place"])
+
+
+def canonical_ids(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET) -> DataFrame:
+    """(node, id): the canonical identifier of every blank node, by structure alone.
+
+    Ids are ``_:`` with the prefix and a number: first the nodes of unique
+    first-degree hash in the order of their hashes, then those of the components
+    of tied nodes.  A component that takes more than ``budget`` runs of the
+    N-degree hash raises a ValueError: such graphs are built to be hard.
     """
-    marked = q
-    for step in range(budget + 1):
-        hashes = written(refine(marked), "canon-ranked")
-        tied = hashes.groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1").orderBy("hash").limit(1).collect()
-        if not tied:
-            break
-        if step == budget:
-            raise ValueError("canonical_ids: more ties than the budget allows")
-        extra = q.sparkSession.createDataFrame([(None, None, BLANK, tied[0].node, f"urn:graphloom:mark:{step}", 2, "", "http://www.w3.org/2001/XMLSchema#string", None)], q.select(*COLUMNS).schema)
-        marked = written(marked.select(*COLUMNS).unionByName(extra), "canon-marked")
-    # ranks without a window over everything: offsets of hash ranges, then ranks inside them
-    part = F.substring("hash", 1, 3)
-    sizes = hashes.groupBy(part.alias("part")).count()
-    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
-    ranked = hashes.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("hash")) - 1)
-    return ranked.join(before, "part").select("node", F.concat(F.lit(f"_:{prefix}"), (F.col("before") + F.col("rank")).cast("string")).alias("id"))
-
-
-def canonical_lines(q: DataFrame, prefix: str = "c14n") -> DataFrame:
-    """Canonical N-Quads, one distinct line per quad."""
-    ids = written(canonical_ids(q, prefix), "canon-ids")
+    q = written(q.select(*COLUMNS).distinct(), "canon-quads")
+    hashes = written(first_degree_hashes(q, bits), "canon-hashes")
+    counts = hashes.groupBy("hash").agg(F.count("*").alias("n"))
+    single = hashes.join(counts.where("n = 1").select("hash"), "hash", "left_semi")
+    name = lambda number: F.concat(F.lit(prefix), number.cast("string"))
+    unique = written(_ranked(single, "hash", F.lit(1).cast("long"), "rank").select("node", name(F.col("rank")).alias("id")), "canon-unique")
+    tied = written(hashes.join(counts.where("n > 1").select("hash"), "hash", "left_semi").select("node", "hash"), "canon-tied")
+    if tied.isEmpty():
+        return unique.select("node", F.concat(F.lit("_:"), "id").alias("id"))
+
+    # quads that mention a tied node, with what is known of each of their blank nodes
+    rows = _mentions(q).join(tied, "node", "left_semi").select(*COLUMNS).distinct()
+    for c in ("s", "o", "g"):
+        blank = F.when(F.col(f"{c}_kind") == BLANK, F.col(c))
+        known = tied.join(unique, "node", "full").select(F.col("node").alias(f"{c}_node"), F.col("hash").alias(f"{c}_hash"), F.col("id").alias(f"{c}_id"))
+        rows = rows.withColumn(c, blank).join(known, F.col(c) == F.col(f"{c}_node"), "left").drop(f"{c}_node")
+    rows = written(rows.select("s", "p", "o", "g", *[f"{c}_{x}" for c in ("s", "o", "g") for x in ("hash", "id")]), "canon-tied-quads")
+    tied_in = lambda c: F.when(F.col(f"{c}_hash").isNotNull(), F.col(c))
+    present = F.array_distinct(F.array_compact(F.array(*[tied_in(c) for c in ("s", "o", "g")])))
+    pairs = rows.select(present.alias("n")).select(F.get("n", 0).alias("a"), F.explode("n").alias("b"))
+    of = written(tied.join(connected(pairs), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "canon-components")
+    placed = rows.withColumn("node", F.get(present, 0)).join(of, "node").drop("node")
+    tasks = max(1, rows.count() // TASK_QUADS)
+    schema = "component string, node string, key string, size long, place long"
+    named = written(placed.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks))).applyInPandas(lambda part: _name_components(bits, budget, part), schema), "canon-named")
+    first = unique.count()
+    order = _ranked(named.where("place = 0").select("component", F.concat("key", F.sha2("component", 256)).alias("key"), "size"), "key", F.col("size"), "start").select("component", "start")
+    late = named.join(order, "component").select("node", name(F.lit(first) + F.col("start") + F.col("place")).alias("id"))
+    return unique.unionByName(late).select("node", F.concat(F.lit("_:"), "id").alias("id"))
+
+
+def canonical_lines(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET) -> DataFrame:
+    """Canonical N-Quads, one distinct line per quad; no label is made up for a node without an identifier."""
+    ids = written(canonical_ids(q, prefix, bits, budget), "canon-ids")
     rows = q.select(*COLUMNS).distinct()
     for c in ("s", "o", "g"):
         rows = rows.join(ids.select(F.col("node").alias(f"{c}_node"), F.col("id").alias(f"{c}_id")), (F.col(f"{c}_kind") == BLANK) & (F.col(c) == F.col(f"{c}_node")), "left")
-    return rows.select(quad_text(True, F.col("s_id"), F.col("o_id"), F.col("g_id")).alias("value")).distinct()
+    issued = lambda c: F.coalesce(f"{c}_id", F.when(F.col(f"{c}_kind") == BLANK, F.raise_error(F.concat(F.lit("no canonical identifier: "), c))))
+    return rows.select(quad_text(True, issued("s"), issued("o"), issued("g")).alias("value")).distinct()
+
+
+def canonical_hash(q: DataFrame, bits: int = 256) -> DataFrame:
+    """One row with the hash of the canonical form: equal for isomorphic datasets, whatever their labels.
+
+    Lines are hashed by range of their own hashes, and the ranges then in order,
+    so that no task holds all lines.
+    """
+    hashed = canonical_lines(q, bits=bits).select(F.sha2("value", bits).alias("h"))
+    parts = hashed.groupBy(F.substring("h", 1, 4).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), bits).alias("h"))
+    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), bits).alias("hash"))
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:

@@ -57,6 +57,30 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure: still growing after {max_rounds} rounds")
 
 
+def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, component) for every node of the edges (a, b) between different nodes; a component is its least node.
+
+    Every node is linked to the least node that it or a neighbour is linked to,
+    and links are then followed: the distance to the least node falls by about
+    half each round.
+    """
+    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
+    both = written(both, "connected-edges")
+    now = written(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("component")), "connected")
+    for _ in range(max_rounds):
+        near = both.join(now.select(F.col("node").alias("b"), F.col("component").alias("theirs")), "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
+        # the component that a node names hears of the least that its members met, too
+        met = now.join(near, "node").select("node", "component", F.least("component", "theirs").alias("least"))
+        told = met.groupBy("component").agg(F.min("least").alias("hooked"))
+        hooked = met.join(told, "component").select("node", "component", F.least("least", "hooked").alias("least"))
+        jump = hooked.select(F.col("node").alias("least"), F.col("least").alias("far"))
+        nxt = written(hooked.join(jump, "least", "left").select("node", F.least("least", F.coalesce("far", "least")).alias("component"), (F.least("least", F.coalesce("far", "least")) < F.col("component")).alias("moved")), "connected")
+        now = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return now
+    raise RuntimeError(f"connected: still changing after {max_rounds} rounds")
+
+
 def list_items(q: DataFrame) -> DataFrame:
     """(head, position, o_kind, o, o_dt, o_lang) of every well-formed rdf:List.
 

@@ -253,8 +253,12 @@ class _Document:
 
 
 def parse(text: str, doc: str = "doc", base: str | None = None, contexts: dict | None = None) -> list[tuple]:
-    """Distinct quad rows of one document; raises ValueError where it is none."""
-    value = json.loads(text)
+    """Distinct quad rows of one document, or of one per line; raises ValueError where it is none."""
+    try:
+        values = [json.loads(text)]
+    except json.JSONDecodeError:  # one document per line, as written here
+        values = [json.loads(line) for line in text.splitlines() if line.strip()]
+    value = values[0] if len(values) == 1 else [part for v in values for part in (v if isinstance(v, list) else [v])]
     if not isinstance(value, dict | list):
         raise ValueError("a document is an object or an array of objects")
     found = _Document(doc, base, contexts or {})
@@ -274,7 +278,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, contexts: dict | N
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows += [(*r, None) for r in parse(text or "", doc, base, contexts)]
-                except (ValueError, TypeError, AttributeError) as fault:
+                except (ValueError, TypeError, AttributeError, RecursionError) as fault:
                     rows.append((None,) * 9 + (f"{doc}: {fault}",))
             if rows:
                 yield pd.DataFrame(rows, columns=[*COLUMNS, "error"]).astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})

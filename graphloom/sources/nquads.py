@@ -14,28 +14,37 @@ from ..schema import BLANK, COLUMNS, IRI, LANG_STRING, LITERAL, STRING
 _BASE = "A-Za-zÀ-ÖØ-öø-˿Ͱ-ͽͿ-῿‌-‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\\x{10000}-\\x{EFFFF}"
 _NODE = f"_:[{_BASE}_0-9](?:[{_BASE}_0-9.\\-·̀-ͯ‿-⁀]*[{_BASE}_0-9\\-·̀-ͯ‿-⁀])?"
 _IRI = r"<[^\x00-\x20<>\"{}|^`]*>"
-_STRING = r"\"(?:[^\"\\\n\r]|\\.)*\""
+_STRING = r"\"[^\"\\\n\r]*+(?:\\.[^\"\\\n\r]*+)*+\""
 _LITERAL = rf"{_STRING}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?"
 #: A whole statement, a comment or a blank line; groups: s, p, o, g.
-LINE = rf"^[ \t]*(?:({_IRI}|{_NODE})[ \t]*({_IRI})[ \t]*({_IRI}|{_NODE}|{_LITERAL})[ \t]*({_IRI}|{_NODE})?[ \t]*\.)?[ \t\r]*(?:#.*)?$"
+LINE = rf"^[ \t]*(?:({_IRI}|{_NODE})[ \t]*({_IRI})[ \t]*({_IRI}|{_NODE}|{_LITERAL})[ \t]*({_IRI}|{_NODE})?[ \t]*\.)?[ \t\r]*(?:#[^\n]*)?$"
+#: What stands before and between the terms of a line that was taken apart: no term but a literal, which comes last, can hold it.
+_CUT = "\x01"
 _ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
 _SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
-def _unescape(text: str | None) -> str | None:
+def _unescape(text: str | None, iri: bool = False) -> str | None:
+    """Escapes resolved; a text with an unknown one, or in an IRI any but a numeric one, gives None."""
+    good = True
+
     def one(m: re.Match) -> str:
+        nonlocal good
         code = m[1]
         if len(code) > 1:
             number = int(code[1:], 16)
-            return chr(number) if number < 0x110000 else "�"
-        return _SHORT.get(code, "\\" + code)
+            good &= number < 0x110000 and not 0xD800 <= number < 0xE000
+            return chr(number) if good else ""
+        good &= not iri and code in _SHORT
+        return _SHORT.get(code, "")
 
-    return None if text is None else _ESCAPE.sub(one, text)
+    plain = None if text is None else _ESCAPE.sub(one, text)
+    return plain if good else None
 
 
-def unescape(text: Column) -> Column:
-    """Escapes resolved; only texts that hold a backslash leave the JVM."""
-    run = F.pandas_udf(lambda s: s.map(_unescape, na_action="ignore").astype(object), "string")
+def unescape(text: Column, iri: bool = False) -> Column:
+    """Escapes resolved, null for wrong ones; only texts that hold a backslash leave the JVM."""
+    run = F.pandas_udf(lambda s: s.map(lambda t: _unescape(t, iri), na_action="ignore").astype(object), "string")
     return F.when(text.contains("\\"), run(F.when(text.contains("\\"), text))).otherwise(text)
 
 
@@ -43,11 +52,13 @@ def parse_lines(lines: DataFrame, column: str = "value", doc: Column | None = No
     """Quads of statement lines, with ``error``: the text of a line that is none.
 
     ``doc`` scopes blank nodes.  With ``graphs`` False a fourth term is an error.
+    A line is matched once, and its terms are cut from the one result.
     """
     line, scope = F.col(column), doc if doc is not None else F.lit("doc")
-    part = lambda i: F.regexp_extract(line, LINE, i)
-    rows = lines.select(line.alias("_line"), scope.alias("_doc"), line.rlike(LINE).alias("_ok"), *[part(i + 1).alias(c) for i, c in enumerate(("_s", "_p", "_o", "_g"))])
-    rows = rows.where("not _ok or _s <> ''")
+    cut = F.regexp_replace(line, LINE, _CUT + f"$1{_CUT}$2{_CUT}$4{_CUT}$3")
+    rows = lines.select(line.alias("_line"), scope.alias("_doc"), F.when(~line.startswith(_CUT) & cut.startswith(_CUT), F.split(cut, _CUT, 5)).alias("_terms"))
+    term = lambda i: F.get("_terms", i)
+    rows = rows.select("_line", "_doc", F.col("_terms").isNotNull().alias("_ok"), term(1).alias("_s"), term(2).alias("_p"), term(3).alias("_g"), term(4).alias("_o")).where("not _ok or _s <> ''")
     ok = F.col("_ok") & ((F.col("_g") == "") if not graphs else F.lit(True))
 
     def kind(c: str) -> Column:
@@ -57,17 +68,25 @@ def parse_lines(lines: DataFrame, column: str = "value", doc: Column | None = No
         inner = F.substring(F.col(c), F.lit(2), F.length(c) - 2)
         return F.when(ok & F.col(c).startswith("<"), inner).when(ok & F.col(c).startswith("_:"), F.concat("_doc", F.lit("|"), F.substring(F.col(c), F.lit(3), F.length(c))))
 
-    text = F.regexp_extract("_o", rf"^\"((?:[^\"\\]|\\.)*)\"", 1)
-    tail = F.substring(F.col("_o"), F.length(text) + 3, F.length("_o"))
+    # the last quote ends a literal: neither a tag nor an IRI can hold one
+    tail = F.substring_index("_o", '"', -1)
+    text = F.substring(F.col("_o"), F.lit(2), F.length("_o") - F.length(tail) - 2)
     lang, dt = F.when(tail.startswith("@"), F.substring(tail, F.lit(2), F.length(tail))), F.when(tail.startswith("^^"), F.substring(tail, F.lit(4), F.length(tail) - 4))
     literal = ok & F.col("_o").startswith('"')
     out = rows.select(
-        kind("_g").alias("g_kind"), value("_g").alias("g"), kind("_s").alias("s_kind"), value("_s").alias("s"), value("_p").alias("p"),
+        "_line", ok.alias("_ok"), kind("_g").alias("g_kind"), value("_g").alias("g"), kind("_s").alias("s_kind"), value("_s").alias("s"), value("_p").alias("p"),
         kind("_o").alias("o_kind"), F.when(literal, text).otherwise(value("_o")).alias("o"),
         F.when(literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(STRING)))).alias("o_dt"), F.when(literal, lang).alias("o_lang"),
-        F.when(~ok, F.col("_line")).alias("error"),
     )
-    return out.select(*[unescape(F.col(c)).alias(c) if c in ("g", "s", "p", "o", "o_dt") else F.col(c) for c in (*COLUMNS, "error")])
+    # almost no line holds an escape: those that do are one branch, and Python sees no other
+    held = F.col("_line").contains("\\") & F.col("_ok")
+    resolved = {c: unescape(F.col(c), True) for c in ("g", "s", "p", "o_dt")}
+    resolved["o"] = F.when(F.col("o_kind") == LITERAL, unescape(F.when(F.col("o_kind") == LITERAL, F.col("o")))).otherwise(unescape(F.when(F.col("o_kind") == IRI, F.col("o")), True))
+    resolved["o"] = F.when(F.col("o_kind") == BLANK, F.col("o")).otherwise(resolved["o"])
+    plain = {c: F.when(held, resolved[c]).otherwise(F.col(c)) if c in resolved else F.col(c) for c in COLUMNS}
+    rows = out.select("_line", "_ok", *[plain[c].alias(c) for c in COLUMNS])
+    wrong = ~F.col("_ok") | F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull() | (F.col("g_kind").isNotNull() & F.col("g").isNull()) | ((F.col("o_kind") == LITERAL) & F.col("o_dt").isNull())
+    return rows.select(*[F.when(~wrong, F.col(c)).alias(c) for c in COLUMNS], F.when(wrong, F.col("_line")).alias("error"))
 
 
 def checked(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:

@@ -50,14 +50,15 @@ class _Reader:
                 self.emit(s, TYPE, self.ref(v, base))
             elif not k.startswith((_X, _R)) and k.startswith("{"):
                 self.emit(s, _name(k), (LITERAL, v, LANG_STRING if lang else STRING, lang))
+        self.entries(s, e, base, lang)
+        return s
+
+    def entries(self, s: tuple, e: ET.Element, base: str | None, lang: str | None) -> None:
+        """Property elements; every rdf:li gets the next number."""
         n = 0
         for child in e:
-            p = _name(child.tag)
-            if child.tag == _R + "li":
-                n += 1
-                p = f"{RDF}_{n}"
-            self.entry(s, p, child, base, lang)
-        return s
+            n += child.tag == _R + "li"
+            self.entry(s, f"{RDF}_{n}" if child.tag == _R + "li" else _name(child.tag), child, base, lang)
 
     def entry(self, s: tuple, p: str, e: ET.Element, base: str | None, lang: str | None) -> None:
         base, lang = e.get(_X + "base", base), e.get(_X + "lang", lang) or None
@@ -70,8 +71,7 @@ class _Reader:
         elif kind == "Resource":
             o = self.blank()
             self.emit(s, p, o, reified)
-            for child in e:
-                self.entry(o, _name(child.tag), child, base, lang)
+            self.entries(o, e, base, lang)
         elif kind == "Collection":
             items = [self.node(c, base, lang) for c in e]
             nodes = [self.blank() for _ in items] + [(IRI, NIL, None, None)]
@@ -93,6 +93,8 @@ class _Reader:
 
 def parse(text: str, doc: str = "doc", base: str | None = None) -> list[tuple]:
     """Triples of one document; raises ValueError where it is no RDF/XML."""
+    if "<!ENTITY" in text and re.search(r"<!ENTITY\s[^>]*&", text):
+        raise ValueError("an entity that is made of others")
     try:
         root = ET.fromstring(text)
     except ET.ParseError as fault:
@@ -117,7 +119,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILF
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows = [(*r, None) for r in parse(text or "", doc, base)]
-                except ValueError as fault:
+                except (ValueError, RecursionError) as fault:
                     rows = [(None,) * 9 + (f"{doc}: {fault}",)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[*COLUMNS, "error"]).astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})

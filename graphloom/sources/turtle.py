@@ -236,7 +236,7 @@ def parse_documents(docs: DataFrame, graphs: bool = True, base: str | None = Non
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows = [(*r, None) for r in parse(text or "", doc, base or doc if "://" in (base or doc) else base, graphs)]
-                except ValueError as fault:
+                except (ValueError, RecursionError) as fault:
                     rows = [(None,) * 9 + (f"{doc}: {fault}",)]
                 for at in range(0, len(rows), 10_000):
                     part = pd.DataFrame(rows[at : at + 10_000], columns=[*COLUMNS, "error"])
