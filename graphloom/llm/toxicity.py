@@ -2,9 +2,13 @@
 
 Terms are whole words and the five-letter grams within them, so that inflected
 and compounded forms meet.  Fitting, on a bounded sample of labelled rows
-(``SAMPLE`` of each class): the terms that separate the classes best are kept
-(``TERMS`` at most, by a likelihood-ratio test).  One pass over all whole texts
-then counts the kept terms; document frequencies are taken over all documents.
+(``SAMPLE`` of each class): every term is kept whose rates in the two classes
+differ by more than chance makes any one of so many terms differ (a likelihood
+ratio over twice the logarithm of the number of terms).  The other terms say
+nothing of toxicity and would only bring texts of one subject together.  Each
+example's whole text is a term as well, so a copy of an example always meets it.
+One pass over all whole texts then counts the kept terms; document frequencies
+are taken over all documents.
 The sample's vectors become a block-max inverted index, which is broadcast: its
 size is bounded by the sample, not by the corpus.
 
@@ -31,8 +35,6 @@ from .common import crc_mod, row_hash, text_or_empty, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 4096
-#: Terms kept at most, and the least likelihood ratio (2 ln) of a term.
-TERMS, LEAST_RATIO = 4096, 25.0
 #: Neighbours that vote, and examples in a block of the index.
 K, BLOCK = 15, 64
 #: Sample rows of each class that the calibration is fitted on, and its pull towards none.
@@ -162,7 +164,7 @@ class Voter:
         toxic, all_ = float(self.weight[blank & (labels == 1)].sum()), float(self.weight[blank].sum())
         rate = float(self.weight[labels == 1].sum()) / max(float(self.weight.sum()), 1e-9)
         self.prior = min(max(rate, 1e-3), 0.5)
-        self.blank = min((toxic + self.prior) / (all_ + 1.0), 0.49)  # nothing speaks for it
+        self.blank = (toxic + self.prior) / (all_ + 1.0)
         self.slope, self.shift = 1.0, 0.0
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +239,9 @@ def _told(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "benign": [seen[0][t] for t in part], "toxic": [seen[1][t] for t in part]})
 
 
-def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(vocabulary: dict[str, int], copies: dict[int, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the kept terms, which are numbered after the whole texts of the examples."""
+
     class Ids(dict):
         def __missing__(self, token: str) -> tuple[int, ...]:
             if len(self) >= _CACHE_WORDS:
@@ -248,11 +252,12 @@ def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Ite
     ids = Ids()
     for batch in batches:
         terms, counts = [], []
-        for text in batch.text:
+        for text, name in zip(batch.text, batch.text_hash.tolist(), strict=True):
             met = Counter(chain.from_iterable(map(ids.__getitem__, text.lower().split())))
+            whole = [copies[name]] if name in copies and text else []
             keys = sorted(met)
-            terms.append(keys)
-            counts.append([met[t] for t in keys])
+            terms.append(whole + keys)
+            counts.append([1] * len(whole) + [met[t] for t in keys])
         yield batch.drop(columns=["text"]).assign(terms=terms, counts=counts)
 
 
@@ -279,8 +284,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  Labels are learnt
     only from rows whose crc32(doc_id as text) modulo ``folds`` is not
     ``held_out_fold``.  ``evidence`` lists the voters (doc_id, label, cosine).
-    Null and empty texts, and texts without a kept term, get the rate of such
-    rows among the examples.  Without usable labels every score is 0.  A doc_id
+    Null and empty texts, and texts without a kept term that copy no example, get
+    the rate of such rows among the examples.  Without usable labels every score is 0.  A doc_id
     with several labels counts as toxic if one says so; rows of labels with a
     null are left out; a document with a null doc_id is scored and is not held
     out; repeated rows each give a row; an empty table gives none; other columns
@@ -296,22 +301,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     chosen = spark.createDataFrame(picked, "doc_id long, toxic int") if picked else spark.createDataFrame([], "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
-    train = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # a bounded sample
+    train = written(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", row_hash().alias("text_hash")), "toxicity-examples")  # a bounded sample
     counted = train.mapInPandas(_term_counts, "term string, benign long, toxic long").groupBy("term").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
+    counted = written(counted, "toxicity-terms")
     n = {label: max(1, sum(x[1] == label for x in picked)) for label in (0, 1)}
-    ranked = counted.where("toxic + benign >= 3").withColumn("ratio", F.expr(_ratio("toxic", "benign", f"{n[1]}D", f"{n[0]}D"))).where(F.col("ratio") >= LEAST_RATIO)
-    kept = distinct_terms([(r.term, r.benign, r.toxic) for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()])
-    vocabulary = {t: i for i, t in enumerate(sorted(kept))}
+    least = 2 * math.log(max(counted.count(), 1))
+    apart = counted.where(F.expr(_ratio("toxic", "benign", f"{n[1]}D", f"{n[0]}D")) >= least)
+    kept = distinct_terms([(r.term, r.benign, r.toxic) for r in apart.collect()])  # terms of the sample
+    copies = {r.text_hash: i for i, r in enumerate(train.select("text_hash").distinct().orderBy("text_hash").collect())}
+    vocabulary = {t: i for i, t in enumerate(sorted(kept), len(copies))}
+    n_terms = len(copies) + len(vocabulary)
 
     exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), row_hash().alias("text_hash"), "text")
-    vectors = exact.mapInPandas(lambda it: _vectors(vocabulary, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
+    vectors = exact.mapInPandas(lambda it: _vectors(vocabulary, copies, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
     vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "terms", "counts"), "toxicity-vectors")
 
     total = vectors.count()
-    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(len(vocabulary), it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(n_terms, it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     seen = {r.term: r.n for r in summed.collect()}  # a row per kept term
-    idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    examples = vectors.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("terms", "counts")).alias("v")).orderBy("doc_id").collect()
+    idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(n_terms)])
+    examples = vectors.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text_hash", "terms", "counts")).alias("v")).orderBy("v.text_hash", "toxic").collect()  # a doc_id decides no tie
     as_arrays = [(np.array(r.v.terms, np.int64), np.array(r.v.counts, float)) for r in examples]
     y = np.array([r.toxic for r in examples], np.int64)
     if len(examples):

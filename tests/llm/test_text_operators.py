@@ -65,6 +65,18 @@ def test_lm_scores(docs, order, monkeypatch):
     assert lm_score.score_texts(docs.limit(0), order).count() == 0
 
 
+def test_common_contexts_are_split_at_every_order(docs, monkeypatch):
+    """With nearly every context a heavy one, the scores stay the same."""
+    monkeypatch.setattr(lm_score, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(lm_score, "SENT_ROWS", 3)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    score = lambda: sorted(round(r.score, 6) for r in lm_score.score_texts(docs, 3).collect())
+    monkeypatch.setattr(lm_score, "HEAVY", 50)
+    assert np.allclose(score(), sorted(model_score(rows, 3, t)[3] for _, t in rows), atol=1e-5)
+    with pytest.raises(ValueError, match="order"):
+        lm_score.score_texts(docs, 4)
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
@@ -228,6 +240,18 @@ def test_toxicity_learns_and_generalises(spark):
     assert {r.score for r in toxicity.score_toxicity(docs.limit(5), known.limit(0)).collect()} == {0.0}
 
 
+def test_a_copy_of_a_toxic_example_is_toxic_without_any_telling_word(spark):
+    """No word tells the classes apart; copies, ties and the doc_ids change nothing."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(300)], 12)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    one = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    taught = [i for i in range(60) if not one[i].held_out]
+    assert any(i % 3 == 0 for i in taught) and all(one[1000 + i].predicted == one[i].predicted == int(i % 3 == 0) for i in taught)
+    assert all(one[1000 + i].score == one[i].score for i in range(60))
+
+
 # --- nearest neighbours ------------------------------------------------------
 
 
