@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Well-known prefixes.
@@ -37,6 +37,54 @@ def compact(iri: Column, prefixes: dict[str, str] | None = None) -> Column:
     return out
 
 
+def prefix_from(namespace_: str, taken: dict[str, str]) -> str:
+    """A prefix for a namespace: the known one, else made of its last telling word, numbered if that is taken."""
+    for prefix, ns in taken.items():
+        if ns == namespace_:
+            return prefix
+    host, _, path = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "", namespace_).rstrip("/#").partition("/")
+    words = [w for w in re.split(r"[/#]", path) if re.fullmatch(r"[A-Za-z][A-Za-z_-]*", w) and w.lower() not in ("ns", "core", "terms", "vocab", "schema", "ontology", "v")]
+    names = [w for w in host.split(".") if re.fullmatch(r"[A-Za-z][A-Za-z-]*", w) and w not in ("www", "com", "org", "net", "purl")]
+    stem = re.sub(r"[^a-z]", "", (words[-1] if words else names[0] if names else "ns").lower())[:12] or "ns"
+    if stem != "ns" and stem not in taken:
+        return stem
+    return next(f"{stem}{i}" for i in range(1, len(taken) + 2) if f"{stem}{i}" not in taken)
+
+
+def prefixes_for(q: DataFrame, known: dict[str, str] | None = None, most: int = 1000) -> dict[str, str]:
+    """Prefixes for the namespaces of predicates, classes and datatypes in use: the known ones, and made ones for the rest.
+
+    The ``most`` used namespaces get one; what is left is written in full.
+    """
+    known = PREFIXES if known is None else known
+    named = F.array("p", F.when((F.col("p") == PREFIXES["rdf"] + "type") & (F.col("o_kind") == 0), F.col("o")), F.when(F.col("o_kind") == 2, F.col("o_dt")))
+    used = q.select(F.explode(F.array_compact(named)).alias("iri")).where(local_name(F.col("iri")) != "").groupBy(namespace(F.col("iri")).alias("ns")).agg(F.count("*").alias("n"))
+    out, taken = {}, dict(known)
+    for r in sorted(r.ns for r in used.orderBy(F.desc("n"), "ns").limit(most).collect()):
+        prefix = prefix_from(r, taken)
+        out[prefix] = taken[prefix] = r
+    return out
+
+
+def compact_parts(iri: Column, prefixes: dict[str, str], role: str = "subject", base: str | None = None) -> Column:
+    """struct(kind, prefix, text): how an IRI is written in its role.
+
+    ``special`` (rdf:type as a predicate is ``a``), ``prefixed`` (the longest
+    known namespace), ``relative`` (below ``base``; subjects and objects only),
+    else ``full``.
+    """
+    part = lambda kind, prefix, text: F.struct(F.lit(kind).alias("kind"), prefix.cast("string").alias("prefix"), text.alias("text"))
+    name = compact(iri, prefixes)
+    out = F.when(name != iri, part("prefixed", F.substring_index(name, ":", 1), F.substring(name, F.instr(name, ":") + 1, F.length(name))))
+    if base and role in ("subject", "object"):
+        rest = F.substring(iri, F.lit(len(base) + 1), F.length(iri))
+        out = out.when(iri.startswith(base) & ~rest.rlike("^/|:"), part("relative", F.lit(None), rest))
+    if role == "predicate":
+        out = F.when(iri == PREFIXES["rdf"] + "type", part("special", F.lit(None), F.lit("a"))).otherwise(out.otherwise(part("full", F.lit(None), iri)))
+        return out
+    return out.otherwise(part("full", F.lit(None), iri))
+
+
 def expand(name: Column, prefixes: dict[str, str] | None = None) -> Column:
     """The IRI of ``prefix:local``; names of no known prefix stay."""
     table = F.create_map(*[F.lit(x) for pair in (prefixes or PREFIXES).items() for x in pair])

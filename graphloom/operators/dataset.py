@@ -28,6 +28,16 @@ def contains_graph(q: DataFrame, name: str) -> bool:
     return not graph(q, name).limit(1).isEmpty()
 
 
+def named_graphs(q: DataFrame) -> DataFrame:
+    """(g_kind, g, triples): every named graph with its number of triples; ``graph`` gives its rows."""
+    return q.where("g is not null").groupBy(*GRAPH).agg(F.count("*").alias("triples"))
+
+
+def cross_graph_objects(q: DataFrame) -> DataFrame:
+    """(o, graphs): IRIs that are objects in several graphs."""
+    return q.where(F.col("o_kind") == IRI).groupBy("o").agg(F.countDistinct(F.coalesce("g", F.lit(""))).alias("graphs")).where("graphs > 1")
+
+
 def collapse(q: DataFrame, handling: str = "strict") -> DataFrame:
     """One graph of a dataset: ``strict`` (raises on named graphs), ``ignore`` or ``merge`` (keeps duplicates)."""
     if handling == "strict" and not q.where("g is not null").limit(1).isEmpty():

@@ -122,6 +122,11 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return sides.groupBy(*COLUMNS).agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo = hi").withColumnRenamed("lo", "side").drop("hi")
 
 
+def size(q: DataFrame) -> DataFrame:
+    """One row: the number of triples, duplicates counted."""
+    return q.agg(F.count("*").alias("size"))
+
+
 def graph_hash(q: DataFrame) -> DataFrame:
     """One row: an order-free hash of the set of triples."""
     return q.select(*COLUMNS).distinct().agg(F.bit_xor(F.xxhash64(*COLUMNS)).alias("hash"), F.count("*").alias("size"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import lexical_is_valid
-from ..schema import BOOLEAN, COLUMNS, DATE, DATE_TIME, DECIMAL, DOUBLE, IRI, INTEGER, LITERAL, STRING, TYPE
+from ..schema import BLANK, BOOLEAN, COLUMNS, DATE, DATE_TIME, DECIMAL, DOUBLE, IRI, INTEGER, LITERAL, STRING, TYPE
 
 
 @dataclass(frozen=True)
@@ -30,12 +30,25 @@ class Property:
 
 @dataclass(frozen=True)
 class ClassSpec:
-    """A class: its IRI, the template of its subjects over ``key``, and its properties."""
+    """A class: its IRI, the template of its subjects over ``key``, and its properties.
+
+    With ``local`` the subjects are blank nodes, named by the template within
+    the table.
+    """
 
     iri: str
     template: str
     key: str
     properties: tuple[Property, ...] = field(default_factory=tuple)
+    local: bool = False
+
+    def __post_init__(self) -> None:
+        for place, template in [("subject", self.template), *((p.column, p.template) for p in self.properties if p.kind == "iri")]:
+            if template.count("{}") != 1 or "{" in template.replace("{}", "") or "}" in template.replace("{}", ""):
+                raise ValueError(f"{place}: a template has one place for the value, {{}}: {template}")
+        unknown = [p.kind for p in self.properties if p.kind != "iri" and p.kind not in KINDS]
+        if unknown:
+            raise ValueError(f"unknown kinds: {', '.join(unknown)}; known: {', '.join(KINDS)}")
 
 
 #: Literal kinds: datatype and how a column is written.
@@ -80,7 +93,7 @@ def triplify(df: DataFrame, spec: ClassSpec, graph: str | None = None) -> DataFr
     singles = F.array(term(TYPE, IRI, F.lit(spec.iri)), *[of(p, F.col(p.column)) for p in spec.properties if not p.many])
     every = F.concat(singles, *[F.coalesce(each(p), F.array()) for p in spec.properties if p.many]) if any(p.many for p in spec.properties) else singles
     rows = df.where(F.col(spec.key).isNotNull()).select(_filled(spec.template, F.col(spec.key)).alias("s"), F.explode(F.filter(every, lambda t: t["o"].isNotNull())).alias("t"))
-    return rows.select(F.lit(IRI if graph else None).cast("byte").alias("g_kind"), F.lit(graph).cast("string").alias("g"), F.lit(IRI).cast("byte").alias("s_kind"), "s", "t.*").select(*COLUMNS)
+    return rows.select(F.lit(IRI if graph else None).cast("byte").alias("g_kind"), F.lit(graph).cast("string").alias("g"), F.lit(BLANK if spec.local else IRI).cast("byte").alias("s_kind"), "s", "t.*").select(*COLUMNS)
 
 
 def _value(prop: Property) -> Column:
@@ -114,23 +127,21 @@ def project(q: DataFrame, spec: ClassSpec) -> DataFrame:
 
 
 def violations(q: DataFrame, spec: ClassSpec) -> DataFrame:
-    """(s, predicate, problem, n): too many values, missing ones, wrong datatypes."""
-    props = {p.predicate: p for p in spec.properties}
-    typed = q.where((F.col("p") == TYPE) & (F.col("o") == spec.iri)).select("s").distinct()
-    own = q.where(F.col("p").isin(list(props))).join(typed, "s", "left_semi")
-    counts = own.groupBy("s", "p").agg(F.count("*").alias("n"))
-    single = [p.predicate for p in spec.properties if not p.many]
-    many = counts.where(F.col("p").isin(single) & (F.col("n") > 1)).select("s", F.col("p").alias("predicate"), F.lit("too many values").alias("problem"), "n")
-    wrong_type = None
-    for p in spec.properties:
-        bad = own.where((F.col("p") == p.predicate) & _value(p).isNull()).groupBy("s", "p").agg(F.count("*").alias("n")).select("s", F.col("p").alias("predicate"), F.lit("datatype").alias("problem"), "n")
-        wrong_type = bad if wrong_type is None else wrong_type.unionByName(bad)
-    needed = [p.predicate for p in spec.properties if p.required]
-    out = many.unionByName(wrong_type) if wrong_type is not None else many
-    if needed:
-        wanted = typed.select("s", F.explode(F.array(*[F.lit(x) for x in needed])).alias("p"))
-        out = out.unionByName(wanted.join(counts, ["s", "p"], "left_anti").select("s", F.col("p").alias("predicate"), F.lit("missing").alias("problem"), F.lit(0).cast("long").alias("n")))
-    return out
+    """(s, predicate, problem, n): too many values, missing ones, wrong datatypes; one shuffle for all properties."""
+    hit = [F.col("p") == p.predicate for p in spec.properties]
+    typed = (F.col("p") == TYPE) & (F.col("o") == spec.iri)
+    counts = [F.count_if(h).alias(f"n{i}") for i, h in enumerate(hit)]
+    wrong = [F.count_if(h & _value(p).isNull()).alias(f"w{i}") for i, (h, p) in enumerate(zip(hit, spec.properties, strict=True))]
+    rows = q.where(F.col("p").isin([TYPE, *(p.predicate for p in spec.properties)])).groupBy("s").agg(F.max(typed).alias("typed"), *counts, *wrong).where("typed")
+
+    def problem(p: Property, what: str, when: Column, n: Column) -> Column:
+        return F.when(when, F.struct(F.lit(p.predicate).alias("predicate"), F.lit(what).alias("problem"), n.cast("long").alias("n")))
+
+    found = []
+    for i, p in enumerate(spec.properties):
+        n, w = F.col(f"n{i}"), F.col(f"w{i}")
+        found += [problem(p, "too many values", n > 1, n)] * (not p.many) + [problem(p, "datatype", w > 0, w)] + [problem(p, "missing", n == 0, n)] * p.required
+    return rows.select("s", F.explode(F.array_compact(F.array(*found))).alias("v")).select("s", "v.*")
 
 
 def unmapped(q: DataFrame, spec: ClassSpec) -> DataFrame:
@@ -144,3 +155,49 @@ def predicates_map(q: DataFrame) -> DataFrame:
     """(s, values): a map from predicate to its sorted values, catch-all for open data."""
     pairs = q.groupBy("s", "p").agg(F.sort_array(F.collect_list("o")).alias("os"))
     return pairs.groupBy("s").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("p", "os")))).alias("values"))
+
+
+def complete(q: DataFrame, spec: ClassSpec, mode: str = "strict") -> DataFrame:
+    """The projection, and what ``mode`` makes of triples that it doesn't read.
+
+    ``strict`` raises a ValueError that tells their number, ``warn`` warns,
+    ``lenient`` looks at nothing.
+    """
+    if mode not in ("strict", "warn", "lenient"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode != "lenient":
+        left = unmapped(q, spec).count()
+        if left and mode == "strict":
+            raise ValueError(f"{left} triples are not part of {spec.iri}")
+        if left:
+            import warnings
+
+            warnings.warn(f"{left} triples are not part of {spec.iri}", stacklevel=2)
+    return project(q, spec)
+
+
+def root_of(q: DataFrame, spec: ClassSpec) -> str:
+    """The one subject that a document is about: its only subject, else the only one of the class, else the least that no other refers to."""
+    from .traverse import root_subjects
+
+    for subjects in (q.select("s").distinct(), q.where((F.col("p") == TYPE) & (F.col("o") == spec.iri)).select("s").distinct()):
+        found = subjects.limit(2).collect()
+        if len(found) == 1:
+            return found[0].s
+    least = root_subjects(q).agg(F.min("s")).first()[0]
+    if least is None:
+        raise ValueError("no subject is a root")
+    return least
+
+
+def native_values(q: DataFrame) -> DataFrame:
+    """(s, p, i, n, t): literals as numbers and text by their datatypes; invalid forms are null."""
+    good = lexical_is_valid(F.col("o"), F.col("o_dt"))
+    of = lambda dt: F.when((F.col("o_dt") == dt) & good, F.col("o"))
+    return q.where(F.col("o_kind") == LITERAL).select("s", "p", of(INTEGER).try_cast("bigint").alias("i"), of(DECIMAL).try_cast("decimal(18,2)").alias("n"), F.when(F.col("o_dt") == STRING, F.col("o")).alias("t"))
+
+
+def json_triples(df: DataFrame, subject: Column, column: str, vocabulary: str) -> DataFrame:
+    """(s, p, o, o_dt) of a column of JSON objects: whole numbers become integers, the rest strings."""
+    rows = df.select(subject.alias("s"), F.explode(F.from_json(column, "map<string,string>")).alias("k", "v"))
+    return rows.select("s", F.concat(F.lit(vocabulary), "k").alias("p"), F.col("v").alias("o"), F.when(F.col("v").rlike("^-?[0-9]+$"), INTEGER).otherwise(STRING).alias("o_dt"))

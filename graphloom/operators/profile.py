@@ -30,3 +30,12 @@ def profile(q: DataFrame) -> DataFrame:
 def top_prefixes(q: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` prefixes with the most distinct IRIs."""
     return _iris(q).groupBy(prefix_of(F.col("iri")).alias("prefix")).agg(F.count("*").alias("iris")).orderBy(F.desc("iris"), "prefix").limit(k)
+
+
+def dataset_profile(q: DataFrame) -> DataFrame:
+    """The same over all graphs of a dataset, each triple counted once, with the number of named graphs; datatypes are no IRIs here."""
+    triples = q.drop("g_kind", "g").distinct()
+    iris = _iris(triples, datatypes=False).agg(F.count("*").alias("iris"), F.countDistinct(prefix_of(F.col("iri"))).alias("prefixes"))
+    counts = triples.agg(F.count("*").alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"), F.count_if(F.col("o_kind") == LITERAL).alias("literals"))
+    graphs = q.agg(F.countDistinct("g").alias("graphs"))
+    return counts.crossJoin(iris).crossJoin(graphs)  # one row each

@@ -57,6 +57,26 @@ def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"closure: still growing after {max_rounds} rounds")
 
 
+def topological(edges: DataFrame) -> DataFrame:
+    """(node, level): each node of the edges (node, need) one level above the highest that it needs; a circle is a ValueError.
+
+    A round takes the nodes whose needs are all placed: as many rounds as the
+    longest chain has nodes.
+    """
+    needs = written(edges.where("need is not null").select("node", "need").distinct(), "order-needs")
+    left = written(edges.select("node").union(needs.select("need")).distinct(), "order-left")
+    placed, level = None, 0
+    while not left.isEmpty():
+        held = needs.join(left.withColumnRenamed("node", "need"), "need", "left_semi").select("node")
+        ready = written(left.join(held, "node", "left_anti"), "order-ready")
+        if ready.isEmpty():
+            raise ValueError("topological: the needs run in a circle")
+        now = ready.withColumn("level", F.lit(level))
+        placed = now if placed is None else placed.unionByName(now)
+        left, level = written(left.join(ready, "node", "left_anti"), "order-left"), level + 1
+    return placed if placed is not None else left.withColumn("level", F.lit(0))
+
+
 def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every node of the edges (a, b) between different nodes; a component is its least node.
 

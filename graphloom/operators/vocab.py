@@ -47,6 +47,57 @@ def class_properties(q: DataFrame, hierarchy: DataFrame) -> DataFrame:
     return hierarchy.select("a", "b").unionAll(classes).join(domains, "b").select(F.col("a").alias("class"), "property").distinct()
 
 
+def subtypes(q: DataFrame, classes: list[str]) -> DataFrame:
+    """(class, subtype): every class below one of ``classes``, circles or not."""
+    wanted = q.sparkSession.createDataFrame([(c,) for c in classes], "b string")
+    return class_closure(q).join(F.broadcast(wanted), "b", "left_semi").select(F.col("b").alias("class"), F.col("a").alias("subtype"))
+
+
+def terms(q: DataFrame, namespace: str) -> DataFrame:
+    """(iri, labels, comments, superclasses, equivalents, domains, ranges, see_also) of a namespace: sorted distinct values."""
+    of = lambda p, name: F.array_sort(F.collect_set(F.when(F.col("p") == p, F.col("o")))).alias(name)
+    parts = [(LABEL, "labels"), (COMMENT, "comments"), (SUBCLASS, "superclasses"), (EQUIVALENT, "equivalents"), (DOMAIN, "domains"), (RANGE, "ranges"), (RDFS + "seeAlso", "see_also")]
+    own = q.where((F.col("s_kind") == IRI) & F.col("s").startswith(namespace))
+    return own.groupBy(F.col("s").alias("iri")).agg(*[of(p, name) for p, name in parts])
+
+
+def properties_for_classes(q: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """(class, property, origin): properties that a class of ``hierarchy`` (a, b) may have.
+
+    ``own``: of the class's namespace, with a domain among the class and its
+    closure; ``universal``: of its namespace and without any domain;
+    ``external``: of another namespace, with such a domain.  http and https
+    name the same term.
+    """
+    from ..functions.iri import namespace
+
+    home = lambda iri: scheme_free(namespace(iri))
+    declared = q.where((F.col("p") == TYPE) & F.col("o").isin(PROPERTY_TYPES)).select(F.col("s").alias("property"))
+    domains = q.where((F.col("p") == DOMAIN) & (F.col("o_kind") == IRI)).select(F.col("s").alias("property"), F.col("o").alias("b"))
+    pairs = hierarchy.select("a", "b").unionAll(hierarchy.select(F.col("a"), F.col("a").alias("b"))).unionAll(hierarchy.select(F.col("b").alias("a"), "b")).distinct()
+    typed = pairs.withColumn("key", scheme_free(F.col("b"))).join(domains.select("property", scheme_free(F.col("b")).alias("key")), "key").select(F.col("a").alias("class"), "property")
+    typed = typed.withColumn("origin", F.when(home(F.col("class")) == home(F.col("property")), "own").otherwise("external"))
+    classes = pairs.select(F.col("a").alias("class")).distinct().withColumn("home", home(F.col("class")))
+    free = declared.join(domains, "property", "left_anti").distinct().withColumn("home", home(F.col("property")))
+    return typed.unionByName(classes.join(free, "home").select("class", "property", F.lit("universal").alias("origin"))).distinct()
+
+
+def referenced_namespaces(q: DataFrame, known: list[str]) -> DataFrame:
+    """(namespace, uses): namespaces of superclasses, domains, ranges and predicates that no loaded vocabulary has."""
+    from ..functions.iri import namespace
+
+    named = q.where(F.col("p").isin(SUBCLASS, EQUIVALENT, DOMAIN, RANGE) & (F.col("o_kind") == IRI)).select(F.col("o").alias("iri")).unionAll(q.select("p"))
+    found = named.groupBy(namespace(F.col("iri")).alias("namespace")).agg(F.count("*").alias("uses"))
+    return found.where(~F.col("namespace").isin(known) if known else F.lit(True))
+
+
+def ontology(spec, vocabulary: str, spark) -> DataFrame:
+    """(s, p, o): the ontology triples of a ClassSpec's properties."""
+    props = spark.createDataFrame([(p.predicate,) for p in spec.properties], "s string")
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(o).alias("o")) for p, o in ((DOMAIN, spec.iri), (RDFS + "isDefinedBy", vocabulary), (TYPE, RDF + "Property"))])
+    return props.select("s", F.explode(rows).alias("t")).select("s", "t.*")
+
+
 def lock_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(name, problem): terms (name, iri, auto) that vanished or changed their IRI; error if generated."""
     old, new = before.select("name", F.col("iri").alias("old"), "auto"), after.select("name", F.col("iri").alias("new"))

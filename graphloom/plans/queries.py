@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import iri as I
 from ..functions.terms import iri_is_valid, lexical_is_valid
-from ..operators import canon, dataset, graph, mapping, profile, traverse, vocab
+from ..operators import canon, containers, dataset, graph, mapping, profile, traverse, vocab
 from ..operators.graph import Literal
 from ..schema import BLANK, COLUMNS, FIRST, INTEGER, IRI, LITERAL, NIL, RDF, RDFS, REST, STRING, TYPE, XSD
 from ..sources import nquads
@@ -146,14 +146,21 @@ def graph_difference(spark, d):
     return graph.remove(quads(spark, d, "customer", "nation"), quads(spark, d, "nation"))
 
 
-@query("SELECT 2 AS side, count(*) AS n FROM q", "region")
+@query(f"WITH a AS ({quads_sql('nation')}), b AS ({quads_sql('nation', 'region')}) SELECT side, count(*) AS n FROM (SELECT 2 AS side, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 1, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) GROUP BY side")
 def graph_equality(spark, d):
     """Sides and counts of what two graphs don't share."""
     return graph.differences(quads(spark, d, "nation"), quads(spark, d, "nation", "region")).groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS size FROM (SELECT DISTINCT * FROM q)", "nation")
+@query("SELECT CAST(2 * count(*) AS BIGINT) AS size FROM q", "nation")
 def graph_size(spark, d):
+    """Triples of a bag, duplicates counted."""
+    q = quads(spark, d, "nation")
+    return graph.size(q.unionAll(q))
+
+
+@query("SELECT count(*) AS size FROM (SELECT DISTINCT * FROM q)", "nation")
+def graph_distinct_size(spark, d):
     q = quads(spark, d, "nation")
     return graph.graph_hash(q.unionAll(q)).select("size")
 
@@ -195,6 +202,11 @@ def merge_into_default(spark, d):
     return dataset.collapse(quads(spark, d, *_DATASET, graphs=True), "merge")
 
 
+@query("SELECT g_kind, g, count(*) AS triples FROM q GROUP BY g_kind, g", *_DATASET, graphs=True)
+def named_graphs(spark, d):
+    return dataset.named_graphs(quads(spark, d, *_DATASET, graphs=True))
+
+
 # --- traversal ---------------------------------------------------------------
 
 _WORLD = ("orders", "customer", "nation", "region")
@@ -245,27 +257,38 @@ def root_subjects(spark, d):
     return traverse.root_subjects(quads(spark, d, *_WORLD))
 
 
-@query(f"WITH {_ITEMS} SELECT o AS node, count(*) AS uses FROM i WHERE o_kind = 1 AND o NOT IN (SELECT o FROM i WHERE o_kind = 1 GROUP BY o HAVING count(*) > 1) GROUP BY o")
+@query(f"WITH {_ITEMS} SELECT o AS node, count(*) AS uses FROM i WHERE o_kind = 1 GROUP BY o HAVING count(*) = 1")
 def inline_blank_candidates(spark, d):
-    """Blank nodes that are the object of one triple only: they can be written inline."""
-    q = _items(spark, d)
-    return q.where(F.col("o_kind") == BLANK).groupBy(F.col("o").alias("node")).agg(F.count("*").alias("uses")).where("uses = 1")
+    return containers.inline_candidates(_items(spark, d))
 
 
-_STEPS = "c AS (SELECT *, 'conv|' || conv_id || '-' || row_number() OVER w AS node, lead(1) OVER w AS more, 'conv|' || conv_id || '-' || (row_number() OVER w + 1) AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+@query(f"+e AS (SELECT s AS node, o AS need FROM q WHERE o_kind = 0 AND p <> '{TYPE}'), w(node, level) AS (SELECT DISTINCT need, 0 FROM e WHERE need NOT IN (SELECT node FROM e) UNION SELECT e.node, level + 1 FROM e JOIN w ON e.need = w.node) SELECT node, CAST(max(level) AS INTEGER) AS level FROM w GROUP BY node", *_WORLD)
+def topological_levels(spark, d):
+    """Orders above customers above nations above regions."""
+    q = quads(spark, d, *_WORLD)
+    return traverse.topological(q.where((F.col("o_kind") == IRI) & (F.col("p") != TYPE)).select(F.col("s").alias("node"), F.col("o").alias("need")))
 
 
-def _conversation_list(spark: SparkSession, d: str) -> DataFrame:
+@query("SELECT node, min(node) OVER (PARTITION BY grp) AS component FROM (SELECT 'n' || n_nationkey AS node, n_regionkey AS grp FROM nation UNION ALL SELECT 'r' || r_regionkey, r_regionkey FROM region)")
+def connected_components(spark, d):
+    """Nations and their regions: a component for each region."""
+    pairs = read(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("a"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("b"))
+    return traverse.connected(pairs)
+
+
+_STEPS = "c AS (SELECT *, 'conv|' || conv_id || CASE WHEN n = 1 THEN '' ELSE '-' || (n - 1) END AS node, 'conv|' || conv_id || '-' || n AS nxt FROM (SELECT *, row_number() OVER w AS n, lead(1) OVER w AS more FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)))"
+
+
+def _turns(spark: SparkSession, d: str, column: str) -> DataFrame:
+    """Turns of conversations with their number ``n`` from 1, and a column as a string literal."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.row_number().over(w)
-    node = lambda k: F.concat(F.lit("conv|"), F.col("conv_id").cast("string"), F.lit("-"), k.cast("string"))
-    rows = read(spark, d, "conversations").withColumn("n", n).withColumn("more", F.lead(F.lit(1)).over(w)).withColumn("node", node(F.col("n")))
-    b = F.lit(BLANK).cast("byte").alias("s_kind")
-    first = F.struct(b, F.col("node").alias("s"), F.lit(FIRST).alias("p"), F.lit(LITERAL).cast("byte").alias("o_kind"), F.col("text").alias("o"), F.lit(STRING).alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
-    rest = F.struct(b, F.col("node").alias("s"), F.lit(REST).alias("p"), F.when(F.col("more").isNull(), IRI).otherwise(BLANK).cast("byte").alias("o_kind"), F.when(F.col("more").isNull(), F.lit(NIL)).otherwise(node(F.col("n") + 1)).alias("o"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
-    return _none(rows.select(F.explode(F.array(first, rest)).alias("t")).select("t.*"))
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    return read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv"), n.alias("n"), F.lit(LITERAL).cast("byte").alias("o_kind"), F.col(column).alias("o"), F.lit(STRING).alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+
+
+def _conversation_list(spark: SparkSession, d: str) -> DataFrame:
+    return containers.list_quads(_turns(spark, d, "text").select(F.concat(F.lit("conv|"), "conv").alias("head"), (F.col("n") - 1).alias("position"), "o_kind", "o", "o_dt", "o_lang"))
 
 
 @query(f"WITH {_STEPS} SELECT CAST(NULL AS TINYINT) AS g_kind, CAST(NULL AS VARCHAR) AS g, CAST(1 AS TINYINT) AS s_kind, node AS s, '{FIRST}' AS p, CAST(2 AS TINYINT) AS o_kind, text AS o, '{STRING}' AS o_dt, CAST(NULL AS VARCHAR) AS o_lang FROM c UNION ALL SELECT NULL, NULL, CAST(1 AS TINYINT), node, '{REST}', CAST(CASE WHEN more IS NULL THEN 0 ELSE 1 END AS TINYINT), CASE WHEN more IS NULL THEN '{NIL}' ELSE nxt END, NULL, NULL FROM c")
@@ -273,7 +296,7 @@ def rdf_list_build(spark, d):
     return _conversation_list(spark, d)
 
 
-@query(f"SELECT 'conv|' || conv_id || '-1' AS head, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, CAST(2 AS TINYINT) AS o_kind, text AS o, '{STRING}' AS o_dt, CAST(NULL AS VARCHAR) AS o_lang FROM conversations")
+@query(f"SELECT 'conv|' || conv_id AS head, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, CAST(2 AS TINYINT) AS o_kind, text AS o, '{STRING}' AS o_dt, CAST(NULL AS VARCHAR) AS o_lang FROM conversations")
 def rdf_list_read(spark, d):
     return traverse.list_items(_conversation_list(spark, d))
 
@@ -283,20 +306,27 @@ def list_node_candidates(spark, d):
     return traverse._list_nodes(_conversation_list(spark, d)).where("firsts = 1 and rests = 1").select("s", "firsts", "rests")
 
 
-@query(f"SELECT '{BASE}conv/' || conv_id AS s, '{RDF}_' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, role AS o FROM conversations")
-def rdf_seq_build(spark, d):
-    from pyspark.sql import Window
+def _roles(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return containers.container_quads(_turns(spark, d, "role").select(F.lit(IRI).cast("byte").alias("s_kind"), F.concat(F.lit(BASE + "conv/"), "conv").alias("s"), F.col("n").alias("position"), "o_kind", "o", "o_dt", "o_lang"), kind)
 
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return read(spark, d, "conversations").select(F.concat(F.lit(BASE + "conv/"), F.col("conv_id").cast("string")).alias("s"), F.concat(F.lit(RDF + "_"), n.cast("string")).alias("p"), F.col("role").alias("o"))
+
+@query(f"SELECT '{BASE}conv/' || conv_id AS s, '{RDF}_' || row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, role AS o FROM conversations UNION ALL SELECT DISTINCT '{BASE}conv/' || conv_id, '{TYPE}', '{RDF}Seq' FROM conversations")
+def rdf_seq_build(spark, d):
+    return _roles(spark, d, "Seq").select("s", "p", "o")
 
 
-@query(f"SELECT '{BASE}conv/' || conv_id AS s, array_to_string(list(role ORDER BY turn), ',') AS members FROM conversations GROUP BY conv_id")
+@query(f"SELECT '{BASE}conv/' || conv_id AS s, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS position, role AS o FROM conversations WHERE turn <> 1")
 def rdf_seq_read(spark, d):
-    """Members of containers by their numbered predicates; gaps are skipped."""
-    number = F.regexp_extract("p", r"_([1-9]\d*)$", 1).cast("int")
-    rows = rdf_seq_build(spark, d).where(F.col("p").rlike(r"_[1-9]\d*$"))
-    return rows.groupBy("s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(number.alias("n"), "o"))), lambda x: x["o"]), ",").alias("members"))
+    """Members by their numbers, after the second of each is taken out: gaps are skipped."""
+    q = _roles(spark, d, "Seq")
+    turns = read(spark, d, "conversations").where("turn = 1").select("conv_id").distinct()
+    gone = turns.select(F.concat(F.lit(BASE + "conv/"), F.col("conv_id").cast("string")).alias("s"), F.lit(RDF + "_2").alias("p"))
+    return containers.container_items(q.join(gone, ["s", "p"], "left_anti")).select("s", "position", "o")
+
+
+@query(f"SELECT '{BASE}conv/' || conv_id AS s, role AS o, count(*) AS n FROM conversations GROUP BY ALL")
+def rdf_bag_counts(spark, d):
+    return containers.container_items(_roles(spark, d, "Bag"), "Bag").groupBy("s", "o").agg(F.count("*").alias("n"))
 
 
 # --- canonical form ----------------------------------------------------------
@@ -496,27 +526,32 @@ def literal_kind_counts(spark, d):
 
 @query(f"SELECT s, p, CASE WHEN o_dt = '{INTEGER}' THEN TRY_CAST(o AS BIGINT) END AS i, CASE WHEN o_dt = '{XSD}decimal' THEN TRY_CAST(o AS DECIMAL(18,2)) END AS n, CASE WHEN o_dt = '{STRING}' THEN o END AS t FROM q WHERE o_kind = 2", "part")
 def native_types(spark, d):
-    """Literals as host values by datatype; invalid forms are null."""
-    good = lexical_is_valid(F.col("o"), F.col("o_dt"))
-    return quads(spark, d, "part").where(F.col("o_kind") == LITERAL).select("s", "p", F.when((F.col("o_dt") == INTEGER) & good, F.col("o")).try_cast("bigint").alias("i"), F.when((F.col("o_dt") == XSD + "decimal") & good, F.col("o")).try_cast("decimal(18,2)").alias("n"), F.when(F.col("o_dt") == STRING, F.col("o")).alias("t"))
+    return mapping.native_values(quads(spark, d, "part"))
 
 
 @query("SELECT o, count(DISTINCT g) AS graphs FROM q WHERE o_kind = 0 GROUP BY o HAVING count(DISTINCT g) > 1", "customer", "supplier", "nation", graphs=True)
 def cross_graph_objects(spark, d):
-    q = quads(spark, d, "customer", "supplier", "nation", graphs=True)
-    return q.where(F.col("o_kind") == IRI).groupBy("o").agg(F.countDistinct(F.coalesce("g", F.lit(""))).alias("graphs")).where("graphs > 1")
+    return dataset.cross_graph_objects(quads(spark, d, "customer", "supplier", "nation", graphs=True))
+
+
+@query(f"SELECT DISTINCT s, CASE WHEN s LIKE '{BASE}nation/%' THEN 'relative' ELSE 'prefixed' END AS kind, CASE WHEN s LIKE '{BASE}nation/%' THEN NULL ELSE 'c' END AS prefix, regexp_extract(s, '[^/]*$') AS text FROM q", "customer", "nation")
+def iri_compact_roles(spark, d):
+    """Subjects below the base and below a prefix."""
+    found = graph.subjects(quads(spark, d, "customer", "nation")).select("s", I.compact_parts(F.col("s"), {"c": BASE + "customer/"}, "subject", BASE + "nation/").alias("c"))
+    return found.select("s", "c.kind", "c.prefix", "c.text")
+
+
+@query(f"SELECT * FROM (VALUES ('data', '{V}'), ('rdf', '{RDF}'), ('xsd', '{XSD}')) AS t(prefix, ns) WHERE ns = '{RDF}' OR ns IN (SELECT left(p, {len(V)}) FROM q UNION SELECT left(o_dt, {len(XSD)}) FROM q)", "orders")
+def iri_generate_prefixes(spark, d):
+    """Known prefixes, and one made for the vocabulary of the tables."""
+    return spark.createDataFrame(sorted(I.prefixes_for(quads(spark, d, "orders")).items()), "prefix string, ns string")
 
 
 # --- reification, profile, vocabulary ----------------------------------------
 
 
 def _reified(spark: SparkSession, d: str) -> DataFrame:
-    q = quads(spark, d, "nation")
-    s = F.concat(F.lit(BASE + "st/"), F.md5(F.concat_ws(" ", "s", "p", "o")))
-    none = F.lit(None).cast("string")
-    part = lambda p, k, o, dt=none: F.struct(s.alias("s"), F.lit(RDF + p).alias("p"), k.cast("byte").alias("o_kind"), o.alias("o"), dt.alias("o_dt"))
-    iri = F.lit(IRI)
-    return q.select(F.explode(F.array(part("type", iri, F.lit(RDF + "Statement")), part("subject", F.col("s_kind"), F.col("s")), part("predicate", iri, F.col("p")), part("object", F.col("o_kind"), F.col("o"), F.col("o_dt")))).alias("t")).select("t.*")
+    return containers.reify(quads(spark, d, "nation"), F.concat(F.lit(BASE + "st/"), F.md5(F.concat_ws(" ", "s", "p", "o"))))
 
 
 _REIFY = f"st AS (SELECT '{BASE}st/' || md5(concat_ws(' ', s, p, o)) AS st, * FROM q), r AS (SELECT st AS s, '{TYPE}' AS p, CAST(0 AS TINYINT) AS o_kind, '{RDF}Statement' AS o, CAST(NULL AS VARCHAR) AS o_dt FROM st UNION ALL SELECT st, '{RDF}subject', s_kind, s, NULL FROM st UNION ALL SELECT st, '{RDF}predicate', CAST(0 AS TINYINT), p, NULL FROM st UNION ALL SELECT st, '{RDF}object', o_kind, o, o_dt FROM st)"
@@ -524,16 +559,13 @@ _REIFY = f"st AS (SELECT '{BASE}st/' || md5(concat_ws(' ', s, p, o)) AS st, * FR
 
 @query(f"+{_REIFY} SELECT s, p, o_kind, o, o_dt FROM r", "nation")
 def reification_expand(spark, d):
-    return _reified(spark, d)
+    return _reified(spark, d).select("s", "p", "o_kind", "o", "o_dt")
 
 
 @query("SELECT s, p, o_kind, o, o_dt FROM q", "nation")
 def reification_detect(spark, d):
     """Statements put together again from their four triples."""
-    rows = _reified(spark, d)
-    of = lambda p, c: F.max(F.when(F.col("p") == RDF + p, F.col(c)))
-    found = rows.groupBy(F.col("s").alias("st")).agg(of("subject", "o").alias("s"), of("predicate", "o").alias("p"), of("object", "o_kind").alias("o_kind"), of("object", "o").alias("o"), of("object", "o_dt").alias("o_dt"), F.count_if((F.col("p") == TYPE) & (F.col("o") == RDF + "Statement")).alias("n"))
-    return found.where("n > 0 and s is not null and p is not null and o is not null").select("s", "p", "o_kind", "o", "o_dt")
+    return containers.statements(_reified(spark, d)).select("s", "p", "o_kind", "o", "o_dt")
 
 
 _IRIS = "iris AS (SELECT DISTINCT unnest([CASE WHEN s_kind = 0 THEN s END, p, CASE WHEN o_kind = 0 THEN o END, o_dt]) AS iri FROM q), pre AS (SELECT iri, CASE WHEN contains(iri, '#') THEN regexp_extract(iri, '^(.*#)', 1) WHEN contains(iri, '/') THEN regexp_extract(iri, '^(.*/)', 1) ELSE iri END AS prefix FROM iris WHERE iri IS NOT NULL)"
@@ -579,9 +611,52 @@ def vocab_classify(spark, d):
 @query("WITH o AS (SELECT unnest(['c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS name) SELECT '" + V + "' || name AS s, '" + RDFS + "domain' AS p, '" + V + "Customer' AS o FROM o UNION ALL SELECT '" + V + "' || name, '" + RDFS + "isDefinedBy', '" + V + "' FROM o UNION ALL SELECT '" + V + "' || name, '" + TYPE + "', '" + RDF + "Property' FROM o")
 def owl_ontology_build(spark, d):
     """Ontology triples of a class specification."""
-    props = spark.createDataFrame([(p.predicate,) for p in SPECS["customer"].properties], "s string")
-    rows = F.array(F.struct(F.lit(RDFS + "domain").alias("p"), F.lit(SPECS["customer"].iri).alias("o")), F.struct(F.lit(RDFS + "isDefinedBy").alias("p"), F.lit(V).alias("o")), F.struct(F.lit(TYPE).alias("p"), F.lit(RDF + "Property").alias("o")))
-    return props.select("s", F.explode(rows).alias("t")).select("s", "t.*")
+    return vocab.ontology(SPECS["customer"], V, spark)
+
+
+_TOP = f"{BASE}region/1"
+
+
+@query(f"{_CLOSURE} SELECT b AS class, a AS subtype FROM c WHERE b = '{_TOP}'", "customer", "nation")
+def class_subtypes(spark, d):
+    return vocab.subtypes(_hierarchy(spark, d), [_TOP])
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as classes below regions, with labels, and a property for every second of them; part of the properties have no domain."""
+    n = read(spark, d, "nation")
+    iri = lambda kind: F.concat(F.lit(V + kind), F.col("n_nationkey").cast("string"))
+    none = F.lit(None).cast("string")
+    row = lambda s, p, o, dt=none: F.struct(F.lit(IRI).cast("byte").alias("s_kind"), s.alias("s"), F.lit(p).alias("p"), F.when(dt.isNull(), IRI).otherwise(LITERAL).cast("byte").alias("o_kind"), o.alias("o"), dt.alias("o_dt"), none.alias("o_lang"))
+    up = F.concat(F.lit(V + "r"), F.col("n_regionkey").cast("string"))
+    domain = F.when(F.col("n_nationkey") % 2 == 0, row(iri("p"), vocab.DOMAIN, up))
+    rows = F.array(row(iri("n"), vocab.SUBCLASS, up), row(iri("n"), vocab.LABEL, F.col("n_name"), F.lit(STRING)), row(iri("p"), TYPE, F.lit(RDF + "Property")), domain)
+    return _none(n.select(F.explode(F.array_compact(rows)).alias("t")).select("t.*"))
+
+
+@query(f"SELECT '{V}n' || n_nationkey AS iri, n_name AS label, '{V}r' || n_regionkey AS superclass FROM nation")
+def vocab_terms(spark, d):
+    found = vocab.terms(_vocabulary(spark, d), V)
+    return found.where(F.size("labels") > 0).select("iri", F.array_join("labels", ",").alias("label"), F.array_join("superclasses", ",").alias("superclass"))
+
+
+@query(f"""WITH cls AS (SELECT '{V}n' || n_nationkey AS class, n_regionkey AS r FROM nation UNION SELECT '{V}r' || n_regionkey, n_regionkey FROM nation)
+SELECT class, '{V}p' || n_nationkey AS property, 'own' AS origin FROM cls JOIN nation ON r = n_regionkey WHERE n_nationkey % 2 = 0 UNION ALL SELECT class, '{V}p' || n_nationkey, 'universal' FROM cls, nation WHERE n_nationkey % 2 = 1""")
+def properties_for_classes(spark, d):
+    q = _vocabulary(spark, d)
+    return vocab.properties_for_classes(q, vocab.class_closure(q))
+
+
+@query(f"SELECT '{V}' AS namespace, CAST((SELECT count(*) FROM nation) + (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS BIGINT) AS uses FROM range(1)")
+def referenced_namespaces(spark, d):
+    from ..schema import RDFS as R
+
+    return vocab.referenced_namespaces(_vocabulary(spark, d), [R, RDF])
+
+
+@query("+t AS (SELECT DISTINCT s_kind, s, p, o_kind, o, o_dt, o_lang FROM q), i AS (SELECT DISTINCT unnest([s, p, CASE WHEN o_kind = 0 THEN o END]) AS iri FROM t) SELECT (SELECT count(*) FROM t) AS triples, (SELECT count(DISTINCT s) FROM t) AS subjects, (SELECT count(DISTINCT p) FROM t) AS predicates, (SELECT count(*) FROM t WHERE o_kind = 2) AS literals, (SELECT count(*) FROM i WHERE iri IS NOT NULL) AS iris, (SELECT count(DISTINCT CASE WHEN contains(iri, '#') THEN regexp_extract(iri, '^(.*#)', 1) ELSE regexp_extract(iri, '^(.*/)', 1) END) FROM i WHERE iri IS NOT NULL) AS prefixes, (SELECT count(DISTINCT g) FROM q) AS graphs FROM range(1)", *_DATASET, graphs=True)
+def dataset_profile(spark, d):
+    return profile.dataset_profile(quads(spark, d, *_DATASET, graphs=True))
 
 
 @query(f"SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'vanished' ELSE 'renamed' END AS problem, CASE WHEN n_nationkey % 2 = 0 THEN 'error' ELSE 'info' END AS level FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey % 3 = 0")
@@ -594,19 +669,22 @@ def vocab_lock_diff(spark, d):
 
 @query(f"SELECT '{BASE}events/' || event_id AS s, '{V}' || k AS p, props ->> k AS o, CASE WHEN regexp_matches(props ->> k, '^-?[0-9]+$') THEN '{INTEGER}' ELSE '{STRING}' END AS o_dt FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)")
 def event_json_to_triples(spark, d):
-    """JSON objects as triples: whole numbers become integers, the rest strings."""
-    rows = read(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
-    return rows.select(F.concat(F.lit(BASE + "events/"), F.col("event_id").cast("string")).alias("s"), F.concat(F.lit(V), "k").alias("p"), F.col("v").alias("o"), F.when(F.col("v").rlike("^-?[0-9]+$"), INTEGER).otherwise(STRING).alias("o_dt"))
+    return mapping.json_triples(read(spark, d, "events"), F.concat(F.lit(BASE + "events/"), F.col("event_id").cast("string")), "props", V)
 
 
-@query("SELECT page_id, 'http://a.example/b/' || page_id AS resolved FROM pages")
+@query("SELECT page_id, regexp_replace(url, '#.*$', '') || '#f' AS frag, regexp_replace(url, '[?#].*$', '') || '?y' AS query, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/g/' AS root FROM pages")
 def iri_resolve(spark, d):
-    return read(spark, d, "pages").select("page_id", I.resolve(F.concat(F.lit("../b/./c/../"), F.col("page_id").cast("string")), F.lit("http://a.example/x/y?q#f")).alias("resolved"))
+    """References against the address of every page."""
+    of = lambda reference: I.resolve(F.lit(reference), F.col("url"))
+    return read(spark, d, "pages").select("page_id", of("#f").alias("frag"), of("?y").alias("query"), of("/x/.././g/h/..").alias("root"))
 
 
-@query("SELECT page_id, '/b/' || page_id AS relative FROM pages")
+@query("SELECT page_id, url AS back, true AS shorter FROM pages")
 def iri_relativize(spark, d):
-    return read(spark, d, "pages").select("page_id", I.relativize(F.concat(F.lit("http://a.example/b/"), F.col("page_id").cast("string")), F.lit("http://a.example/xlonger/y")).alias("relative"))
+    """Addresses written relative to a page beside them: shorter, and the same when resolved."""
+    base = F.concat(F.regexp_extract("url", "^[^?#]*/", 0), F.lit("beside.html"))
+    short = read(spark, d, "pages").select("page_id", "url", base.alias("base"), I.relativize(F.col("url"), base).alias("short"))
+    return short.select("page_id", I.resolve(F.col("short"), F.col("base")).alias("back"), (F.length("short") < F.length("url")).alias("shorter"))
 
 
 # --- documents ---------------------------------------------------------------
