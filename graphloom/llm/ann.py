@@ -176,12 +176,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     queries = asked.groupBy("v").agg(F.min("vec_id").alias("key"))
 
     def brute(probes: list[tuple[int, np.ndarray]], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Leaves of each probe's nearest nodes of a batch; a node that is the probe's own row alone is none."""
         matrix = np.array([p for _, p in probes])
         for batch in batches:
             if len(batch):
-                names = [np.array([leaf]) for leaf in batch.leaf]
-                lists = _best(matrix, np.stack(batch.v.to_list()), names, k)
-                yield pd.DataFrame({"key": [key for key, _ in probes], "found": [[{"score": s, "id": i} for s, i in x] for x in lists]})
+                rows, leaves, single = np.stack(batch.v.to_list()), batch.leaf.tolist(), batch.ids.map(len).to_numpy() == 1
+                lists = _best(matrix, rows, [np.array([i]) for i in range(len(rows))], k + 1)
+                others = ([(s, i) for s, i in x if not (single[i] and (rows[i] == p).all())][:k] for x, p in zip(lists, matrix, strict=True))
+                yield pd.DataFrame({"key": [key for key, _ in probes], "found": [[{"score": s, "id": leaves[i]} for s, i in x] for x in others]})
 
     probes = [(r.key, np.array(r.v)) for r in queries.orderBy(F.xxhash64("key"), "key").limit(CALIBRATION).collect()]
     leaves, visits = sum(not c for c in tree.children), 1

@@ -78,13 +78,19 @@ def crc_mod(key: Column | str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % modulus
 
 
-#: Rows of a narrow table up to which it is broadcast (some 50 MB at most).
-BROADCAST_ROWS = 500_000
+#: Rows of a table, and bytes of them written as JSON, up to which it is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 1 << 26
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a table, counted and weighed, may be broadcast."""
+    rows, weight = df.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return rows <= BROADCAST_ROWS and (weight or 0) <= BROADCAST_BYTES
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it has been counted and is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """The table, marked for broadcast if it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def row_hash() -> Column:

@@ -34,18 +34,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import is_small, written
 
 #: Sequences of a host that the first round aligns, and that any round aligns at most.
 PICKED, PICKED_MOST = 64, 1024
-#: Wrappers up to which they are broadcast, and parts that pages are dealt in beyond.
-BROADCAST_ROWS, SALTS = 20_000, 32
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>|<?[^<]+|<",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Parts that the pages of a host are dealt in where the wrappers are too many to be broadcast.
+SALTS = 32
+
+#: Elements that are left out with all that they hold, and a tag with its quoted values.
+_SILENT = "script|style|noscript|template|textarea|svg|iframe|title|select|button"
+_INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b{_INSIDE}.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?]{_INSIDE}|(?P<rest><?[^<]+|<)", re.DOTALL | re.IGNORECASE)
+#: The same where quotes are not to be trusted: a tag ends at the next ``>``.
+_PLAIN_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[a-zA-Z/!?][^>]*>|(?P<rest><?[^<]+|<)", re.DOTALL | re.IGNORECASE)
+_TEXT_ONLY = re.compile(r"()(?P<rest><?[^<]+|<)")
+_TAG_BEGINS = re.compile(r"<[a-zA-Z/!?]")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,34 +57,69 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _ALONE = frozenset("p li dt dd tr td th option".split())
 _OUTSIDE = frozenset("nav aside footer form head dialog menu fieldset".split())
 _MAIN = frozenset("article main".split())
-#: Words of class, id and role that name what is not the article.
+#: Words of class, id and role that name what is not the article, and words that say nothing beside them.
 _OUTSIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal overlay nav navigation navbar menu breadcrumb breadcrumbs "
     "sidebar side aside widget footer related share sharing social subscribe newsletter signup login search comment comments commentlist replies disqus pagination pager complementary contentinfo skip".split()
 )
+_LAYOUT_NAMES = frozenset(
+    "area bar block body bottom box btn button buttons column col container content footer form fixed grid group header holder inner item items left link links list main mobile outer page panel post posts primary right row secondary section site slot sticky "
+    "stories story text thread title to top unit user wrap wrapper articles article news icons by the".split()
+)
+
+
+def _is_outside(names: list[str]) -> bool:
+    """Whether one whole name is made of words for what is not the article, and of layout words beside them."""
+    for name in names:
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        if any(w in _OUTSIDE_NAMES for w in words) and all(w in _OUTSIDE_NAMES or w in _LAYOUT_NAMES for w in words):
+            return True
+    return False
+
+
 TEXT = ""
 
 
+def _raw_tokens(page: str) -> Iterator[tuple[str, bool]]:
+    """(token, whether it is left out) in time that grows with the page alone.
+
+    A tag whose quotes never close is looked at to the end of the page once;
+    from there on tags end at the next ``>``, and after the last one all is text.
+    """
+    at, last, pattern = 0, page.rfind(">"), _TOKEN
+    while at < len(page):
+        if pattern is not _TEXT_ONLY and at > last and not page.startswith("<!--", at):
+            pattern = _TEXT_ONLY
+        m = pattern.match(page, at)
+        if pattern is _TOKEN and m["rest"] and _TAG_BEGINS.match(page, at):
+            pattern = _PLAIN_TOKEN
+            continue
+        yield m[0], bool(m[1])
+        at = m.end()
+
+
 def tokens(page: str) -> list[tuple[str, str]]:
-    """(symbol, text) of a page: a tag's name with its class words, or TEXT.
+    """(symbol, text) of a page: a tag's name with its class, id and role names, or TEXT.
 
     Comments, scripts, styles and the like are left out, blank texts too.
     """
     out = []
-    for m in _TOKEN.finditer(page):
-        raw = m[0]
-        if m[1] or raw.startswith("<!"):
+    for raw, silent in _raw_tokens(page):
+        if silent or raw.startswith("<!"):
             continue
         tag = _TAG.match(raw)
-        if tag:
+        if tag and raw.endswith(">"):
             name = tag[2].lower()
             if tag[1]:
                 out.append(("/" + name, ""))
             else:
-                names = " ".join(sorted({w for n in _NAME.findall(raw) for w in re.split(r"[\s_-]+", "".join(n).lower()) if w and not w.isdigit()})) if "=" in raw else ""
+                names = " ".join(sorted({w for n in _NAME.findall(raw) for w in "".join(n).lower().split() if not w.isdigit()})) if "=" in raw else ""
                 out.append((f"{name} {names}" if names else name, ""))
         elif not raw.isspace():
-            out.append((TEXT, raw))
+            if out and out[-1][0] == TEXT:
+                out[-1] = (TEXT, out[-1][1] + raw)
+            else:
+                out.append((TEXT, raw))
         elif out and out[-1][0] == TEXT:
             out[-1] = (TEXT, out[-1][1] + raw)
         elif out:
@@ -109,7 +147,7 @@ class _Stack:
             self.feed("/" + name)
         outside, inside = (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
         inside = inside or name in _MAIN
-        outside = outside or name in _OUTSIDE or (name == "header" and not inside) or bool(names) and not _OUTSIDE_NAMES.isdisjoint(names.split()) and name not in ("body", "html", "article", "main")
+        outside = outside or name in _OUTSIDE or (name == "header" and not inside) or bool(names) and name not in ("body", "html", "article", "main") and _is_outside(names.split())
         self.open.append((name, outside, inside))
 
     def label(self) -> str:
@@ -415,7 +453,7 @@ def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _joined(rows: DataFrame, by_host: DataFrame, spread: str, how: str = "left") -> DataFrame:
     """Rows with their host's row; where there are many hosts, dealt by host and the column ``spread``."""
-    if by_host.count() <= BROADCAST_ROWS:
+    if is_small(by_host):
         return rows.join(F.broadcast(by_host), "host", how)
     salted = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], how)

@@ -38,8 +38,8 @@ BLOCK_TOKENS, BUCKET_GRAMS = 1_500_000, 2_000_000
 ORDER, DISCOUNT = 2, 0.75
 #: A context with over 1/HEAVY of all tokens is split into SPLIT buckets.
 HEAVY, SPLIT = 1000, 64
-#: Rows of one batch of messages to buckets.
-SENT_ROWS = 4096
+#: Rows of one batch of messages to buckets, and blocks that a task scores, one after another.
+SENT_ROWS, TASK_BLOCKS = 4096, 2
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
@@ -206,7 +206,7 @@ def _sum_bucket(order: int, heavy: np.ndarray, most: float, rows: pd.DataFrame)
 
 def _exchange(blocks: DataFrame, order: int, heavy: np.ndarray, buckets: int, most: float) -> DataFrame:
     sent = blocks.mapInPandas(lambda it: _send(order, heavy, buckets, it), SENT_SCHEMA)
-    return written(sent.groupBy("bucket").applyInPandas(lambda rows: _sum_bucket(order, heavy, most, rows), ANSWER_SCHEMA).withColumn("gram", F.lit(order)), f"lm-answers-{order}")
+    return written(sent.repartition(max(8, buckets), "bucket").groupBy("bucket").applyInPandas(lambda rows: _sum_bucket(order, heavy, most, rows), ANSWER_SCHEMA).withColumn("gram", F.lit(order)), f"lm-answers-{order}")
 
 
 def _numbers(data: bytes) -> np.ndarray:
@@ -365,5 +365,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, folds: int = 5, held_out_fo
     mine = every[0]
     for more in every[1:]:
         mine = mine.unionByName(more)
-    scored = blocks.groupBy("block").cogroup(mine.where("block >= 0").groupBy("block")).applyInPandas(score, SCORE_SCHEMA)
+    tasks = max(8, -(-size // (BLOCK_TOKENS * TASK_BLOCKS)))
+    here, there = blocks.repartition(tasks, "block"), mine.where("block >= 0").repartition(tasks, "block")
+    scored = here.groupBy("block").cogroup(there.groupBy("block")).applyInPandas(score, SCORE_SCHEMA)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(plan["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -273,8 +273,62 @@ def test_outliers_get_all_their_neighbours(spark, monkeypatch, part):
     assert right >= 0.9 * 20 * len(asked)
 
 
+def test_neighbours_of_odd_vectors(spark):
+    """Null, zero, non-finite and odd-length vectors, null ids, ties, repeats and clashing columns against brute force."""
+    rng = np.random.default_rng(8)
+    good = {i: rng.integers(-3, 4, 6).astype(float).tolist() for i in range(0, 300)}  # small whole numbers: many ties and equal vectors
+    good = {i: v for i, v in good.items() if any(v)}
+    odd = [(1000, None), (1020, [0.0] * 6), (1040, [float("nan")] + [1.0] * 5), (1060, [float("inf")] + [1.0] * 5), (1080, [1.0, None] + [1.0] * 4), (1100, [1.0] * 5), (1120, []), (None, [1.0] * 6)]
+    rows = [(i, v, 1, 0.5) for i, v in [*good.items(), *list(good.items())[:40], *odd]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    found: dict[int, list] = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, recall=1.0).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    asked = [i for i in good if i % 20 == 0]
+    assert sorted(found) == asked
+    met = wanted = 0
+    for i in asked:
+        exact = sorted(((-float(np.dot(good[i], v)), j) for j, v in good.items() if j != i))[:20]
+        assert [r for r, _, _ in found[i]] == list(range(1, 21))
+        assert all(s == float(np.dot(good[i], good[j])) for _, s, j in found[i]) and found[i] == sorted(found[i], key=lambda x: (-x[1], x[2]))
+        met, wanted = met + len({j for _, j in exact} & {j for _, _, j in found[i]}), wanted + 20
+    assert met >= 0.9 * wanted
+    assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = ann.search(df.where("vec_id in (0, 1, 2)").dropDuplicates(["vec_id"]), F.col("vec_id") == 0)
+    assert [r.vec_id for r in few.orderBy("rank").collect()] == [j for _, j in sorted((-float(np.dot(good[0], good[j])), j) for j in (1, 2))]
+
+
+def test_recall_beyond_the_calibration(spark):
+    """12,000 vectors in clusters; every query but the calibrated ones counts."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(0, 1, (40, 16))[rng.integers(0, 40, 12_000)] + rng.normal(0, 0.4, (12_000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found: dict[int, set] = {}
+    for r in ann.search(df, F.col("vec_id") % 60 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    products = vectors[::60] @ vectors.T
+    right = sum(len({j for j in np.argsort(-p)[:21].tolist() if j != 60 * n} & found[60 * n]) for n, p in enumerate(products))
+    assert right >= 0.9 * 20 * len(products) and all(len(x) == 20 for x in found.values())
+
+
 # --- pages -------------------------------------------------------------------
 
+
+def test_names_inside_an_article_count_as_a_whole():
+    inside = '<section id="related-work"><p>one</p></section><div class="alert-history">two</div><p class="skip-intro">three</p>'
+    beside = '<div class="related-posts">x</div><div class="ad-slot">x</div><a class="skip-link" href="#">x</a><ul class="social-links"><li>x</li></ul>'
+    assert html_extract.main_text(f"<nav>menu</nav><article>{inside}{beside}</article>", None)[0] == "one two three"
+    assert html_extract.main_text('<article title="a > b <c>">a < b &amp; c</article>', None)[0] == "a < b & c"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<", '<a href="x>', "<!-- ", '<script "', "<p>x", '<div class="a'])
+def test_broken_pages_take_time_in_proportion(part):
+    import time
+
+    began = time.process_time()
+    html_extract.tokens(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
 PAGE = '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul>{nav}</ul></nav><div class="ad">buy {n}</div><article><h1>Head {n}</h1>{paras}<div class="comments"><p>reader {n}</p></div></article><footer>&copy; {n}</footer></body></html>'
 
 
