@@ -102,7 +102,12 @@ def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def list_items(q: DataFrame) -> DataFrame:
-    """(head, position, o_kind, o, o_dt, o_lang) of every well-formed rdf:List.
+    """(head, position, o_kind, o, o_dt, o_lang) of every well-formed rdf:List."""
+    return list_places(q).drop("node")
+
+
+def list_places(q: DataFrame) -> DataFrame:
+    """The same with ``node``, the list node of each place.
 
     Node ranks are found by pointer doubling: log n joins.  A node needs exactly
     one rdf:first and one rdf:rest; lists that break this or run in a circle
@@ -110,15 +115,15 @@ def list_items(q: DataFrame) -> DataFrame:
     """
     nodes = written(_list_nodes(q), "list-nodes")
     good = nodes.where("firsts = 1 and rests = 1")
+    most = 2 * good.count() + 2
     jump = written(good.select(F.col("s").alias("node"), F.col("rest").alias("to"), F.lit(1).cast("long").alias("steps")), "list-jump")
     while not jump.where(F.col("to") != NIL).join(good.select(F.col("s").alias("to")), "to", "left_semi").limit(1).isEmpty():
         far = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
         nxt = jump.join(far, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-        if nxt.agg(F.max("steps")).first()[0] > 2 * good.count() + 2:  # a circle
-            nxt = nxt.where(F.col("to") == NIL)
-            jump = written(nxt, "list-jump")
-            break
         jump = written(nxt, "list-jump")
+        if jump.agg(F.max("steps")).first()[0] > most:  # a circle
+            jump = jump.where(F.col("to") == NIL)
+            break
     ended = jump.where(F.col("to") == NIL).select("node", "steps")
     heads = ended.join(good.select(F.col("rest").alias("node")), "node", "left_anti")
     # the list of a node: walk again with heads, by the same doubling on parents
@@ -132,7 +137,7 @@ def list_items(q: DataFrame) -> DataFrame:
             break
     size = owner.where(F.col("node") == F.col("head")).select("head", F.col("steps").alias("size"))
     items = owner.join(heads.select(F.col("node").alias("head")), "head", "left_semi").join(size, "head")
-    return items.join(good.select(F.col("s").alias("node"), "item"), "node").select("head", (F.col("size") - F.col("steps")).alias("position"), "item.*")
+    return items.join(good.select(F.col("s").alias("node"), "item"), "node").select("head", (F.col("size") - F.col("steps")).alias("position"), "node", "item.*")
 
 
 def _list_nodes(q: DataFrame) -> DataFrame:

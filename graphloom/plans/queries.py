@@ -699,6 +699,25 @@ def turtle_roundtrip(spark, d):
     return turtle.parse_documents(turtle.documents(q, {"v": V, "c": BASE + "customer/", **I.PREFIXES}), graphs=False)
 
 
+@query(f"SELECT '{BASE}conv/' || conv_id AS s, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, text AS o, '{BASE}conv/' || conv_id || '#' AS note FROM conversations")
+def turtle_nested_roundtrip(spark, d):
+    """Lists and notes written in place below their conversations, and read back."""
+    from ..sources import turtle
+
+    q = _conversation_list(spark, d)
+    heads = q.where(~F.substring_index("s", "|", -1).contains("-")).select("s").distinct()
+    conv = F.concat(F.lit(BASE + "conv/"), F.substring_index("s", "|", -1))
+    note = F.concat(F.lit("note|"), F.substring_index("s", "|", -1))
+    none = F.lit(None).cast("string")
+    row = lambda kind, s, p, o_kind, o, dt=none: F.struct(F.lit(kind).cast("byte").alias("s_kind"), s.alias("s"), F.lit(V + p).alias("p"), F.lit(o_kind).cast("byte").alias("o_kind"), o.alias("o"), dt.alias("o_dt"), none.alias("o_lang"))
+    links = F.array(row(IRI, conv, "turns", BLANK, F.col("s")), row(IRI, conv, "note", BLANK, note), row(BLANK, note, "of", LITERAL, F.concat(conv, F.lit("#")), F.lit(STRING)))
+    docs = turtle.documents(q.unionByName(_none(heads.select(F.explode(links).alias("t")).select("t.*"))), {"v": V}, nested=True, base=BASE)
+    back = turtle.parse_documents(docs.where(~F.col("text").contains("_:")), graphs=False)
+    turns, notes = (back.where(F.col("p") == V + p).select("s", F.col("o").alias("node")) for p in ("turns", "note"))
+    items = traverse.list_items(back).select(F.col("head").alias("node"), "position", "o").join(turns, "node").drop("node")
+    return items.join(notes.join(back.where(F.col("p") == V + "of").select(F.col("s").alias("node"), F.col("o").alias("note")), "node").select("s", "note"), "s").select("s", "position", "o", "note")
+
+
 @query(f"SELECT {ALL} FROM q", "customer", "nation", "events", graphs=True)
 def trig_roundtrip(spark, d):
     from ..sources import turtle
@@ -719,3 +738,11 @@ def rdfxml_roundtrip(spark, d):
     from ..sources import rdfxml
 
     return rdfxml.parse_documents(rdfxml.documents(quads(spark, d, "supplier", "nation")))
+
+
+@query(f"SELECT {ALL} FROM q", "customer", "part", "events", graphs=True)
+def jelly_roundtrip(spark, d):
+    """Written as binary streams and read back."""
+    from ..sources import jelly
+
+    return jelly.parse_documents(jelly.documents(quads(spark, d, "customer", "part", "events", graphs=True)))

@@ -89,8 +89,8 @@ class _Context:
 
 
 class _Document:
-    def __init__(self, doc: str, base: str | None, loaded: dict) -> None:
-        self.doc, self.loaded, self.rows, self.made = doc, loaded, {}, 0
+    def __init__(self, doc: str, base: str | None, loaded: dict, direction: str | None = None) -> None:
+        self.doc, self.loaded, self.rows, self.made, self.direction = doc, loaded, {}, 0, direction
         self.start = _Context(base)
 
     def blank(self, label: str | None = None) -> tuple:
@@ -141,6 +141,9 @@ class _Document:
                 yield self.node(ctx, g, value)
             elif "@value" in keys:
                 dt = value.get(keys.get("@type"))
+                if self.direction and dt is None and isinstance(value[keys["@value"]], str) and value.get(keys.get("@direction")) in ("ltr", "rtl"):
+                    yield self.directed(g, value[keys["@value"]], value.get(keys.get("@language")), value[keys["@direction"]])
+                    return
                 found = self.literal(ctx, value[keys["@value"]], dt if dt == "@json" or dt is None else ctx.iri(dt, True), value.get(keys.get("@language")))
                 if found:
                     yield found
@@ -159,6 +162,16 @@ class _Document:
         if found:
             yield found
 
+    def directed(self, g, text: str, language: str | None, direction: str) -> tuple:
+        """A string with a base direction: a datatype that names both, or a node of its own."""
+        if self.direction == "i18n-datatype":
+            return (LITERAL, text, f"https://www.w3.org/ns/i18n#{(language or '').lower()}_{direction}", None)
+        node = self.blank()
+        for p, value in (("value", text), ("language", language and language.lower()), ("direction", direction)):
+            if value is not None:
+                self.emit(g, node, RDF + p, (LITERAL, value, STRING, None))
+        return node
+
     def list_of(self, ctx: _Context, g, items, term: dict) -> tuple:
         found = []
         for item in items if isinstance(items, list) else [items]:
@@ -252,8 +265,13 @@ class _Document:
                         self.emit(g, subject, p, o)
 
 
-def parse(text: str, doc: str = "doc", base: str | None = None, contexts: dict | None = None) -> list[tuple]:
-    """Distinct quad rows of one document, or of one per line; raises ValueError where it is none."""
+def parse(text: str, doc: str = "doc", base: str | None = None, contexts: dict | None = None, direction: str | None = None) -> list[tuple]:
+    """Distinct quad rows of one document, or of one per line; raises ValueError where it is none.
+
+    ``direction``: None, ``i18n-datatype`` or ``compound-literal``.
+    """
+    if direction not in (None, "i18n-datatype", "compound-literal"):
+        raise ValueError(f"unknown direction: {direction}")
     try:
         values = [json.loads(text)]
     except json.JSONDecodeError:  # one document per line, as written here
@@ -261,12 +279,12 @@ def parse(text: str, doc: str = "doc", base: str | None = None, contexts: dict |
     value = values[0] if len(values) == 1 else [part for v in values for part in (v if isinstance(v, list) else [v])]
     if not isinstance(value, dict | list):
         raise ValueError("a document is an object or an array of objects")
-    found = _Document(doc, base, contexts or {})
+    found = _Document(doc, base, contexts or {}, direction)
     found.nodes(found.start, None, value)
     return list(found.rows)
 
 
-def parse_documents(docs: DataFrame, base: str | None = None, contexts: dict | None = None, mode: str = "FAILFAST") -> DataFrame:
+def parse_documents(docs: DataFrame, base: str | None = None, contexts: dict | None = None, mode: str = "FAILFAST", direction: str | None = None) -> DataFrame:
     """Quads of documents (doc, text)."""
     from .nquads import checked
 
@@ -277,7 +295,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, contexts: dict | N
             rows = []
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
-                    rows += [(*r, None) for r in parse(text or "", doc, base, contexts)]
+                    rows += [(*r, None) for r in parse(text or "", doc, base, contexts, direction)]
                 except (ValueError, TypeError, AttributeError, RecursionError) as fault:
                     rows.append((None,) * 9 + (f"{doc}: {fault}",))
             if rows:

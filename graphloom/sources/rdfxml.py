@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..functions.iri import resolve_one
 from ..functions.terms import blank_label
 from ..schema import BLANK, COLUMNS, FIRST, IRI, LANG_STRING, LITERAL, NIL, RDF, REST, STRING, TYPE
 
+# The characters of XML names without a colon.
+_NCNAME = re.compile("[A-Za-z_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd][\\w.\\-\u00b7\u0300-\u036f\u203f\u2040]*")
 _X = "{http://www.w3.org/XML/1998/namespace}"
 _R = "{" + RDF + "}"
 
@@ -22,9 +25,38 @@ def _name(tag: str) -> str:
     return tag[1:].replace("}", "", 1) if tag.startswith("{") else tag
 
 
+def copy_of(e: ET.Element) -> ET.Element:
+    """The element without what follows it."""
+    out = ET.Element(e.tag, e.attrib)
+    out.text = e.text
+    out.extend(e)
+    return out
+
+
 class _Reader:
-    def __init__(self, doc: str, base: str | None) -> None:
-        self.doc, self.base, self.rows, self.made = doc, base, [], 0
+    """Triples of one document; ``strict`` adds the rules on names and identifiers."""
+
+    def __init__(self, doc: str, base: str | None, strict: bool = False) -> None:
+        self.doc, self.base, self.rows, self.made, self.strict, self.names = doc, base, [], 0, strict, set()
+
+    def rules(self, e: ET.Element, base: str | None, node: bool) -> None:
+        """Identifiers are XML names and unique for their base; only one way to name a node; no old or misplaced attributes."""
+        if not self.strict:
+            return
+        ident, label = e.get(_R + "ID"), e.get(_R + "nodeID")
+        for name in (ident, label):
+            if name is not None and not _NCNAME.fullmatch(name):
+                raise ValueError(f"no XML name: {name!r}")
+        if ident is not None:
+            if (base, ident) in self.names:
+                raise ValueError(f"rdf:ID {ident!r} is there twice")
+            self.names.add((base, ident))
+        ways = [a for a in ("about", "ID", "nodeID") if e.get(_R + a) is not None] if node else [a for a in ("resource", "nodeID", "parseType") if e.get(_R + a) is not None]
+        if len(ways) > 1:
+            raise ValueError(f"rdf:{ways[0]} and rdf:{ways[1]} exclude each other")
+        wrong = {_R + x for x in ("aboutEach", "aboutEachPrefix", "bagID", "li")} & e.attrib.keys() or ({e.tag} & {_R + x for x in ("RDF", "ID", "about", "bagID", "parseType", "resource", "nodeID", "datatype", "aboutEach", "aboutEachPrefix", *(("li",) if node else ("Description",)))})
+        if wrong:
+            raise ValueError(f"not allowed here: {_name(wrong.pop())}")
 
     def blank(self, label: str | None = None) -> tuple:
         self.made += label is None
@@ -41,6 +73,7 @@ class _Reader:
 
     def node(self, e: ET.Element, base: str | None, lang: str | None) -> tuple:
         base, lang = e.get(_X + "base", base), e.get(_X + "lang", lang) or None
+        self.rules(e, base, True)
         about, ident, label = e.get(_R + "about"), e.get(_R + "ID"), e.get(_R + "nodeID")
         s = self.ref(about, base) if about is not None else self.ref("#" + ident, base) if ident is not None else self.blank(label)
         if e.tag != _R + "Description":
@@ -62,11 +95,12 @@ class _Reader:
 
     def entry(self, s: tuple, p: str, e: ET.Element, base: str | None, lang: str | None) -> None:
         base, lang = e.get(_X + "base", base), e.get(_X + "lang", lang) or None
+        self.rules(e, base, False)
         kind, ident = e.get(_R + "parseType"), e.get(_R + "ID")
         reified = self.ref("#" + ident, base) if ident is not None else None
         extra = {k: v for k, v in e.attrib.items() if k.startswith("{") and not k.startswith(_X) and k not in {_R + x for x in ("resource", "nodeID", "ID", "parseType", "datatype")}}
         if kind == "Literal":
-            inner = (e.text or "") + "".join(ET.tostring(c, encoding="unicode") for c in e)
+            inner = escape(e.text or "") + "".join(ET.canonicalize(ET.tostring(copy_of(c), encoding="unicode")) + escape(c.tail or "") for c in e)
             self.emit(s, p, (LITERAL, inner, RDF + "XMLLiteral", None), reified)
         elif kind == "Resource":
             o = self.blank()
@@ -91,7 +125,7 @@ class _Reader:
             self.emit(s, p, (LITERAL, e.text or "", dt or (LANG_STRING if lang else STRING), None if dt else lang), reified)
 
 
-def parse(text: str, doc: str = "doc", base: str | None = None) -> list[tuple]:
+def parse(text: str, doc: str = "doc", base: str | None = None, strict: bool = False) -> list[tuple]:
     """Triples of one document; raises ValueError where it is no RDF/XML."""
     if "<!ENTITY" in text and re.search(r"<!ENTITY\s[^>]*&", text):
         raise ValueError("an entity that is made of others")
@@ -99,7 +133,7 @@ def parse(text: str, doc: str = "doc", base: str | None = None) -> list[tuple]:
         root = ET.fromstring(text)
     except ET.ParseError as fault:
         raise ValueError(str(fault)) from None
-    reader = _Reader(doc, base)
+    reader = _Reader(doc, base, strict)
     if root.tag == _R + "RDF":
         for e in root:
             reader.node(e, root.get(_X + "base", base), root.get(_X + "lang"))
@@ -108,7 +142,7 @@ def parse(text: str, doc: str = "doc", base: str | None = None) -> list[tuple]:
     return reader.rows
 
 
-def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILFAST") -> DataFrame:
+def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILFAST", strict: bool = False) -> DataFrame:
     """Triples of documents (doc, text)."""
     from .nquads import checked
 
@@ -118,7 +152,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILF
         for batch in batches:
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
-                    rows = [(*r, None) for r in parse(text or "", doc, base)]
+                    rows = [(*r, None) for r in parse(text or "", doc, base, strict)]
                 except (ValueError, RecursionError) as fault:
                     rows = [(None,) * 9 + (f"{doc}: {fault}",)]
                 if rows:
@@ -127,9 +161,9 @@ def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILF
     return checked(docs.select("doc", "text").mapInPandas(run, schema), mode)
 
 
-def read(spark: SparkSession, path: str, base: str | None = None, mode: str = "FAILFAST") -> DataFrame:
+def read(spark: SparkSession, path: str, base: str | None = None, mode: str = "FAILFAST", strict: bool = False) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
-    return parse_documents(files, base, mode)
+    return parse_documents(files, base, mode, strict)
 
 
 def _xml(text):

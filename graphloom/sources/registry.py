@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jsonld, nquads, rdfxml, turtle
+from . import jelly, jsonld, nquads, rdfxml, turtle
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,11 @@ def register(fmt: Format) -> None:
 for _f in (
     Format("nquads", ("application/n-quads",), nquads.read, nquads.write, _lines_look),
     Format("ntriples", ("application/n-triples",), lambda spark, path, **o: nquads.read(spark, path, graphs=False, **o), nquads.write, _lines_look),
-    Format("turtle", ("text/turtle", "application/turtle"), lambda spark, path, **o: turtle.read(spark, path, graphs=False, **o), turtle.write, turtle.can_parse),
-    Format("trig", ("application/trig",), turtle.read, turtle.write, turtle.can_parse),
-    Format("jsonld", ("application/ld+json",), jsonld.read, jsonld.write, jsonld.can_parse),
-    Format("rdfxml", ("application/rdf+xml",), rdfxml.read, lambda q, path: rdfxml.documents(q).select("text").write.text(path), rdfxml.can_parse),
+    Format("turtle", ("text/turtle", "application/x-turtle", "application/turtle", "text/n3", "text/rdf+n3", "application/rdf+n3"), lambda spark, path, **o: turtle.read(spark, path, graphs=False, **o), turtle.write, turtle.can_parse),
+    Format("trig", ("application/trig", "application/x-trig"), turtle.read, turtle.write, turtle.can_parse),
+    Format("jsonld", ("application/ld+json", "application/json+ld"), jsonld.read, jsonld.write, jsonld.can_parse),
+    Format("rdfxml", ("application/rdf+xml", "application/xml", "text/xml"), rdfxml.read, lambda q, path: rdfxml.documents(q).select("text").write.text(path), rdfxml.can_parse),
+    Format("jelly", ("application/x-jelly-rdf",), jelly.read, jelly.write, lambda text: False),
 ):
     register(_f)
 
@@ -52,6 +53,10 @@ def content_types() -> list[str]:
     return sorted(FORMATS)
 
 
+def supports(content_type: str) -> bool:
+    return content_type.split(";")[0].strip().lower() in FORMATS
+
+
 def format_of(content_type: str) -> Format:
     found = FORMATS.get(content_type.split(";")[0].strip().lower())
     if found is None:
@@ -60,7 +65,10 @@ def format_of(content_type: str) -> Format:
 
 
 def detect(spark: SparkSession, path: str) -> Format:
-    """The format of the first file, from its first characters."""
+    """The format of the first file, from its first bytes or characters."""
+    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20)).first()
+    if head and jelly.can_parse(bytes(head[0])):
+        return FORMATS["application/x-jelly-rdf"]
     head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 8000)).first()
     text = head[0] if head else ""
     for name in ("application/rdf+xml", "application/ld+json", "application/n-quads", "text/turtle", "application/trig"):

@@ -12,12 +12,17 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.iri import PREFIXES, resolve_one
-from ..functions.terms import escape_iri, quad_text, term_text
+from ..functions.terms import escape_iri, escape_literal, term_text
+from ..operators.traverse import list_places
 from ..schema import BLANK, BOOLEAN, COLUMNS, DECIMAL, DOUBLE, FIRST, INTEGER, IRI, LANG_STRING, LITERAL, NIL, REST, STRING, TYPE
+from ..storage import written
+
+#: Characters after which a document is closed; items of a list, triples and levels of nodes that are written in place.
+DOCUMENT_CHARS, LIST_ITEMS, NESTED_TRIPLES, NESTED_LEVELS = 1 << 25, 1000, 100, 16
 
 _LEX = re.compile(
     r"""(?P<skip>(?:\s|\#[^\n\r]*)+)
@@ -252,58 +257,129 @@ def read(spark: SparkSession, path: str, graphs: bool = True, base: str | None =
     return parse_documents(files, graphs, base, mode)
 
 
-def _short(kind: str, value: str, prefixes: dict[str, str]):
-    """``prefix:local`` where the local part is plain, else the full term."""
+def _short(kind: str, value: str, prefixes: dict[str, str], base: str | None = None) -> Column:
+    """``prefix:local`` where the local part is plain, a relative reference below the base, else the full term."""
     full = term_text(F.col(kind), F.col(value)) if kind else F.concat(F.lit("<"), escape_iri(F.col(value)), F.lit(">"))
+    after = lambda ns: F.substring(F.col(value), F.lit(len(ns) + 1), F.length(value))
+    own = (F.col(kind) == IRI) if kind else F.lit(True)
     out = full
+    if base and kind:
+        out = F.when(own & F.col(value).startswith(base) & after(base).rlike(r"^[A-Za-z0-9_-][A-Za-z0-9_./-]*$"), F.concat(F.lit("<"), after(base), F.lit(">"))).otherwise(out)
     for prefix, ns in sorted(prefixes.items(), key=lambda x: len(x[1])):
-        rest = F.substring(F.col(value), F.lit(len(ns) + 1), F.length(value))
-        test = F.col(value).startswith(ns) & rest.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*$")
-        out = F.when((test & (F.col(kind) == IRI)) if kind else test, F.concat(F.lit(prefix + ":"), rest)).otherwise(out)
+        out = F.when(own & F.col(value).startswith(ns) & after(ns).rlike(r"^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit(prefix + ":"), after(ns))).otherwise(out)
     return out
 
 
-def documents(q: DataFrame, prefixes: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
-    """(doc, text): TriG documents, one per partition, in the order of graph, subject and predicate.
+def _object(prefixes: dict[str, str], base: str | None) -> Column:
+    number = (F.col("o_dt").isin(INTEGER) & F.col("o").rlike(r"^[+-]?\d+$")) | ((F.col("o_dt") == DECIMAL) & F.col("o").rlike(r"^[+-]?\d*\.\d+$")) | ((F.col("o_dt") == BOOLEAN) & F.col("o").isin("true", "false"))
+    typed = F.concat(F.lit('"'), escape_literal(F.col("o")), F.lit('"^^'), _short("", "o_dt", prefixes))
+    plain = F.col("o_lang").isNotNull() | F.col("o_dt").isNull() | (F.col("o_dt") == STRING)
+    literal = F.when(number, F.col("o")).when(plain, term_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))).otherwise(typed)
+    return F.when(F.col("o_kind") == LITERAL, literal).otherwise(_short("o_kind", "o", prefixes, base))
+
+
+def _predicate(prefixes: dict[str, str]) -> Column:
+    return F.when(F.col("p") == TYPE, "a").otherwise(_short("", "p", prefixes))
+
 
-    A subject whose triples fill several partitions is simply named again in
-    each, so no subject is ever gathered.  Blank nodes keep their labels, which
-    are unique within the whole output only if read back as one scope.
+def _nested(rows: DataFrame, prefixes: dict[str, str], base: str | None) -> DataFrame:
+    """Rows (quads with ``text``, the object as written) in which blank nodes used once are written where they are used.
+
+    Lists of plain items become ``( )``, other nodes ``[ ]``, from the innermost
+    outwards.  What is large, deep, in a circle or used in another graph keeps
+    its label, which is as valid.
+    """
+    none = lambda c: F.coalesce(c, F.lit(""))
+    rows = written(rows.withColumn("text", F.when((F.col("o_kind") == IRI) & (F.col("o") == NIL), "()").otherwise(F.col("text"))), "turtle-rows")
+    used = rows.where(F.col("o_kind") == BLANK).groupBy(F.col("o").alias("node")).agg(F.count("*").alias("uses"), F.min(none("g")).alias("in_g"), F.max(F.col("p") == REST).alias("in_list"), F.max((F.col("s_kind") == BLANK) & (F.col("s") == F.col("o"))).alias("in_self"))
+    own = rows.where(F.col("s_kind") == BLANK).groupBy(F.col("s").alias("node")).agg(F.count("*").alias("size"), F.min(none("g")).alias("least_g"), F.max(none("g")).alias("most_g"))
+    names = rows.where(F.col("g_kind") == BLANK).select(F.col("g").alias("node")).distinct()
+    once = used.join(own, "node", "left").where("uses = 1 and not in_self and (size is null or (least_g = in_g and most_g = in_g))").join(names, "node", "left_anti")
+    once = written(once.select("node", "in_list", F.coalesce("size", F.lit(0)).alias("size")), "turtle-once")
+
+    places = list_places(rows.select(*COLUMNS)).join(once.select("node", "in_list", "size"), "node", "left")
+    texts = places.groupBy("head").agg(F.count("*").alias("n"), F.count_if((F.col("size") == 2) & (F.col("in_list") == (F.col("position") > 0)) & (F.col("o_kind") != BLANK)).alias("good"), F.collect_list(F.when(F.col("position") < LIST_ITEMS, F.struct("position", _object(prefixes, base).alias("text")))).alias("items"))
+    texts = texts.where(f"n = good and n <= {LIST_ITEMS}").select(F.col("head").alias("node"), F.concat(F.lit("( "), F.array_join(F.transform(F.sort_array("items"), lambda i: i["text"]), " "), F.lit(" )")).alias("inner"))
+    texts = written(texts, "turtle-lists")
+    gone = places.join(texts.select(F.col("node").alias("head")), "head", "left_semi").select("node")
+
+    def folded(rows: DataFrame, texts: DataFrame, gone: DataFrame) -> DataFrame:
+        kept = rows.join(gone.select(F.lit(BLANK).cast("byte").alias("s_kind"), F.col("node").alias("s")), ["s_kind", "s"], "left_anti")
+        joined = kept.join(texts, (F.col("o_kind") == BLANK) & (F.col("o") == F.col("node")), "left")
+        return written(joined.withColumn("text", F.coalesce("inner", "text")).withColumn("open", F.col("open") & F.col("inner").isNull()).select(*COLUMNS, "text", "open"), "turtle-rows")
+
+    rows = folded(rows.withColumn("open", F.col("o_kind") == BLANK), texts, gone)
+    pending = written(once.where(f"not in_list and size <= {NESTED_TRIPLES}").select("node").join(texts, "node", "left_anti"), "turtle-pending")
+    for _ in range(NESTED_LEVELS):
+        held = rows.where("open").join(pending, F.col("o") == F.col("node"), "left_semi").select(F.col("s").alias("node"))
+        leaf = written(pending.join(held, "node", "left_anti"), "turtle-leaves")
+        if leaf.isEmpty():
+            break
+        entry = F.struct((F.col("p") != TYPE).alias("later"), "p", "text", F.concat(_predicate(prefixes), F.lit(" "), "text").alias("entry"))
+        texts = leaf.join(rows.where(F.col("s_kind") == BLANK).withColumnRenamed("s", "node"), "node", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), entry))).alias("entries"))
+        inner = F.when(F.size("entries") == 0, "[]").otherwise(F.concat(F.lit("[ "), F.array_join(F.transform("entries", lambda e: e["entry"]), " ; "), F.lit(" ]")))
+        rows = folded(rows, texts.select("node", inner.alias("inner")), leaf)
+        pending = written(pending.join(leaf, "node", "left_anti"), "turtle-pending")
+    return rows
+
+
+def documents(q: DataFrame, prefixes: dict[str, str] | None = None, partitions: int | None = None, nested: bool = False, base: str | None = None, keyword: bool = False) -> DataFrame:
+    """(doc, text): TriG documents in the order of graph, subject and predicate, rdf:type first.
+
+    A partition is one document, or several where it is long: a document is
+    closed at the subject that fills it.  A subject whose triples fill several
+    partitions is simply named again in each, so no subject is ever gathered.
+    ``nested`` writes blank nodes that are used once, and lists, in place;
+    ``base`` gives an ``@base`` and references below it; ``keyword`` writes
+    GRAPH before the name of a graph.
     """
     prefixes = PREFIXES if prefixes is None else prefixes
-    keys = ["g_kind", "g", "s_kind", "s", "p", "o_kind", "o"]
-    dealt = q.repartitionByRange(partitions, *keys) if partitions else q.repartitionByRange(*keys)
-    number = (F.col("o_dt").isin(INTEGER) & F.col("o").rlike(r"^[+-]?\d+$")) | ((F.col("o_dt") == BOOLEAN) & F.col("o").isin("true", "false"))
-    obj = F.when(F.col("o_kind") == LITERAL, F.when(number, F.col("o")).otherwise(term_text(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")))).otherwise(_short("o_kind", "o", prefixes))
-    rows = dealt.sortWithinPartitions(*keys).select(term_text(F.col("g_kind"), F.col("g")).alias("g"), _short("s_kind", "s", prefixes).alias("s"), F.when(F.col("p") == TYPE, "a").otherwise(_short("", "p", prefixes)).alias("p"), obj.alias("o"))
-    head = "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in sorted(prefixes.items()))
+    rows = q.select(*COLUMNS, _object(prefixes, base).alias("text"))
+    if nested:
+        rows = _nested(rows, prefixes, base)
+    keys = ["g_kind", "g", "s_kind", "s", "later", "p", "text"]
+    rows = rows.withColumn("later", F.col("p") != TYPE)
+    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    rows = dealt.sortWithinPartitions(*keys).select(term_text(F.col("g_kind"), F.col("g")).alias("g"), _short("s_kind", "s", prefixes, base).alias("s"), _predicate(prefixes).alias("p"), "text")
+    head = (f"@base <{base}> .\n" if base else "") + "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in sorted(prefixes.items()))
+    graph = "GRAPH " if keyword else ""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        part, seq, held = TaskContext.get().partitionId(), 0, len(head)
         out, last = [head], (None, None, None)
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"doc": [f"part-{part:05d}-{seq:04d}"], "text": ["".join([*out, " .\n", "}\n" if last[0] is not None else ""])]})
+
         for batch in batches:
             for g, s, p, o in batch.itertuples(index=False, name=None):
-                if (g, s) != last[:2]:
+                fresh = (g, s) != last[:2]
+                if fresh and last[1] is not None and held > DOCUMENT_CHARS:
+                    yield closed()
+                    out, last, held, seq = [head], (None, None, None), len(head), seq + 1
+                if fresh:
                     if last[1] is not None:
                         out.append(" .\n" + ("}\n" if last[0] is not None and g != last[0] else ""))
                     if g is not None and (last[1] is None or g != last[0]):
-                        out.append(f"{g} {{\n")
+                        out.append(f"{graph}{g} {{\n")
                     out.append(f"{s} {p} {o}")
                 elif p != last[2]:
                     out.append(f" ;\n    {p} {o}")
                 else:
                     out.append(f", {o}")
+                held += len(out[-1])
                 last = (g, s, p)
         if last[1] is not None:
-            out.append(" .\n" + ("}\n" if last[0] is not None else ""))
-            yield pd.DataFrame({"doc": [f"part-{TaskContext.get().partitionId():05d}"], "text": ["".join(out)]})
+            yield closed()
 
     return rows.mapInPandas(run, "doc string, text string")
 
 
-def write(q: DataFrame, path: str, prefixes: dict[str, str] | None = None, partitions: int | None = None) -> None:
-    documents(q, prefixes, partitions).select("text").write.text(path)
+def write(q: DataFrame, path: str, prefixes: dict[str, str] | None = None, partitions: int | None = None, **options) -> None:
+    """Files of a document each, or of several that repeat their prefixes."""
+    documents(q, prefixes, partitions, **options).select("text").write.text(path)
 
 
 def can_parse(text: str) -> bool:

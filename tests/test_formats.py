@@ -127,3 +127,41 @@ def test_deep_documents_are_faults_not_crashes(spark):
 def test_rdfxml_li_within_a_resource():
     text = f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="http://e/"><rdf:Description rdf:about="http://s"><e:p rdf:parseType="Resource"><rdf:li>a</rdf:li><rdf:li>b</rdf:li></e:p></rdf:Description></rdf:RDF>'
     assert {(r[4], r[6]) for r in rdfxml.parse(text)} >= {(RDF + "_1", "a"), (RDF + "_2", "b")}
+
+
+def test_rdfxml_strict_rules_and_literals():
+    doc = lambda body: f'<rdf:RDF xmlns:rdf="{RDF}" xmlns:e="http://e/" xml:base="http://b/">{body}</rdf:RDF>'
+    bad = [
+        '<rdf:Description rdf:ID="1a"/>', '<rdf:Description rdf:ID="a"/><rdf:Description rdf:ID="a"/>', '<rdf:Description rdf:about="x" rdf:nodeID="y"/>', '<rdf:li/>',
+        '<e:T><e:p rdf:resource="x" rdf:nodeID="y"/></e:T>', '<e:T rdf:bagID="z"/>', "<e:T><rdf:Description/></e:T>",
+    ]
+    for body in bad:
+        rdfxml.parse(doc(body))
+        with pytest.raises(ValueError, match="name|twice|exclude|allowed"):
+            rdfxml.parse(doc(body), strict=True)
+    good = rdfxml.parse(doc('<e:T rdf:ID="a"><e:x rdf:parseType="Literal">1 &lt; 2 <e:b z="1" a="2"/> tail</e:x></e:T>'), strict=True)
+    found = next(r[6] for r in good if r[7] == RDF + "XMLLiteral")
+    assert found.startswith("1 &lt; 2 <") and found.endswith("> tail") and 'a="2" z="1"></' in found
+
+
+def test_jsonld_direction():
+    doc = '{"http://e/p": {"@value": "x", "@language": "AR", "@direction": "rtl"}}'
+    assert {r[7] for r in jsonld.parse(doc)} == {RDF + "langString"}
+    assert {r[7] for r in jsonld.parse(doc, direction="i18n-datatype")} == {"https://www.w3.org/ns/i18n#ar_rtl"}
+    assert {(r[4], r[6]) for r in jsonld.parse(doc, direction="compound-literal")} >= {(RDF + "value", "x"), (RDF + "language", "ar"), (RDF + "direction", "rtl")}
+    with pytest.raises(ValueError, match="direction"):
+        jsonld.parse(doc, direction="up")
+
+
+def test_turtle_writes_nodes_in_place(spark):
+    text = """@prefix e: <http://e/> . e:a e:list (1 "two" e:c) ; e:none () ; e:of [ a e:T ; e:deep [ e:n 1.5 ] ] . e:b e:shared _:x . e:c e:shared _:x . _:x e:n 2 . _:r e:next _:r2 . _:r2 e:next _:r ."""
+    docs = spark.createDataFrame([("d", text)], "doc string, text string")
+    q = turtle.parse_documents(docs)
+    out = turtle.documents(q, {"e": "http://e/"}, partitions=1, nested=True).first().text
+    assert '( 1 "two" e:c )' in out and "e:none ()" in out and "[ a e:T ; e:deep [ e:n 1.5 ] ]" in out and out.count("_:") == 7
+    back = turtle.parse_documents(spark.createDataFrame([("d", out)], "doc string, text string"))
+    assert back.count() == q.count()
+    based = turtle.documents(q.where("s = 'http://e/b'"), {}, 1, base="http://e/").first().text
+    assert based.startswith("@base <http://e/> .\n") and "<b> <http://e/shared>" in based
+    many = turtle.documents(q.where("o_kind = 2"), {}, 1)
+    assert many.count() == 1
