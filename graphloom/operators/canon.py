@@ -147,18 +147,28 @@ class Component:
 def _name_components(bits: int, budget: int, rows: pd.DataFrame) -> pd.DataFrame:
     """(component, node, key, size, place) of the components dealt to one task; rows hold their quads and hashes."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    columns = ["component", "p", *[f"{c}{x}" for c in ("s", "o", "g") for x in ("", "_hash", "_id")]]
+    rows = rows[columns].astype(object).where(rows[columns].notna(), None).sort_values("component", kind="stable")
     out = []
-    for component, own in rows.groupby("component"):
-        hashes, settled = {}, {}
-        for c in ("s", "o", "g"):
-            for node, hash_, name in zip(own[c], own[f"{c}_hash"], own[f"{c}_id"], strict=True):
-                if isinstance(name, str):
-                    settled[node] = name
-                elif isinstance(hash_, str):
-                    hashes[node] = hash_
-        quads = [tuple(x if isinstance(x, str) else None for x in r) for r in own[["s", "p", "o", "g"]].itertuples(index=False, name=None)]
+
+    def name(component: str, quads: list[tuple], hashes: dict[str, str], settled: dict[str, str]) -> None:
         least, found, nodes = Component(quads, hashes, settled, bits, budget).order()
-        out += [(component, node, least + found, len(nodes), i) for i, node in enumerate(nodes)]
+        out.extend((component, node, least + found, len(nodes), i) for i, node in enumerate(nodes))
+
+    last, quads, hashes, settled = None, [], {}, {}
+    for component, p, *terms in rows.itertuples(index=False, name=None):
+        if component != last and quads:
+            name(last, quads, hashes, settled)
+            quads, hashes, settled = [], {}, {}
+        last = component
+        for node, hash_, known in (terms[:3], terms[3:6], terms[6:]):
+            if known is not None:
+                settled[node] = known
+            elif hash_ is not None:
+                hashes[node] = hash_
+        quads.append((terms[0], p, terms[3], terms[6]))
+    if quads:
+        name(last, quads, hashes, settled)
     return pd.DataFrame(out, columns=["component", "node", "key", "size", "place"])
 
 

@@ -15,6 +15,8 @@ from ..functions.iri import resolve_one
 from ..functions.terms import blank_label
 from ..schema import BLANK, COLUMNS, FIRST, IRI, LANG_STRING, LITERAL, NIL, RDF, REST, STRING, TYPE
 
+#: Characters after which a document is closed.
+DOCUMENT_CHARS = 1 << 25
 # The characters of XML names without a colon.
 _NCNAME = re.compile("[A-Za-z_\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02ff\u0370-\u037d\u037f-\u1fff\u200c\u200d\u2070-\u218f\u2c00-\u2fef\u3001-\ud7ff\uf900-\ufdcf\ufdf0-\ufffd][\\w.\\-\u00b7\u0300-\u036f\u203f\u2040]*")
 _X = "{http://www.w3.org/XML/1998/namespace}"
@@ -162,7 +164,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILF
 
 
 def read(spark: SparkSession, path: str, base: str | None = None, mode: str = "FAILFAST", strict: bool = False) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
     return parse_documents(files, base, mode, strict)
 
 
@@ -185,18 +187,35 @@ def descriptions(q: DataFrame) -> DataFrame:
 
 
 def documents(q: DataFrame) -> DataFrame:
-    """(doc, text): one document per partition, its elements in the order of subjects."""
+    """(doc, text): documents of at most some ``DOCUMENT_CHARS``, their elements in the order of subjects."""
     rows = descriptions(q.repartitionByRange("s", "p", "o").sortWithinPartitions("s", "p", "o"))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        parts = [t for batch in batches for t in batch.text]
+        part, seq, held, parts = TaskContext.get().partitionId(), 0, 0, []
+
+        def closed() -> pd.DataFrame:
+            return pd.DataFrame({"doc": [f"part-{part:05d}-{seq:04d}"], "text": [f'<rdf:RDF xmlns:rdf="{RDF}">\n' + "\n".join(parts) + "\n</rdf:RDF>\n"]})
+
+        for batch in batches:
+            for text in batch.text:
+                parts.append(text)
+                held += len(text)
+                if held > DOCUMENT_CHARS:
+                    yield closed()
+                    seq, held, parts = seq + 1, 0, []
         if parts:
-            yield pd.DataFrame({"doc": [f"part-{TaskContext.get().partitionId():05d}"], "text": [f'<rdf:RDF xmlns:rdf="{RDF}">\n' + "\n".join(parts) + "\n</rdf:RDF>\n"]})
+            yield closed()
 
     return rows.mapInPandas(run, "doc string, text string")
 
 
+def write(q: DataFrame, path: str) -> None:
+    """A folder of files, one for each document: several in one file would be no XML."""
+    docs = documents(q)
+    docs.select("text", "doc").write.partitionBy("doc").text(path)
+
+
 def can_parse(text: str) -> bool:
     return bool(re.match(r"\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*|<!DOCTYPE[^>\[]*(\[.*?\])?>\s*)*<([A-Za-z]+:)?RDF\b", text[:8000], re.DOTALL))

@@ -43,7 +43,7 @@ for _f in (
     Format("turtle", ("text/turtle", "application/x-turtle", "application/turtle", "text/n3", "text/rdf+n3", "application/rdf+n3"), lambda spark, path, **o: turtle.read(spark, path, graphs=False, **o), turtle.write, turtle.can_parse),
     Format("trig", ("application/trig", "application/x-trig"), turtle.read, turtle.write, turtle.can_parse),
     Format("jsonld", ("application/ld+json", "application/json+ld"), jsonld.read, jsonld.write, jsonld.can_parse),
-    Format("rdfxml", ("application/rdf+xml", "application/xml", "text/xml"), rdfxml.read, lambda q, path: rdfxml.documents(q).select("text").write.text(path), rdfxml.can_parse),
+    Format("rdfxml", ("application/rdf+xml", "application/xml", "text/xml"), rdfxml.read, rdfxml.write, rdfxml.can_parse),
     Format("jelly", ("application/x-jelly-rdf",), jelly.read, jelly.write, lambda text: False),
 ):
     register(_f)
@@ -66,10 +66,10 @@ def format_of(content_type: str) -> Format:
 
 def detect(spark: SparkSession, path: str) -> Format:
     """The format of the first file, from its first bytes or characters."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 20)).first()
+    head = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.substring("content", 1, 1 << 20)).first()
     if head and jelly.can_parse(bytes(head[0])):
         return FORMATS["application/x-jelly-rdf"]
-    head = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 8000)).first()
+    head = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.substring("value", 1, 8000)).first()
     text = head[0] if head else ""
     for name in ("application/rdf+xml", "application/ld+json", "application/n-quads", "text/turtle", "application/trig"):
         if FORMATS[name].looks(text):
