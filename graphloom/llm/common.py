@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_dir
+
 #: White space of the token patterns: blank, tab, LF, VT, FF, CR.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -17,23 +18,6 @@ _LOWER = _UPPER.lower()
 _LOWER_TABLE = str.maketrans(_UPPER, _LOWER)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where a session names none (a local test) a temporary folder is made
-    and remembered in the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.graphloom.scratch", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.graphloom.scratch", root)
-    return root.rstrip("/")
-
-
 #: Rows that go to Python at a time while a table is written: whole texts may be long.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
