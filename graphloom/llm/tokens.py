@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 
 #: Words in each of the two halves of a worker's memory.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: A plain word is letters up to this one, each with one lower case, and then marks that can't join
 #: a letter.  Every other word is left to the library whole.
 _LAST, _TWO_LOWER, _MARKS = "\u017f", "\u0130", "!\"#$%&()*+,-./:;=?@[]^`{}~"
