@@ -87,6 +87,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -127,5 +133,28 @@ FROM e LEFT JOIN c ON e.conv_id = c.conv_id AND e.call_id = c.call_id LEFT JOIN
 """
 
 
+#: Every document tested by every filter, then counted for every order and step.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS tox FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(tox, 0) AS tox,
+             concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+                    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END,
+                    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN d.doc_id > least THEN 'E' ELSE '' END) AS fails
+      FROM d LEFT JOIN firsts USING (t) LEFT JOIN lab ON d.doc_id = lab.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(tox) AS tox FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, substr(filter_order, 1, step - 1) AS earlier FROM o, range(1, 6) AS r(step)),
+j AS (SELECT part, filter_order, step, x, n, good, tox, fails = x AS alone, contains(fails, x) AS own, length(translate(fails, earlier, '')) < length(fails) AS gone FROM c, s)
+SELECT part, filter_order, step, CAST(coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (own AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (own AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (own AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(tox) FILTER (own AND NOT gone), 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(sum(n) FILTER (own AND NOT gone), 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM j GROUP BY part, filter_order, step, x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op11_filter_audit": OP11_SQL, "op3_chat_format": OP3_SQL, "op8_decontaminate": OP8_SQL}
