@@ -1,26 +1,28 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and the five-letter grams within them, so that inflected
-and compounded forms meet.  Fitting, on a bounded sample of labelled rows
-(``SAMPLE`` of each class): every term is kept whose rates in the two classes
-differ by more than chance makes any one of so many terms differ (a likelihood
-ratio over twice the logarithm of the number of terms).  The other terms say
-nothing of toxicity and would only bring texts of one subject together.  Each
-example's whole text is a term as well, so a copy of an example always meets it.
-One pass over all whole texts then counts the kept terms; document frequencies
-are taken over all documents.
-The sample's vectors become a block-max inverted index, which is broadcast: its
-size is bounded by the sample, not by the corpus.
+Terms are the words of a text (letters and digits) and their stems (the first
+four characters of words that have as many), so that inflected forms meet.
+Every term of the sampled examples (``SAMPLE`` of each class, the documented
+bound) is kept.  One pass over all whole texts counts them; document
+frequencies are taken over all documents.  A term's weight is (1 + ln tf) idf, times a factor that tells how
+surely its rates differ between the classes of the sample: a likelihood ratio
+r (2 ln) gives FLOOR + (1 - FLOOR) (r / (r + HALF))^2.  Terms that say nothing
+of toxicity keep a small weight and none is dropped.
+
+The sample's unit vectors become a block-max inverted index, which is
+broadcast: its size is bounded by the sample, not by the corpus.  Posting lists
+that hold a good part of all examples are kept as rows of numbers, summed for
+all examples at once; the others have a greatest weight per block.
 
 A document's ``K`` nearest examples are found exactly: blocks of examples are
 visited by falling upper bound and left out once none can reach the k-th best.
 Votes are weighted by closeness and by how many labelled rows an example stands
-for, then calibrated by a logistic fit on left-out sample rows.
+for, then calibrated by a logistic fit on left-out sample rows.  A text that an
+example equals term for term is scored by its labels (``COPY``).
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -34,75 +36,53 @@ from pyspark.sql import functions as F
 from .common import crc_mod, row_hash, text_or_empty, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
-SAMPLE = 4096
-#: Neighbours that vote, and examples in a block of the index.
-K, BLOCK = 15, 64
+SAMPLE = 1024
+#: Neighbours that vote, examples in a block of the index, and the share of all examples from which on a posting list is a row.
+K, BLOCK, DENSE = 15, 64, 1 / 8
+#: Least factor of a term, and the likelihood ratio at which it has a quarter of the greatest one.
+FLOOR, HALF = 1e-3, 10.0
+#: Share of the score of a text that comes from the labels of its copies among the examples (cosine 1), where there are any.
+COPY = 0.9
+#: Letters of a stem.
+STEM = 4
 #: Sample rows of each class that the calibration is fitted on, and its pull towards none.
-CALIBRATION, RIDGE = 1000, 1.0
+CALIBRATION, RIDGE = 500, 1.0
 #: Rows that one task scores.
 DEAL_ROWS = 4000
 _CACHE_WORDS = 500_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(token: str) -> set[str]:
-    """Terms of one lower-cased blank-separated token."""
-    out: set[str] = set()
-    for word in _LETTERS.findall(token):
-        out.add(word)
-        padded = f"^{word}$"
-        out.update(padded[i : i + 5] + "*" for i in range(len(padded) - 4))
-    return out
+def terms_of(token: str) -> list[str]:
+    """Terms of one lower-cased blank-separated token: its words, and a stem (marked ^) for each."""
+    words = _WORD.findall(token)
+    return words + ["^" + w[:STEM] for w in words if len(w) >= STEM]
 
 
-def distinct_terms(counted: list[tuple[str, int, int]]) -> list[str]:
-    """One of all terms that always come together.
-
-    A word and the grams within it, or grams that overlap in all but a letter,
-    are the same evidence if as many documents of each class hold them.  The
-    gram inside the word is kept before one at its edge and before the word, as
-    it also meets other forms.
-    """
-    counts = {t: (b, x) for t, b, x in counted}
-    root = {t: t for t in counts}
-
-    def top(t: str) -> str:
-        while root[t] != t:
-            root[t] = t = root[root[t]]
-        return t
-
-    def link(a: str, b: str) -> None:
-        if b in counts and counts[a] == counts[b]:
-            root[top(a)] = top(b)
-
-    heads: dict[str, list[str]] = {}
-    for t in counts:
-        if t.endswith("*"):
-            heads.setdefault(t[:4], []).append(t)
-    for t in counts:
-        if t.endswith("*"):
-            for other in heads.get(t[1:5], []):
-                link(t, other)
-        else:
-            for gram in terms_of(t):
-                link(t, gram)
-    best: dict[str, str] = {}
-    rank = lambda t: (not t.endswith("*"), "^" in t or "$" in t, t)
-    for t in counts:
-        best[top(t)] = min(best.get(top(t), t), t, key=rank)
-    return sorted(best.values())
+def class_factor(benign: np.ndarray, toxic: np.ndarray, n_benign: int, n_toxic: int) -> np.ndarray:
+    """FLOOR to 1 for each term, by the likelihood ratio of its two rates (smoothed by half a row) against one common rate."""
+    p, q, r = (toxic + 0.5) / (n_toxic + 1), (benign + 0.5) / (n_benign + 1), (toxic + benign + 0.5) / (n_toxic + n_benign + 1)
+    side = lambda k, n, own: k * np.log(own / r) + (n - k) * np.log((1 - own) / (1 - r))
+    ratio = np.maximum(2 * (side(toxic, n_toxic, p) + side(benign, n_benign, q)), 0)
+    return FLOOR + (1 - FLOOR) * (ratio / (ratio + HALF)) ** 2
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks, with the greatest weight of each term in each block."""
+    """Unit vectors in blocks, with the greatest weight of each term in each block; lists of many rows are laid out whole."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK, dense: float = DENSE) -> None:
         # neighbours by their heaviest term, so that bounds are tight
         order = sorted(range(len(rows)), key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]) if len(rows[i][0]) else n_terms, i))
         self.order, self.block = np.array(order, np.int64), block
         terms = np.concatenate([rows[i][0] for i in order]) if order else np.zeros(0, np.int64)
         at = np.repeat(np.arange(len(order)), [len(rows[i][0]) for i in order])
         weights = np.concatenate([rows[i][1] for i in order]) if order else np.zeros(0)
+        whole = np.bincount(terms, minlength=n_terms) >= max(1, dense * len(order))
+        self.row_of = np.where(whole, np.cumsum(whole) - 1, -1)
+        self.rows = np.zeros((int(whole.sum()), len(order)))
+        laid = whole[terms]
+        self.rows[self.row_of[terms[laid]], at[laid]] = weights[laid]
+        terms, at, weights = terms[~laid], at[~laid], weights[~laid]
         sort = np.lexsort((at, terms))
         self.at, self.weights, terms = at[sort], weights[sort], terms[sort]
         key = terms * (len(order) + 1) + self.at // block
@@ -112,16 +92,22 @@ class BlockMaxIndex:
         self.run_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.term_run = np.searchsorted(terms[first] if len(first) else first, np.arange(n_terms + 1))
         self.blocks = -(-len(order) // block)
+        self.starts = np.arange(self.blocks) * block
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines (rounded to 12 digits) of the k nearest with a cosine over 0.
 
         Ties go to the row that comes first in the index; ``skip`` is left out.
         """
+        if not self.blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        laid = self.row_of[terms]
+        base = weights[laid >= 0] @ self.rows[laid[laid >= 0]]
+        terms, weights = terms[laid < 0], weights[laid < 0]
         begin, n = self.term_run[terms], self.term_run[terms + 1] - self.term_run[terms]
         runs = np.arange(n.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n)  # (term, block) lists of the query
         blocks, power = self.run_block[runs], np.repeat(weights, n)
-        bound = np.bincount(blocks, power * self.run_most[runs], self.blocks)
+        bound = np.bincount(blocks, power * self.run_most[runs], self.blocks) + np.maximum.reduceat(base, self.starts)
         wanted_block = np.zeros(self.blocks, bool)
         todo = np.flatnonzero(bound > 0)
         todo = todo[np.argsort(-np.round(bound[todo], 12), kind="stable")]
@@ -137,11 +123,13 @@ class BlockMaxIndex:
             i, step = i + step, min(4 * step, 1024)
             wanted_block[group] = True
             wanted = np.flatnonzero(wanted_block[blocks])
+            wanted_block[group] = False
             first, size = self.run[runs[wanted]], self.run[runs[wanted] + 1] - self.run[runs[wanted]]
             postings = np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            score = np.bincount(self.at[postings], np.repeat(power[wanted], size) * self.weights[postings], len(self.order))
-            wanted_block[group] = False
-            place = np.flatnonzero(score > 0)
+            score = base + np.bincount(self.at[postings], np.repeat(power[wanted], size) * self.weights[postings], len(self.order))
+            place = (np.sort(group)[:, None] * self.block + np.arange(self.block)).ravel()
+            place = place[place < len(self.order)]
+            place = place[score[place] > 0]
             if skip >= 0:
                 place = place[self.order[place] != skip]
             best_at, best = np.concatenate((best_at, place)), np.concatenate((best, np.round(score[place], 12)))
@@ -154,27 +142,22 @@ class BlockMaxIndex:
 
 
 class Voter:
-    """The index with labels, class weights and calibration."""
+    """The index with labels, class weights and calibration; ``power`` is a term's idf times its factor."""
 
-    def __init__(self, ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, stands_for: tuple[float, float]) -> None:
-        self.ids, self.idf, self.labels = ids, idf, labels
+    def __init__(self, ids: list[int], labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], power: np.ndarray, stands_for: tuple[float, float]) -> None:
+        self.ids, self.power, self.labels = ids, power, labels
         self.weight = np.where(labels == 1, stands_for[1], stands_for[0])
-        self.index = BlockMaxIndex([self.unit(t, c) for t, c in vectors], len(idf))
-        blank = np.array([not len(t) for t, _ in vectors], bool)
-        toxic, all_ = float(self.weight[blank & (labels == 1)].sum()), float(self.weight[blank].sum())
+        self.index = BlockMaxIndex([self.unit(t, c) for t, c in vectors], len(power))
         rate = float(self.weight[labels == 1].sum()) / max(float(self.weight.sum()), 1e-9)
         self.prior = min(max(rate, 1e-3), 0.5)
-        self.blank = (toxic + self.prior) / (all_ + 1.0)
         self.slope, self.shift = 1.0, 0.0
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        weights = (1 + np.log(counts)) * self.idf[terms]
+        weights = (1 + np.log(counts)) * self.power[terms]
         return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
     def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """Raw score, and (row, cosine) of the voters."""
-        if not len(terms):
-            return self.blank, []
+        """Raw score, and (row, cosine) of the voters; without a voter, the rate of the toxic class."""
         rows, cosine = self.index.nearest(*self.unit(terms, counts), K, skip)
         power = self.weight[rows] * cosine / (1.05 - np.minimum(cosine, 1.0))
         pull = float(self.weight.mean()) * 0.5
@@ -183,7 +166,6 @@ class Voter:
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Logistic fit on left-out votes; kept only if it rises with the vote."""
         pick = np.concatenate([np.flatnonzero(self.labels == c)[:CALIBRATION] for c in (0, 1)])
-        pick = np.array([i for i in pick if len(vectors[i][0])], np.int64)
         if len(pick) < 20 or len(set(self.labels[pick].tolist())) < 2:
             return
         raw = np.array([self.vote(*vectors[i], skip=int(i))[0] for i in pick])
@@ -201,11 +183,13 @@ class Voter:
         if np.isfinite(beta).all() and beta[0] > 0:
             self.slope, self.shift = float(beta[0]), float(beta[1])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, float, list[tuple[int, float]]]:
         raw, voters = self.vote(terms, counts)
-        if not len(terms):
-            return raw, voters
-        return float(_logistic(self.slope * _logit(np.array(raw)) + self.shift)), voters
+        score = float(_logistic(self.slope * _logit(np.array(raw)) + self.shift))
+        copies = np.array([i for i, cosine in voters if cosine > 1 - 1e-9], np.int64)
+        if len(copies):  # the fit, made on left-out rows, has seen no copy
+            score = COPY * float(self.weight[copies] @ self.labels[copies] / self.weight[copies].sum()) + (1 - COPY) * score
+        return score, raw, voters
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -222,10 +206,7 @@ def _term_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.text, batch.toxic, strict=True):
-            terms: set[str] = set()
-            for token in set(text.lower().split()):
-                terms |= terms_of(token)
-            seen[toxic].update(terms)
+            seen[toxic].update({t for token in set(text.lower().split()) for t in terms_of(token)})
         if len(seen[0]) + len(seen[1]) > 2_000_000:
             yield from _told(seen)
             seen = (Counter(), Counter())
@@ -239,25 +220,24 @@ def _told(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "benign": [seen[0][t] for t in part], "toxic": [seen[1][t] for t in part]})
 
 
-def _vectors(vocabulary: dict[str, int], copies: dict[int, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the kept terms, which are numbered after the whole texts of the examples."""
+def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers and counts of the terms of the vocabulary that a text holds."""
 
     class Ids(dict):
         def __missing__(self, token: str) -> tuple[int, ...]:
             if len(self) >= _CACHE_WORDS:
                 self.clear()
-            self[token] = found = tuple(sorted(vocabulary[t] for t in terms_of(token) if t in vocabulary))
+            self[token] = found = tuple(vocabulary[t] for t in terms_of(token) if t in vocabulary)
             return found
 
     ids = Ids()
     for batch in batches:
         terms, counts = [], []
-        for text, name in zip(batch.text, batch.text_hash.tolist(), strict=True):
-            met = Counter(chain.from_iterable(map(ids.__getitem__, text.lower().split())))
-            whole = [copies[name]] if name in copies and text else []
-            keys = sorted(met)
-            terms.append(whole + keys)
-            counts.append([1] * len(whole) + [met[t] for t in keys])
+        for text in batch.text:
+            found = np.fromiter(chain.from_iterable(map(ids.__getitem__, text.lower().split())), np.int32)
+            held, n = np.unique(found, return_counts=True)
+            terms.append(held)
+            counts.append(n.astype(np.int32))
         yield batch.drop(columns=["text"]).assign(terms=terms, counts=counts)
 
 
@@ -271,21 +251,15 @@ def _document_counts(n_terms: int, batches: Iterable[pd.DataFrame]) -> Iterator[
     yield pd.DataFrame({"term": held, "n": seen[held]})
 
 
-def _ratio(a: str, b: str, n: str, m: str) -> str:
-    """SQL for the likelihood ratio (2 ln) of a of n against b of m, rates smoothed by half a row."""
-    p, q, r = f"(({a} + 0.5) / ({n} + 1))", f"(({b} + 0.5) / ({m} + 1))", f"(({a} + {b} + 0.5) / ({n} + {m} + 1))"
-    side = lambda k, size, own: f"{k} * ln({own} / {r}) + ({size} - {k}) * ln((1 - {own}) / (1 - {r}))"
-    return f"2 * ({side(a, n, p)} + {side(b, m, q)})"
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, text_hash, held_out, score, predicted, evidence.
+    """One row per document: doc_id, text_hash, held_out, score, predicted, vote, evidence.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  Labels are learnt
     only from rows whose crc32(doc_id as text) modulo ``folds`` is not
-    ``held_out_fold``.  ``evidence`` lists the voters (doc_id, label, cosine).
-    Null and empty texts, and texts without a kept term that copy no example, get
-    the rate of such rows among the examples.  Without usable labels every score is 0.  A doc_id
+    ``held_out_fold``.  ``evidence`` lists the voters (doc_id, label, cosine),
+    ``vote`` is their vote before calibration.  A text that shares no term with
+    an example, such as a null or empty one, has no voter: its vote is the rate
+    of the toxic class.  Without usable labels every score is 0.  A doc_id
     with several labels counts as toxic if one says so; rows of labels with a
     null are left out; a document with a null doc_id is scored and is not held
     out; repeated rows each give a row; an empty table gives none; other columns
@@ -301,31 +275,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     chosen = spark.createDataFrame(picked, "doc_id long, toxic int") if picked else spark.createDataFrame([], "doc_id long, toxic int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
-    train = written(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic", row_hash().alias("text_hash")), "toxicity-examples")  # a bounded sample
+    # the text of each example: of several with one doc_id, that of the least hash
+    own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(row_hash().alias("text_hash"), "text")).alias("v"))  # a bounded sample
+    train = written(own.select("doc_id", "toxic", "v.text_hash", "v.text"), "toxicity-examples")
+    n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     counted = train.mapInPandas(_term_counts, "term string, benign long, toxic long").groupBy("term").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
-    counted = written(counted, "toxicity-terms")
-    n = {label: max(1, sum(x[1] == label for x in picked)) for label in (0, 1)}
-    least = 2 * math.log(max(counted.count(), 1))
-    apart = counted.where(F.expr(_ratio("toxic", "benign", f"{n[1]}D", f"{n[0]}D")) >= least)
-    kept = distinct_terms([(r.term, r.benign, r.toxic) for r in apart.collect()])  # terms of the sample
-    copies = {r.text_hash: i for i, r in enumerate(train.select("text_hash").distinct().orderBy("text_hash").collect())}
-    vocabulary = {t: i for i, t in enumerate(sorted(kept), len(copies))}
-    n_terms = len(copies) + len(vocabulary)
+    counted = sorted((r.term, r.benign, r.toxic) for r in counted.collect())  # terms of the sample
+    vocabulary = {r[0]: i for i, r in enumerate(counted)}
+    factor = class_factor(*(np.array([r[i] for r in counted], float) for i in (1, 2)), n.get(0, 0), n.get(1, 0))
 
     exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), row_hash().alias("text_hash"), "text")
-    vectors = exact.mapInPandas(lambda it: _vectors(vocabulary, copies, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
+    words = spark.sparkContext.broadcast(vocabulary)
+    vectors = exact.mapInPandas(lambda it: _vectors(words.value, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
     vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "terms", "counts"), "toxicity-vectors")
 
     total = vectors.count()
-    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(n_terms, it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    seen = {r.term: r.n for r in summed.collect()}  # a row per kept term
-    idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(n_terms)])
-    examples = vectors.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text_hash", "terms", "counts")).alias("v")).orderBy("v.text_hash", "toxic").collect()  # a doc_id decides no tie
+    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(len(vocabulary), it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = np.zeros(len(vocabulary))
+    for r in summed.collect():  # a row per term of the sample
+        seen[r.term] = r.n
+    power = (np.log((1 + total) / (1 + seen)) + 1) * factor
+    keys = F.broadcast(train.select("doc_id", "text_hash", "toxic"))
+    examples = vectors.join(keys, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash", "toxic").agg(F.min(F.struct("terms", "counts")).alias("v")).collect()
+    examples.sort(key=lambda r: (r.text_hash, r.toxic, r.v.terms))  # a doc_id decides no tie
     as_arrays = [(np.array(r.v.terms, np.int64), np.array(r.v.counts, float)) for r in examples]
     y = np.array([r.toxic for r in examples], np.int64)
     if len(examples):
         stands_for = tuple(sizes.get(c, 0) / max(1, int((y == c).sum())) for c in (0, 1))
-        voter = Voter([r.doc_id for r in examples], y, as_arrays, idf, stands_for)
+        voter = Voter([r.doc_id for r in examples], y, as_arrays, power, stands_for)
         voter.calibrate(as_arrays)
     else:
         voter = None
@@ -334,16 +311,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for batch in batches:
-            score, evidence = [], []
+            score, vote, evidence = [], [], []
             for terms, counts in zip(batch.terms, batch.counts, strict=True):
-                s, voters = model.score(np.asarray(terms, np.int64), np.asarray(counts, float)) if model else (0.0, [])
+                s, raw, voters = model.score(np.asarray(terms, np.int64), np.asarray(counts, float)) if model else (0.0, 0.0, [])
                 score.append(min(max(s, 0.0), 1.0))
+                vote.append(raw)
                 evidence.append([{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for i, c in voters])
-            yield batch[["doc_id", "text_hash"]].assign(score=score, evidence=evidence)
+            yield batch[["doc_id", "text_hash"]].assign(score=score, vote=vote, evidence=evidence)
 
     # the vectors are few bytes but much work: deal them evenly
     dealt = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts").repartition(max(8, total // DEAL_ROWS))
-    scored = dealt.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    scored = dealt.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
     key = F.col("doc_id").cast("long")
     held_out = F.coalesce(crc_mod(key, folds) == held_out_fold, F.lit(False))
-    return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")
