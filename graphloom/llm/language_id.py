@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, text_or_empty, written
 
 #: Rows that the classifier is fitted on at most: in all, and of one language; and languages that it learns, the most frequent ones.
-SAMPLE, PER_LANG, LANGUAGES = 8000, 800, 500
+SAMPLE, PER_LANG, LANGUAGES = 4000, 500, 500
 #: Longest subword, buckets, width of an embedding.
 MAX_N, BUCKETS, DIM = 4, 1 << 16, 16
 EPOCHS, BATCH, RATE, SEED = 5, 32, 4.0, 13
@@ -133,10 +133,11 @@ class _Bags:
     """Bucket counts of many texts, side by side."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        self.n = np.array([c.sum() for _, c in rows], np.int64)
+        self.n = np.array([c.sum(dtype=np.int64) for _, c in rows])
         self.start = np.concatenate(([0], np.cumsum([len(b) for b, _ in rows]))).astype(np.int64)
-        self.buckets = np.concatenate([b for b, _ in rows]).astype(np.int64)
-        self.shares = np.concatenate([c for _, c in rows]) / np.repeat(np.maximum(self.n, 1), np.diff(self.start))
+        self.buckets = np.concatenate([b for b, _ in rows])
+        self.shares = np.concatenate([c for _, c in rows]).astype(np.float32)
+        self.shares /= np.repeat(np.maximum(self.n, 1), np.diff(self.start))
 
     def some(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Buckets, shares and first places of some rows, none of which is empty."""
@@ -204,7 +205,7 @@ def accepted_from(score: np.ndarray, right: np.ndarray, precision: float) -> flo
 
 
 def _bags_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bucket counts of whole texts and of a piece of each, drawn by the text's own hash."""
+    """Bucket counts, as bytes, of whole texts and of a piece of each, drawn by the text's own hash."""
     for batch in batches:
         out = []
         for lang, key, text in zip(batch.lang, batch["key"], batch.text, strict=True):
@@ -214,7 +215,7 @@ def _bags_of(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for piece, part in enumerate((text, " ".join(words[at : at + size]))):
                 buckets, counts = bucket_counts(part)
                 if len(buckets):
-                    out.append((lang, key, piece, buckets, counts))
+                    out.append((lang, key, piece, buckets.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
         yield pd.DataFrame(out, columns=["lang", "key", "piece", "buckets", "counts"])
 
 
@@ -231,7 +232,7 @@ def sample_bags(rows: DataFrame) -> DataFrame:
     near = keyed.where((F.col("key").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 2 * each)
     once = near.groupBy("lang", "key").agg(F.min("text").alias("text"))
     first = once.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= each)
-    return first.select("lang", "key", "text").mapInPandas(_bags_of, "lang string, key long, piece int, buckets array<int>, counts array<long>")
+    return first.select("lang", "key", "text").mapInPandas(_bags_of, "lang string, key long, piece int, buckets binary, counts binary")
 
 
 def identify_languages(docs: DataFrame, folds: int = 3, held_out_fold: int = 1, precision: float = PRECISION) -> DataFrame:
@@ -258,7 +259,7 @@ def identify_languages(docs: DataFrame, folds: int = 3, held_out_fold: int = 1,
     model = None
     if langs:
         number = {x: i for i, x in enumerate(langs)}
-        bags = [(np.array(r.buckets, np.int64), np.array(r.counts, np.int64)) for r in found]
+        bags = [(np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.counts, "<u4")) for r in found]
         labels, groups = np.array([number[r.lang] for r in found]), np.array([r.key & 0x7FFFFFFFFFFFFFFF for r in found])
         model = train(bags, labels, groups, langs, precision)
     shared = spark.sparkContext.broadcast(model)
