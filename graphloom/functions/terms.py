@@ -36,8 +36,10 @@ def literal(value: Column, datatype: str = STRING, language: Column | None = Non
 def _escaped(value: Column, pairs: list[tuple[str, str]]) -> Column:
     """Each first text of the pairs replaced by the second; values that hold none, nearly all, are only looked at once."""
     held = "[" + "".join(f"\\x{ord(old):02X}" for old, _ in pairs) + "]"
-    table = F.array(*[F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")) for old, new in pairs])
-    return F.when(value.rlike(held), F.aggregate(table, value, lambda text, pair: F.replace(text, pair["old"], pair["new"]))).otherwise(value)
+    text = value
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.when(value.rlike(held), text).otherwise(value)
 
 
 def escape_literal(value: Column, canonical: bool = False) -> Column:

@@ -12,8 +12,8 @@ is global, and it is a prefix sum.  The identifiers are those of the standard.
 from __future__ import annotations
 
 import hashlib
-import sys
-from itertools import permutations
+from collections.abc import Generator
+from itertools import pairwise, permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +24,10 @@ from ..schema import BLANK, COLUMNS
 from ..storage import written
 from .traverse import connected
 
-#: Runs of the N-degree hash that one component may take.
-BUDGET = 200_000
+#: Runs of the N-degree hash that one component may take, besides ``RUNS`` times the square of its nodes.
+BUDGET, RUNS = 200_000, 4
+#: Rounds in which the colours of a component must settle to be made use of.
+COLOUR_ROUNDS = 16
 #: Quads of tied nodes that one task works on, if no component is larger.
 TASK_QUADS = 50_000
 
@@ -68,6 +70,17 @@ class Issuer:
         return self.issued.setdefault(node, f"{self.prefix}{len(self.issued)}")
 
 
+class _Ways(dict):
+    """The steps from a step of a line to the end, cut when they are asked for."""
+
+    def __init__(self, *lines: list[tuple[str, str]]) -> None:
+        self.place = {step: (line, i) for line in lines for i, step in enumerate(line)}
+
+    def __missing__(self, step: tuple[str, str]) -> list[tuple[str, str]]:
+        line, i = self.place[step]
+        return line[i:]
+
+
 class Component:
     """N-degree hashes within one component of tied nodes.
 
@@ -76,7 +89,8 @@ class Component:
     """
 
     def __init__(self, quads: list[tuple], hashes: dict[str, str], settled: dict[str, str], bits: int, budget: int) -> None:
-        self.hashes, self.settled, self.budget, self.digest = hashes, settled, budget, {256: hashlib.sha256, 384: hashlib.sha384, 512: hashlib.sha512}[bits]
+        self.hashes, self.settled, self.digest, self.known = hashes, settled, {256: hashlib.sha256, 384: hashlib.sha384, 512: hashlib.sha512}[bits], {}
+        self.budget = budget + RUNS * len(hashes) ** 2 if budget >= BUDGET else budget
         self.about: dict[str, list[tuple[str, str, str]]] = {n: [] for n in hashes}
         for s, p, o, g in quads:
             for node in {s, o, g} & hashes.keys():
@@ -85,32 +99,44 @@ class Component:
     def hash(self, text: str) -> str:
         return self.digest(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def related(self, node: str, issuer: Issuer) -> dict[str, list[str]]:
-        """Blank nodes beside a node, by the hash of how they are related."""
+    def related(self, node: str, issued: dict[str, str]) -> list[tuple[str, list[str]]]:
+        """Blank nodes beside a node, by the hash of how they are related, in the order of the hashes."""
         out: dict[str, list[str]] = {}
         for place, p, other in self.about[node]:
-            name = self.settled.get(other) or issuer.issued.get(other)
-            key = self.hash(place + (f"<{p}>" if place != "g" else "") + (f"_:{name}" if name else self.hashes[other]))
-            if other not in out.setdefault(key, []):
+            key = self.key_of(place, p, self.settled.get(other) or issued.get(other), other)
+            if key not in out:
+                out[key] = [other]
+            elif other not in out[key]:
                 out[key].append(other)
-        return out
+        return sorted(out.items())
 
-    def n_degree(self, node: str, issuer: Issuer) -> tuple[str, Issuer]:
+    def n_degree(self, node: str, issuer: Issuer) -> Generator:
+        """Asks for the runs that it needs, (node, issuer), and returns (hash, issuer): ``run`` keeps the stack."""
         self.budget -= 1
         if self.budget < 0:
             raise ValueError("canonical identifiers: a component of tied blank nodes needs more work than the budget allows")
         data = ""
-        for key, nodes in sorted(self.related(node, issuer).items()):
+        for key, nodes in self.related(node, issuer.issued):
+            if len(nodes) == 1:  # one order only: nothing to try, nothing to undo
+                other = nodes[0]
+                name = self.settled.get(other) or issuer.issued.get(other)
+                if name:
+                    data += f"{key}_:{name}"
+                else:
+                    name = issuer.issue(other)
+                    found, issuer = yield other, issuer
+                    data += f"{key}_:{name}_:{name}<{found}>"
+                continue
             best = kept = None
             for order in permutations(nodes):
-                tried = self.path(order, issuer.copy(), best)
+                tried = yield from self.path(order, issuer.copy(), best)
                 if tried and (best is None or tried[0] < best):
                     best, kept = tried
             data += key + best
             issuer = kept
         return self.hash(data), issuer
 
-    def path(self, order: tuple[str, ...], issuer: Issuer, best: str | None) -> tuple[str, Issuer] | None:
+    def path(self, order: tuple[str, ...], issuer: Issuer, best: str | None) -> Generator:
         """The path that visits the nodes in an order, or None as soon as it can't be the least."""
         worse = lambda: best is not None and len(path) >= len(best) and path > best
         path, ahead = "", []
@@ -124,29 +150,143 @@ class Component:
             if worse():
                 return None
         for other in ahead:
-            found, after = self.n_degree(other, issuer)
+            found, after = yield other, issuer
             path += f"_:{issuer.issue(other)}<{found}>"
             issuer = after
             if worse():
                 return None
         return path, issuer
 
+    def run(self, node: str) -> tuple[str, list[str]]:
+        """Hash of a first node, and all nodes in the order in which it names them; as deep as need be, without recursion."""
+        issuer = Issuer()
+        issuer.issue(node)
+        stack, answer = [self.n_degree(node, issuer)], None
+        while stack:
+            try:
+                stack.append(self.n_degree(*stack[-1].send(answer)))
+                answer = None
+            except StopIteration as end:
+                stack.pop()
+                answer = end.value
+        return answer[0], list(answer[1].issued)
+
+    def key_of(self, place: str, p: str, name: str | None, other: str) -> str:
+        what = (place, p, name, None if name else self.hashes[other])
+        key = self.known.get(what)
+        if key is None:
+            key = self.known[what] = self.hash(place + (f"<{p}>" if place != "g" else "") + (f"_:{name}" if name else self.hashes[other]))
+        return key
+
+    def is_path(self) -> bool:
+        """Whether the tied nodes form one line; then each way along it is a loop over its nodes."""
+        self.beside = {n: list(dict.fromkeys(o for _, _, o in around if o in self.about)) for n, around in self.about.items()}
+        if sum(map(len, self.beside.values())) != 2 * len(self.about) - 2 or any(len(b) > 2 for b in self.beside.values()):
+            return False
+        self.links = {(n, o): list(dict.fromkeys((place, p) for place, p, x in around if x == o)) for n, around in self.about.items() for o in self.beside[n]}
+        self.fixed = {n: list({self.key_of(place, p, self.settled[o], o): f"_:{self.settled[o]}" for place, p, o in around if o in self.settled}.items()) for n, around in self.about.items()}
+        self.seen: dict[tuple, bytes] = {}
+        line, end = [], next(n for n, b in self.beside.items() if len(b) < 2)
+        while end is not None:
+            line.append(end)
+            end = next((o for o in self.beside[end] if len(line) < 2 or o != line[-2]), None)
+        there, back = list(pairwise(line)), list(pairwise(reversed(line)))
+        self.ways = _Ways(there, back)
+        # steps (last, now) that differ in nothing but their place are of one kind, and share what is made ready for a number
+        kinds: dict[tuple, int] = {}
+        self.ready: dict[tuple, tuple[bytes, bytes]] = {}
+        self.kinds = {}
+        for now, beside in self.beside.items():
+            for last in beside:
+                ahead = next((o for o in beside if o != last), None)
+                what = (tuple(self.fixed[now]), tuple(self.links[now, last]), ahead and (tuple(self.links[now, ahead]), self.hashes[ahead]))
+                self.kinds[last, now] = kinds.setdefault(what, len(kinds))
+        return True
+
+    def along(self, node: str, came: str, d: int, keep: bool) -> tuple[str, list[str]]:
+        """N-degree hash of a node named b<d>, away from its neighbour b0, and the nodes on the way: from the far end back."""
+        way = self.ways[came, node]  # the steps from here to the end
+        found, todo = (self.seen.get((way[1], d + 1)), 1) if len(way) > 1 else (None, 0)
+        if found is None:
+            found, todo = b"", len(way)
+        ready, kinds, digest = self.ready, self.kinds, self.digest
+        for k in range(todo - 1, -1, -1):
+            what = (kinds[way[k]], d + k, k > 0)
+            before, behind = ready.get(what) or self.step(what, way, k, d)
+            found = digest(before + found + behind).hexdigest().encode()
+            if keep and k:
+                self.seen[way[k], d + k] = found
+        self.budget -= todo
+        return found.decode(), [now for _, now in way]
+
+    def step(self, what: tuple, way: list[tuple[str, str]], k: int, d: int) -> tuple[bytes, bytes]:
+        """What stands before and behind the hash of the nodes ahead in the data of a node: all that depends on its number and kind."""
+        last, now = way[k]
+        name = f"b{d + k - 1}" if k else "b0"
+        parts = self.fixed[now] + [(self.key_of(place, p, name, last), f"_:{name}") for place, p in self.links[now, last]]
+        if k + 1 < len(way):
+            name, ahead = f"_:b{d + k + 1}", way[k + 1][1]
+            keys = sorted(self.key_of(place, p, None, ahead) for place, p in self.links[now, ahead])
+            parts += [(key, name if i else f"{name}{name}<\0>") for i, key in enumerate(keys)]
+        before, _, behind = "".join(x for part in sorted(parts) for x in part).partition("\0")
+        self.ready[what] = out = before.encode(), behind.encode()
+        return out
+
+    def run_path(self, node: str) -> tuple[str, list[str]] | None:
+        """``run`` on a line; None where both neighbours are related in the same way, so that their order must be tried."""
+        parts = [(key, text, None) for key, text in self.fixed[node]]
+        for other in self.beside[node]:
+            parts += [(self.key_of(place, p, None, other), "", other) for place, p in self.links[node, other]]
+        if len({key for key, _, _ in parts}) < len(parts):
+            return None
+        names, nodes, data = {}, [node], ""
+        for key, text, other in sorted(parts, key=lambda t: t[0]):
+            if other in names:
+                text = names[other]
+            elif other is not None:
+                d = len(nodes)
+                # on the second way a node's number is the same for nearly all first nodes: it is remembered
+                found, way = self.along(other, node, d, bool(names))
+                names[other] = f"_:b{d}"
+                nodes, text = nodes + way, f"_:b{d}_:b{d}<{found}>"
+            data += key + text
+        return self.hash(data), nodes
+
+    def starts(self, nodes: list[str]) -> list[str]:
+        """One of all nodes that only their labels tell apart, where that is cheap to see; else all.
+
+        In a tree, or in a ring, nodes of one stable colour (a node's hash,
+        refined by the colours around it) can be swapped without changing the
+        graph, so that they have the same hash.
+        """
+        edges = {frozenset((n, other)) for n, around in self.about.items() for _, _, other in around if other in self.about}
+        ring = len(edges) == len(self.about) and all(sum(o in self.about for o in {x for _, _, x in around}) == 2 for around in self.about.values())
+        if len(edges) != len(self.about) - 1 and not ring:
+            return nodes
+        colour, classes = dict(self.hashes), len(set(self.hashes.values()))
+        for _ in range(COLOUR_ROUNDS):
+            seen: dict[tuple, int] = {}
+            near = {n: (colour[n], *sorted((place, p, str(colour.get(other, self.settled.get(other)))) for place, p, other in around)) for n, around in self.about.items()}
+            colour = {n: seen.setdefault(k, len(seen)) for n, k in near.items()}
+            if len(seen) == classes:
+                return list({colour[n]: n for n in reversed(nodes)}.values())
+            classes = len(seen)
+        return nodes
+
     def order(self) -> tuple[str, str, list[str]]:
         """Least first-degree hash, least N-degree hash of its bearers, and all nodes in the order in which they are named."""
         least = min(self.hashes.values())
-        tries = []
-        for node in sorted(n for n, h in self.hashes.items() if h == least):
-            issuer = Issuer()
-            issuer.issue(node)
-            found, issuer = self.n_degree(node, issuer)
-            tries.append((found, list(issuer.issued)))
-        found, nodes = min(tries, key=lambda t: t[0])
-        return least, found, nodes
+        line = self.is_path()
+        best = None
+        for node in self.starts(sorted(n for n, h in self.hashes.items() if h == least)):
+            found = (self.run_path(node) if line else None) or self.run(node)
+            if best is None or found[0] < best[0]:
+                best = found
+        return least, *best
 
 
 def _name_components(bits: int, budget: int, rows: pd.DataFrame) -> pd.DataFrame:
     """(component, node, key, size, place) of the components dealt to one task; rows hold their quads and hashes."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
     columns = ["component", "p", *[f"{c}{x}" for c in ("s", "o", "g") for x in ("", "_hash", "_id")]]
     rows = rows[columns].astype(object).where(rows[columns].notna(), None).sort_values("component", kind="stable")
     out = []
@@ -177,8 +317,9 @@ def canonical_ids(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: i
 
     Ids are ``_:`` with the prefix and a number: first the nodes of unique
     first-degree hash in the order of their hashes, then those of the components
-    of tied nodes.  A component that takes more than ``budget`` runs of the
-    N-degree hash raises a ValueError: such graphs are built to be hard.
+    of tied nodes.  A component of n nodes takes up to n^2 runs of the N-degree
+    hash, by the standard; one that takes more than ``budget`` + 4 n^2 raises a
+    ValueError: only orders of alike neighbours, tried one by one, come to that.
     """
     q = written(q.select(*COLUMNS).distinct(), "canon-quads")
     hashes = written(first_degree_hashes(q, bits), "canon-hashes")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,73 +17,58 @@ _LITERAL = rf"{_STRING}(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^{_IRI})?"
 LINE = rf"^[ \t]*(?:({_IRI}|{_NODE})[ \t]*({_IRI})[ \t]*({_IRI}|{_NODE}|{_LITERAL})[ \t]*({_IRI}|{_NODE})?[ \t]*\.)?[ \t\r]*(?:#[^\n]*)?$"
 #: What stands before and between the terms of a line that was taken apart: no term but a literal, which comes last, can hold it.
 _CUT = "\x01"
-_ESCAPE = re.compile(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", re.DOTALL)
-_SHORT = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
-
-
-def _unescape(text: str | None, iri: bool = False) -> str | None:
-    """Escapes resolved; a text with an unknown one, or in an IRI any but a numeric one, gives None."""
-    good = True
-
-    def one(m: re.Match) -> str:
-        nonlocal good
-        code = m[1]
-        if len(code) > 1:
-            number = int(code[1:], 16)
-            good &= number < 0x110000 and not 0xD800 <= number < 0xE000
-            return chr(number) if good else ""
-        good &= not iri and code in _SHORT
-        return _SHORT.get(code, "")
-
-    plain = None if text is None else _ESCAPE.sub(one, text)
-    return plain if good else None
+_POINT = r"u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|U0000(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|U000[1-9A-Fa-f][0-9A-Fa-f]{4}|U0010[0-9A-Fa-f]{4}"
+#: Escapes of literals and of IRIs, and the parts of a text that has only good ones.
+_ESCAPES = {False: rf"\\(?:[tbnrf\"'\\]|{_POINT})", True: rf"\\(?:{_POINT})"}
+_PARTS = r"(?s)\\U.{8}|\\u.{4}|\\.|[^\\]+"
 
 
 def unescape(text: Column, iri: bool = False) -> Column:
-    """Escapes resolved, null for wrong ones; only texts that hold a backslash leave the JVM."""
-    run = F.pandas_udf(lambda s: s.map(lambda t: _unescape(t, iri), na_action="ignore").astype(object), "string")
-    return F.when(text.contains("\\"), run(F.when(text.contains("\\"), text))).otherwise(text)
+    """Escapes resolved, null for wrong ones; a text without a backslash is only looked at."""
+    wrong = F.regexp_replace(text, _ESCAPES[iri], "").contains("\\")
+    named = lambda part: F.translate(F.substring(part, 2, 1), "tbnrf", "\t\b\n\r\f")
+    point = lambda part: F.decode(F.unhex(F.lpad(F.substring(part, 3, 8), 8, "0")), "UTF-32")
+    plain = lambda part: F.when(~part.startswith("\\"), part).when(F.length(part) > 2, point(part)).otherwise(named(part))
+    resolved = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PARTS), F.lit(0)), plain), "")
+    return F.when(~text.contains("\\"), text).when(~wrong, resolved)
 
 
 def parse_lines(lines: DataFrame, column: str = "value", doc: Column | None = None, graphs: bool = True) -> DataFrame:
     """Quads of statement lines, with ``error``: the text of a line that is none.
 
     ``doc`` scopes blank nodes.  With ``graphs`` False a fourth term is an error.
-    A line is matched once, and its terms are cut from the one result.
+    A line is matched once: the match, and then its parts, go through an
+    ``explode`` of one row, which the optimiser can't copy into their uses.
     """
-    line, scope = F.col(column), doc if doc is not None else F.lit("doc")
-    cut = F.regexp_replace(line, LINE, _CUT + f"$1{_CUT}$2{_CUT}$4{_CUT}$3")
-    rows = lines.select(line.alias("_line"), scope.alias("_doc"), F.when(~line.startswith(_CUT) & cut.startswith(_CUT), F.split(cut, _CUT, 5)).alias("_terms"))
+    once = lambda c: F.explode(F.array(c))
+    cut = F.regexp_replace(F.col("_line"), LINE, _CUT + f"$1{_CUT}$2{_CUT}$4{_CUT}$3")
+    rows = lines.select(F.col(column).alias("_line"), (doc if doc is not None else F.lit("doc")).alias("_doc"))
+    rows = rows.select("_line", "_doc", once(cut).alias("_cut"))
+    rows = rows.select("_line", "_doc", once(F.when(~F.col("_line").startswith(_CUT) & F.col("_cut").startswith(_CUT), F.split("_cut", _CUT, 5))).alias("_terms"))
     term = lambda i: F.get("_terms", i)
-    rows = rows.select("_line", "_doc", F.col("_terms").isNotNull().alias("_ok"), term(1).alias("_s"), term(2).alias("_p"), term(3).alias("_g"), term(4).alias("_o")).where("not _ok or _s <> ''")
+    # the last quote ends a literal: neither a tag nor an IRI can hold one
+    rows = rows.select("_line", "_doc", F.col("_terms").isNotNull().alias("_ok"), *[term(i).alias(c) for i, c in ((1, "_s"), (2, "_p"), (3, "_g"), (4, "_o"))], F.when(term(4).startswith('"'), F.substring_index(term(4), '"', -1)).alias("_tail"))
+    rows = rows.where("not _ok or _s <> ''")
     ok = F.col("_ok") & ((F.col("_g") == "") if not graphs else F.lit(True))
+    rest = lambda c, n, less=0: F.substring(F.col(c), F.lit(n), F.length(c) - less)
 
     def kind(c: str) -> Column:
-        return F.when(ok & F.col(c).startswith("<"), IRI).when(ok & F.col(c).startswith("_:"), BLANK).when(ok & F.col(c).startswith('"'), LITERAL).cast("byte")
+        return F.when(F.col(c).startswith("<"), IRI).when(F.col(c).startswith("_:"), BLANK).when(F.col(c).startswith('"'), LITERAL).cast("byte")
 
     def value(c: str) -> Column:
-        inner = F.substring(F.col(c), F.lit(2), F.length(c) - 2)
-        return F.when(ok & F.col(c).startswith("<"), inner).when(ok & F.col(c).startswith("_:"), F.concat("_doc", F.lit("|"), F.substring(F.col(c), F.lit(3), F.length(c))))
+        return F.when(F.col(c).startswith("<"), unescape(rest(c, 2, 2), True)).when(F.col(c).startswith("_:"), F.concat("_doc", F.lit("|"), rest(c, 3)))
 
-    # the last quote ends a literal: neither a tag nor an IRI can hold one
-    tail = F.substring_index("_o", '"', -1)
-    text = F.substring(F.col("_o"), F.lit(2), F.length("_o") - F.length(tail) - 2)
-    lang, dt = F.when(tail.startswith("@"), F.substring(tail, F.lit(2), F.length(tail))), F.when(tail.startswith("^^"), F.substring(tail, F.lit(4), F.length(tail) - 4))
-    literal = ok & F.col("_o").startswith('"')
+    literal = F.col("_tail").isNotNull()
+    text = F.substring(F.col("_o"), F.lit(2), F.length("_o") - F.length("_tail") - 2)
+    lang, dt = F.when(F.startswith("_tail", F.lit("@")), rest("_tail", 2)), F.when(F.startswith("_tail", F.lit("^^")), unescape(rest("_tail", 4, 4), True)).otherwise(F.lit(STRING))
     out = rows.select(
-        "_line", ok.alias("_ok"), kind("_g").alias("g_kind"), value("_g").alias("g"), kind("_s").alias("s_kind"), value("_s").alias("s"), value("_p").alias("p"),
-        kind("_o").alias("o_kind"), F.when(literal, text).otherwise(value("_o")).alias("o"),
-        F.when(literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(STRING)))).alias("o_dt"), F.when(literal, lang).alias("o_lang"),
+        "_line", ok.alias("_ok"), kind("_g").alias("g_kind"), value("_g").alias("g"), kind("_s").alias("s_kind"), value("_s").alias("s"), unescape(rest("_p", 2, 2), True).alias("p"),
+        kind("_o").alias("o_kind"), F.when(literal, unescape(text)).otherwise(value("_o")).alias("o"),
+        F.when(literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(dt)).alias("o_dt"), lang.alias("o_lang"),
     )
-    # almost no line holds an escape: those that do are one branch, and Python sees no other
-    held = F.col("_line").contains("\\") & F.col("_ok")
-    resolved = {c: unescape(F.col(c), True) for c in ("g", "s", "p", "o_dt")}
-    resolved["o"] = F.when(F.col("o_kind") == LITERAL, unescape(F.when(F.col("o_kind") == LITERAL, F.col("o")))).otherwise(unescape(F.when(F.col("o_kind") == IRI, F.col("o")), True))
-    resolved["o"] = F.when(F.col("o_kind") == BLANK, F.col("o")).otherwise(resolved["o"])
-    plain = {c: F.when(held, resolved[c]).otherwise(F.col(c)) if c in resolved else F.col(c) for c in COLUMNS}
-    rows = out.select("_line", "_ok", *[plain[c].alias(c) for c in COLUMNS])
-    wrong = ~F.col("_ok") | F.col("s").isNull() | F.col("p").isNull() | F.col("o").isNull() | (F.col("g_kind").isNotNull() & F.col("g").isNull()) | ((F.col("o_kind") == LITERAL) & F.col("o_dt").isNull())
-    return rows.select(*[F.when(~wrong, F.col(c)).alias(c) for c in COLUMNS], F.when(wrong, F.col("_line")).alias("error"))
+    good = F.col("_ok") & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & (F.col("g_kind").isNull() | F.col("g").isNotNull()) & ((F.col("o_kind") != LITERAL) | F.col("o_dt").isNotNull())
+    found = out.select("_line", *COLUMNS, once(F.coalesce(good, F.lit(False))).alias("_good"))
+    return found.select(*[F.when(F.col("_good"), F.col(c)).alias(c) for c in COLUMNS], F.when(~F.col("_good"), F.col("_line")).alias("error"))
 
 
 def checked(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:

@@ -106,3 +106,56 @@ def test_options_and_budget(spark):
 def test_hash_of_a_dataset(spark):
     q = graph(spark, UNIQUE)
     assert canon.canonical_hash(q).first() == canon.canonical_hash(graph(spark, UNIQUE[::-1], {"e0": "e1", "e1": "e0"})).first() != canon.canonical_hash(q.limit(0)).first()
+
+
+def component(edges, settled=()):
+    nodes = sorted({x for s, _, o in edges for x in (s, o)} - set(settled))
+    return canon.Component([(s, p, o, None) for s, p, o in edges], dict.fromkeys(nodes, "h"), {x: f"c14n{i}" for i, x in enumerate(settled)}, 256, canon.BUDGET)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_a_line_is_walked_as_any_graph(seed):
+    """The loop along a line gives what the general run gives, for every first node."""
+    rng, edges = random.Random(seed), set()
+    for i in range(rng.randint(1, 12)):
+        for _ in range(rng.randint(1, 2)):
+            a, b = rng.sample((f"n{i}", f"n{i + 1}"), 2) if rng.random() < 0.4 else (f"n{i}", f"n{i + 1}")
+            edges.add((a, rng.choice("pq"), b))
+        if rng.random() < 0.3:
+            edges.add((f"n{i}", "r", rng.choice(["z0", "z1"])))
+    work = component(sorted(edges), [z for z in ("z0", "z1") if any(z in e for e in edges)])
+    assert work.is_path()
+    for node in work.hashes:
+        found = work.run_path(node)
+        assert found is None or found == work.run(node)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_one_of_all_alike_nodes_is_enough(seed):
+    """In trees and rings the nodes that are left out have the hash of one that is tried."""
+    rng = random.Random(seed)
+    n = rng.randint(3, 9)
+    edges = ring([f"n{i}" for i in range(n)]) if seed % 2 else [(f"n{i}", "p", f"n{rng.randrange(i)}") for i in range(1, n)]
+    work = component(edges)
+    nodes = sorted(work.hashes)
+    tried = work.starts(nodes)
+    assert {work.run(x)[0] for x in tried} == {work.run(x)[0] for x in nodes} and (seed % 2 == 0 or len(tried) == 1)
+
+
+def test_long_rings_and_lists(spark):
+    assert len(component(ring([f"n{i}" for i in range(5000)])).order()[2]) == 5000
+    chain = [("head", "first", ":x"), (":s", "list", "head"), ("head", "rest", "n0"), *[(f"n{i}", "rest", f"n{i + 1}") for i in range(460)], *[(f"n{i}", "first", ":x") for i in range(461)], ("n460", "rest", ":nil")]
+    rng = random.Random(5)
+    names = sorted({x for s, _, o in chain for x in (s, o) if not x.startswith(":")})
+    one, two = graph(spark, chain), graph(spark, rng.sample(chain, len(chain)), dict(zip(names, rng.sample(names, len(names)), strict=True)))
+    lines = lambda q: sorted(r.value for r in canon.canonical_lines(q).collect())
+    assert lines(one) == lines(two)
+
+
+def test_no_recursion_limit_is_moved():
+    import sys
+
+    before = sys.getrecursionlimit()
+    branch = [(f"n{i}", p, f"n{2 * i + j}") for i in range(1, 1 << 6) for j, p in enumerate("pq")]  # a binary tree
+    deep = [*branch, *[(f"m{i}", "p", f"m{i + 1}") for i in range(3000)], *[(f"m{i}", "q", f"n{i}") for i in (1, 2)]]
+    assert len(component(deep).run("m0")[1]) == 3000 + 1 + 127 and sys.getrecursionlimit() == before
