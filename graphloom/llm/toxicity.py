@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -47,15 +47,12 @@ COPY = 0.9
 STEM = 4
 #: Sample rows of each class that the calibration is fitted on, and its pull towards none.
 CALIBRATION, RIDGE = 500, 1.0
-#: Rows that one task scores.
-DEAL_ROWS = 4000
-_CACHE_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(token: str) -> list[str]:
-    """Terms of one lower-cased blank-separated token: its words, and a stem (marked ^) for each."""
-    words = _WORD.findall(token)
+def terms_of(text: str) -> list[str]:
+    """Terms of a text: its words, and a stem (marked ^) for each that is long enough."""
+    words = _WORD.findall(text.lower())
     return words + ["^" + w[:STEM] for w in words if len(w) >= STEM]
 
 
@@ -206,7 +203,7 @@ def _term_counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for text, toxic in zip(batch.text, batch.toxic, strict=True):
-            seen[toxic].update({t for token in set(text.lower().split()) for t in terms_of(token)})
+            seen[toxic].update(set(terms_of(text)))
         if len(seen[0]) + len(seen[1]) > 2_000_000:
             yield from _told(seen)
             seen = (Counter(), Counter())
@@ -222,22 +219,18 @@ def _told(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
 
 def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Numbers and counts of the terms of the vocabulary that a text holds."""
-
-    class Ids(dict):
-        def __missing__(self, token: str) -> tuple[int, ...]:
-            if len(self) >= _CACHE_WORDS:
-                self.clear()
-            self[token] = found = tuple(vocabulary[t] for t in terms_of(token) if t in vocabulary)
-            return found
-
-    ids = Ids()
+    words = {t: i for t, i in vocabulary.items() if not t.startswith("^")}
+    stems = {t[1:]: i for t, i in vocabulary.items() if t.startswith("^")}
+    none = repeat(-1)
     for batch in batches:
         terms, counts = [], []
         for text in batch.text:
-            found = np.fromiter(chain.from_iterable(map(ids.__getitem__, text.lower().split())), np.int32)
-            held, n = np.unique(found, return_counts=True)
-            terms.append(held)
-            counts.append(n.astype(np.int32))
+            found = _WORD.findall(text.lower())
+            numbers = [*map(words.get, found, none), *map(stems.get, [w[:STEM] for w in found], none)]  # a shorter word is no stem
+            held, n = np.unique(np.array(numbers, np.int32), return_counts=True)
+            known = np.searchsorted(held, 0)
+            terms.append(held[known:])
+            counts.append(n[known:].astype(np.int32))
         yield batch.drop(columns=["text"]).assign(terms=terms, counts=counts)
 
 
@@ -319,9 +312,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
                 evidence.append([{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for i, c in voters])
             yield batch[["doc_id", "text_hash"]].assign(score=score, vote=vote, evidence=evidence)
 
-    # the vectors are few bytes but much work: deal them evenly
-    dealt = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts").repartition(max(8, total // DEAL_ROWS))
-    scored = dealt.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    exact = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts")
+    scored = exact.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
     key = F.col("doc_id").cast("long")
     held_out = F.coalesce(crc_mod(key, folds) == held_out_fold, F.lit(False))
     return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")
