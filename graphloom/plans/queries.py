@@ -13,6 +13,7 @@ from ..operators import canon, containers, dataset, graph, mapping, profile, tra
 from ..operators.graph import Literal
 from ..schema import BLANK, COLUMNS, FIRST, INTEGER, IRI, LITERAL, NIL, RDF, RDFS, REST, STRING, TYPE, XSD
 from ..sources import nquads
+from ..storage import written
 from .tables import BASE, SPECS, V, quads, quads_sql, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -699,6 +700,31 @@ def turtle_roundtrip(spark, d):
     return turtle.parse_documents(turtle.documents(q, {"v": V, "c": BASE + "customer/", **I.PREFIXES}), graphs=False)
 
 
+@query(f"""WITH o AS (SELECT '{BASE}orders/' || o_orderkey AS s, * FROM orders)
+SELECT s, '{TYPE}' AS p, '{V}Order' AS o, NULL AS o_dt, NULL AS o_lang FROM o UNION ALL SELECT s, '{V}o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '{XSD}decimal', NULL FROM o
+UNION ALL SELECT s, '{V}note', o_orderstatus || ' .' || chr(10) || '@prefix v: <http://other/> .' || chr(10) || '"' || o_orderpriority || '"' || chr(9), '{RDF}langString', 'en' FROM o
+UNION ALL SELECT s, '{V}o_custkey', '{BASE}customer/' || o_custkey, NULL, NULL FROM o UNION ALL SELECT s, '{V}o_orderdate', strftime(o_orderdate, '%Y-%m-%d'), '{XSD}date', NULL FROM o UNION ALL SELECT s, '{V}rank', CAST(o_orderkey % 7 AS VARCHAR), '{INTEGER}', NULL FROM o""")
+def turtle_files(spark, d):
+    """Turtle as another program writes it: prefixes in between, comments, dots within long strings, nodes and lists in place; read in slices."""
+    import uuid
+
+    from ..sources import turtle
+    from ..storage import scratch_dir
+
+    o = read(spark, d, "orders")
+    key, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    parts = ["PREFIX x: <" + XSD + ">\n@prefix v: <" + V + "> . # . \"\"\" \n@base <" + BASE + "> .\n<orders/", key, ">a v:Order;v:o_totalprice ", price, " ;\n\tv:note \"\"\"", F.col("o_orderstatus"), " .\n@prefix v: <http://other/> .\n\\\"", F.col("o_orderpriority"), "\\\"\\t\"\"\"@en;\n v:of [ v:o_custkey <customer/", F.col("o_custkey").cast("string"), "> ; v:o_orderdate '", F.date_format("o_orderdate", "yyyy-MM-dd"), "'^^x:date ] ; v:ranks ( ", (F.col("o_orderkey") % 7).cast("string"), " ).\n"]
+    path = f"{scratch_dir(spark)}/turtle-{uuid.uuid4().hex}"
+    o.select(F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).write.text(path)
+    back = written(turtle.read(spark, path, graphs=False), "turtle-read")
+    plain = ["s", "p", "o", "o_dt", "o_lang"]
+    own = back.where((F.col("s_kind") == IRI) & ~F.col("p").isin(V + "of", V + "ranks")).select(*plain)
+    below = lambda p: back.where(F.col("p") == V + p).select(F.col("o").alias("node"), F.col("s").alias("top"))
+    inner = back.join(below("of"), F.col("s") == F.col("node")).select(F.col("top").alias("s"), *plain[1:])
+    ranks = back.where(F.col("p") == FIRST).join(below("ranks"), F.col("s") == F.col("node")).select(F.col("top").alias("s"), F.lit(V + "rank").alias("p"), *plain[2:])
+    return own.unionByName(inner).unionByName(ranks)
+
+
 @query(f"SELECT '{BASE}conv/' || conv_id AS s, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS position, text AS o, '{BASE}conv/' || conv_id || '#' AS note FROM conversations")
 def turtle_nested_roundtrip(spark, d):
     """Lists and notes written in place below their conversations, and read back."""

@@ -1,9 +1,10 @@
-"""Turtle and TriG: documents read one task per file, written as a stream per partition.
+"""Turtle and TriG: files read in slices of whole statements, written as a stream per partition.
 
-A document's prefixes and brackets make it one unit of reading, so files are
-the grain of parallelism; write many files rather than one.  The writer has no
-such limit: quads are dealt by range and sorted, and each partition is written
-as a document of its own while its rows pass by.
+However large a file is, its ranges of bytes are dealt to all tasks (``slices``),
+and what a task parses is a piece of some thousands of statements.  Documents in
+cells of a table are parsed a cell at a time.  For writing, quads are dealt by
+range and sorted, and each partition is written as a document of its own while
+its rows pass by.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from ..functions.terms import escape_iri, escape_literal, term_text
 from ..operators.traverse import list_places
 from ..schema import BLANK, BOOLEAN, COLUMNS, DECIMAL, DOUBLE, FIRST, INTEGER, IRI, LANG_STRING, LITERAL, NIL, REST, STRING, TYPE
 from ..storage import written
+from . import slices
+from .nquads import checked
 
+#: Brackets that may be open within each other; more are a fault of the document, on every machine.
+DEPTH = 150
 #: Characters after which a document is closed; items of a list, triples and levels of nodes that are written in place.
 DOCUMENT_CHARS, LIST_ITEMS, NESTED_TRIPLES, NESTED_LEVELS = 1 << 25, 1000, 100, 16
 
@@ -53,13 +58,17 @@ def _plain(text: str) -> str:
 
 
 class _Reader:
-    """Statements of one document; terms are (kind, value, datatype, language)."""
+    """Statements of one document, or of a piece of one; terms are (kind, value, datatype, language).
 
-    def __init__(self, text: str, doc: str, base: str | None, graphs: bool) -> None:
-        self.doc, self.base, self.graphs, self.prefixes = doc, base, graphs, {}
+    ``scope`` tells pieces of a document apart; ``within`` is the blank node that
+    names the graph in which a piece starts, if it has no label.
+    """
+
+    def __init__(self, text: str, doc: str, base: str | None, graphs: bool, scope: str = "", within: str | None = None, starts_open: bool = False) -> None:
+        self.doc, self.base, self.graphs, self.prefixes, self.scope, self.within = doc, base, graphs, {}, scope, within
         self.rows: list[tuple] = []
         self.graph: tuple | None = None
-        self.made = 0
+        self.made, self.depth, self.opened = 0, 0, -1 if starts_open else 0
         self.tokens: list[tuple[str, str, int]] = []
         at = 0
         while at < len(text):
@@ -87,7 +96,14 @@ class _Reader:
 
     def new_blank(self) -> tuple:
         self.made += 1
-        return (BLANK, f"{self.doc}|.{self.made}", None, None)
+        return (BLANK, f"{self.doc}|.{self.scope}{self.made}", None, None)
+
+    def graph_name(self) -> tuple:
+        if self.peek() != ("mark", "["):
+            return self.node(False)[:2]
+        self.take("[")
+        self.take("]")
+        return (BLANK, self.within if self.opened < 0 and self.within else f"{self.doc}|.{self.scope}g{self.opened}")
 
     def iri(self) -> tuple:
         kind, raw = self.take()
@@ -116,19 +132,24 @@ class _Reader:
         if kind == "blank":
             self.i += 1
             return (BLANK, f"{self.doc}|{raw[2:]}", None, None)
-        if raw == "[" and kind == "mark":
+        if kind == "mark" and raw in "[(":
             self.i += 1
+            self.depth += 1
+            if self.depth > DEPTH:
+                raise self.fail(f"more than {DEPTH} brackets are open")
+        if raw == "[" and kind == "mark":
             node = self.new_blank()
-            if self.peek()[1] != "]":
+            if self.peek() != ("mark", "]"):
                 self.properties(node)
             self.take("]")
+            self.depth -= 1
             return node
         if raw == "(" and kind == "mark":
-            self.i += 1
             items = []
-            while self.peek()[1] != ")":
+            while self.peek() != ("mark", ")"):
                 items.append(self.node(True))
             self.i += 1
+            self.depth -= 1
             nodes = [self.new_blank() for _ in items] + [(IRI, NIL, None, None)]
             for node, item, rest in zip(nodes, items, nodes[1:], strict=False):
                 self.emit(node, (IRI, FIRST), item)
@@ -197,6 +218,7 @@ class _Reader:
 
     def block(self) -> None:
         self.take("{")
+        self.opened += 1
         while self.peek()[1] != "}":
             self.triples()
             if self.peek()[1] == ".":
@@ -218,7 +240,7 @@ class _Reader:
                     continue
                 ahead = self.tokens[self.i + (2 if self.peek()[1] == "[" else 1)][1] if self.i + 2 < len(self.tokens) else ""
                 if named or ahead == "{":
-                    self.graph = self.node(False)[:2]
+                    self.graph = self.graph_name()
                     self.block()
                     self.graph = None
                     continue
@@ -232,29 +254,51 @@ def parse(text: str, doc: str = "doc", base: str | None = None, graphs: bool = T
     return _Reader(text, doc, base, graphs).document()
 
 
+_QUADS = "g_kind byte, g string, s_kind byte, s string, p string, o_kind byte, o string, o_dt string, o_lang string, error string"
+
+
 def parse_documents(docs: DataFrame, graphs: bool = True, base: str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Quads of documents (doc, text), each parsed whole by one task."""
-    kinds = "g_kind byte, g string, s_kind byte, s string, p string, o_kind byte, o string, o_dt string, o_lang string, error string"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows = [(*r, None) for r in parse(text or "", doc, base or doc if "://" in (base or doc) else base, graphs)]
-                except (ValueError, RecursionError) as fault:
+                except ValueError as fault:
                     rows = [(None,) * 9 + (f"{doc}: {fault}",)]
-                for at in range(0, len(rows), 10_000):
-                    part = pd.DataFrame(rows[at : at + 10_000], columns=[*COLUMNS, "error"])
-                    yield part.astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})
+                yield from _frames(rows)
 
-    from .nquads import checked
+    return checked(docs.select("doc", "text").mapInPandas(run, _QUADS), mode)
+
+
+def _frames(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(rows), 10_000):
+        part = pd.DataFrame(rows[at : at + 10_000], columns=[*COLUMNS, "error"])
+        yield part.astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})
+
+
+def parse_pieces(pieces: DataFrame, graphs: bool = True, base: str | None = None) -> DataFrame:
+    """Quads, with ``error``, of the pieces of files that ``slices.pieces`` gives; a fault costs its piece only."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, block, piece, text, preamble, at, ends_open in batch[["doc", "block", "piece", "text", "preamble", "graph_at", "ends_open"]].itertuples(index=False, name=None):
+                whole = preamble + text + ("\n}" if ends_open else "")
+                within = f"{doc}|.{at['block']}-{at['piece']}.g{at['opened']}" if at is not None else None
+                try:
+                    found = _Reader(whole, doc, base or doc if "://" in (base or doc) else base, graphs, f"{block}-{piece}.", within, preamble.endswith("{\n")).document()
+                    rows = [(*r, None) for r in found]
+                except ValueError as fault:
+                    rows = [(None,) * 9 + (f"{doc}, from byte {block}, piece {piece}: {fault}",)]
+                yield from _frames(rows)
 
-    return checked(docs.select("doc", "text").mapInPandas(run, kinds), mode)
+    return pieces.mapInPandas(run, _QUADS)
 
 
 def read(spark: SparkSession, path: str, graphs: bool = True, base: str | None = None, mode: str = "FAILFAST") -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
-    return parse_documents(files, graphs, base, mode)
+    """Quads of files, each of which is read by as many tasks as it has ranges of bytes."""
+    return checked(parse_pieces(slices.pieces(slices.file_lines(spark, path)), graphs, base), mode)
 
 
 def _short(kind: str, value: str, prefixes: dict[str, str], base: str | None = None) -> Column:
@@ -339,7 +383,8 @@ def documents(q: DataFrame, prefixes: dict[str, str] | None = None, partitions:
         rows = _nested(rows, prefixes, base)
     keys = ["g_kind", "g", "s_kind", "s", "later", "p", "text"]
     rows = rows.withColumn("later", F.col("p") != TYPE)
-    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    # a number of its own keeps small results from being drawn together into a few documents, which few tasks would read
+    dealt = rows.repartitionByRange(partitions or int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     rows = dealt.sortWithinPartitions(*keys).select(term_text(F.col("g_kind"), F.col("g")).alias("g"), _short("s_kind", "s", prefixes, base).alias("s"), _predicate(prefixes).alias("p"), "text")
     head = (f"@base <{base}> .\n" if base else "") + "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in sorted(prefixes.items()))
     graph = "GRAPH " if keyword else ""
