@@ -109,15 +109,17 @@ class BlockMaxIndex:
         todo = np.flatnonzero(bound > 0)
         todo = todo[np.argsort(-np.round(bound[todo], 12), kind="stable")]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        step, i = 4, 0
+        i = 0
         while i < len(todo):
             if len(best) >= k:
                 last, place = best[k - 1], best_at[k - 1]
                 top = bound[todo[i]]
                 if top < last - 1e-11 or (top <= last + 1e-11 and todo[i] * self.block > place):
                     break
+            # a few blocks first; then all that may still hold one of the best
+            step = 4 if not i else max(4, int(np.searchsorted(-bound[todo[i:]], -best[k - 1] + 1e-11, "right"))) if len(best) >= k else len(todo)
             group = todo[i : i + step]
-            i, step = i + step, min(4 * step, 1024)
+            i += step
             wanted_block[group] = True
             wanted = np.flatnonzero(wanted_block[blocks])
             wanted_block[group] = False
@@ -225,9 +227,10 @@ def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Ite
     for batch in batches:
         terms, counts = [], []
         for text in batch.text:
-            found = _WORD.findall(text.lower())
+            found = Counter(_WORD.findall(text.lower()))
             numbers = [*map(words.get, found, none), *map(stems.get, [w[:STEM] for w in found], none)]  # a shorter word is no stem
-            held, n = np.unique(np.array(numbers, np.int32), return_counts=True)
+            held, which = np.unique(np.array(numbers, np.int32), return_inverse=True)
+            n = np.bincount(which, [*found.values()] * 2, len(held))
             known = np.searchsorted(held, 0)
             terms.append(held[known:])
             counts.append(n[known:].astype(np.int32))
