@@ -691,13 +691,18 @@ def iri_relativize(spark, d):
 # --- documents ---------------------------------------------------------------
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Documents to write, so that all tasks read them: a number of its own is not drawn together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @query(f"SELECT {ALL} FROM q", "customer", "part")
 def turtle_roundtrip(spark, d):
     """Written as Turtle documents and read back."""
     from ..sources import turtle
 
     q = quads(spark, d, "customer", "part")
-    return turtle.parse_documents(turtle.documents(q, {"v": V, "c": BASE + "customer/", **I.PREFIXES}), graphs=False)
+    return turtle.parse_documents(turtle.documents(q, {"v": V, "c": BASE + "customer/", **I.PREFIXES}, _tasks(spark)), graphs=False)
 
 
 @query(f"""WITH o AS (SELECT '{BASE}orders/' || o_orderkey AS s, * FROM orders)
@@ -748,7 +753,7 @@ def turtle_nested_roundtrip(spark, d):
 def trig_roundtrip(spark, d):
     from ..sources import turtle
 
-    return turtle.parse_documents(turtle.documents(quads(spark, d, "customer", "nation", "events", graphs=True), {"v": V}))
+    return turtle.parse_documents(turtle.documents(quads(spark, d, "customer", "nation", "events", graphs=True), {"v": V}, _tasks(spark)))
 
 
 @query(f"SELECT {ALL} FROM q", "customer", "part", graphs=True)

@@ -24,6 +24,8 @@ from ..functions.iri import resolve_one
 from ..functions.terms import blank_label
 from ..schema import BLANK, BOOLEAN, COLUMNS, DOUBLE, FIRST, INTEGER, IRI, LANG_STRING, LITERAL, NIL, RDF, REST, STRING, TYPE
 
+#: Objects and arrays that may stand within each other; more are a fault of the document, on every machine.
+DEPTH = 100
 _ABSOLUTE = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
 _KEYWORDS = frozenset(f"@{k}" for k in "base container context graph id included index json language list nest none reverse set type value version vocab direction import prefix propagate protected".split())
 
@@ -273,9 +275,17 @@ def parse(text: str, doc: str = "doc", base: str | None = None, contexts: dict |
     if direction not in (None, "i18n-datatype", "compound-literal"):
         raise ValueError(f"unknown direction: {direction}")
     try:
-        values = [json.loads(text)]
-    except json.JSONDecodeError:  # one document per line, as written here
-        values = [json.loads(line) for line in text.splitlines() if line.strip()]
+        try:
+            values = [json.loads(text)]
+        except json.JSONDecodeError:  # one document per line, as written here
+            values = [json.loads(line) for line in text.splitlines() if line.strip()]
+    except RecursionError:  # far deeper than DEPTH
+        raise ValueError(f"more than {DEPTH} values within each other") from None
+    level, depth = values, 0
+    while level:
+        level, depth = [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())], depth + 1
+        if depth > DEPTH:
+            raise ValueError(f"more than {DEPTH} values within each other")
     value = values[0] if len(values) == 1 else [part for v in values for part in (v if isinstance(v, list) else [v])]
     if not isinstance(value, dict | list):
         raise ValueError("a document is an object or an array of objects")
@@ -296,7 +306,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, contexts: dict | N
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows += [(*r, None) for r in parse(text or "", doc, base, contexts, direction)]
-                except (ValueError, TypeError, AttributeError, RecursionError) as fault:
+                except (ValueError, TypeError, AttributeError) as fault:
                     rows.append((None,) * 9 + (f"{doc}: {fault}",))
             if rows:
                 yield pd.DataFrame(rows, columns=[*COLUMNS, "error"]).astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})

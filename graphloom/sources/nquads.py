@@ -82,9 +82,10 @@ def checked(parsed: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     return parsed.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("not a statement: "), "error"))).otherwise(F.lit(True))).drop("error")
 
 
-def read(spark: SparkSession, path: str, mode: str = "FAILFAST", graphs: bool = True) -> DataFrame:
-    """Quads of text files; a blank node belongs to its file."""
-    return checked(parse_lines(spark.read.text(path).withColumn("_file", F.col("_metadata.file_path")), doc=F.col("_file"), graphs=graphs), mode)
+def read(spark: SparkSession, path: str, mode: str = "FAILFAST", graphs: bool = True, scope: str | None = None) -> DataFrame:
+    """Quads of text files; a blank node belongs to its file, with ``scope`` to all files that are read with it."""
+    rows = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path") if scope is None else F.lit(scope))
+    return checked(parse_lines(rows, doc=F.col("_file"), graphs=graphs), mode)
 
 
 def read_stream(spark: SparkSession, path: str, mode: str = "DROPMALFORMED") -> DataFrame:

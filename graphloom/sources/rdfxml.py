@@ -15,6 +15,8 @@ from ..functions.iri import resolve_one
 from ..functions.terms import blank_label
 from ..schema import BLANK, COLUMNS, FIRST, IRI, LANG_STRING, LITERAL, NIL, RDF, REST, STRING, TYPE
 
+#: Elements that may stand within each other; more are a fault of the document, on every machine.
+DEPTH = 200
 #: Characters after which a document is closed.
 DOCUMENT_CHARS = 1 << 25
 # The characters of XML names without a colon.
@@ -135,6 +137,11 @@ def parse(text: str, doc: str = "doc", base: str | None = None, strict: bool = F
         root = ET.fromstring(text)
     except ET.ParseError as fault:
         raise ValueError(str(fault)) from None
+    level, depth = [root], 0
+    while level:
+        level, depth = [x for e in level for x in e], depth + 1
+        if depth > DEPTH:
+            raise ValueError(f"more than {DEPTH} elements within each other")
     reader = _Reader(doc, base, strict)
     if root.tag == _R + "RDF":
         for e in root:
@@ -155,7 +162,7 @@ def parse_documents(docs: DataFrame, base: str | None = None, mode: str = "FAILF
             for doc, text in zip(batch.doc, batch.text, strict=True):
                 try:
                     rows = [(*r, None) for r in parse(text or "", doc, base, strict)]
-                except (ValueError, RecursionError) as fault:
+                except ValueError as fault:
                     rows = [(None,) * 9 + (f"{doc}: {fault}",)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[*COLUMNS, "error"]).astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})

@@ -212,7 +212,7 @@ def pieces(lines: DataFrame) -> DataFrame:
     """(doc, block, piece, text, preamble, graph_at, ends_open) of lines (doc, block, line), whose order within a range is that of the rows.
 
     ``preamble`` has the directives in force and the opening of the graph in
-    which a piece starts; ``graph_at`` numbers that opening where the graph is a
+    which a piece starts; ``graph_at`` names that opening where the graph is a
     blank node without a label; ``ends_open`` tells whether the graph is still
     open behind the piece.
     """
@@ -248,7 +248,7 @@ def pieces(lines: DataFrame) -> DataFrame:
     mine = F.filter("changes", lambda c: (c["block"] < F.col("block")) | ((c["block"] == F.col("block")) & (c["piece"] < F.col("piece"))))
     opened = F.when(F.col("open.graph").startswith("{"), F.concat(F.expr("substring(open.graph, 2)"), F.lit(" {\n"))).otherwise("")
     preamble = F.concat(F.coalesce(F.array_join(F.transform(mine, lambda c: c["directive"]), "\n"), F.lit("")), F.lit("\n"), opened)
-    return joined.select(*at, "text", preamble.alias("preamble"), F.when(F.col("open.graph").startswith("{["), F.struct("open.block", "open.piece", "open.opened")).alias("graph_at"), F.coalesce(F.coalesce(F.col("own.graph"), F.col("open.graph")).startswith("{"), F.lit(False)).alias("ends_open"))
+    return joined.select(*at, "text", preamble.alias("preamble"), F.when(F.col("open.graph").startswith("{["), F.format_string("%d-%d.g%d", "open.block", "open.piece", "open.opened")).alias("graph_at"), F.coalesce(F.coalesce(F.col("own.graph"), F.col("open.graph")).startswith("{"), F.lit(False)).alias("ends_open"))
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:

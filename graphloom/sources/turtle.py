@@ -61,11 +61,13 @@ class _Reader:
     """Statements of one document, or of a piece of one; terms are (kind, value, datatype, language).
 
     ``scope`` tells pieces of a document apart; ``within`` is the blank node that
-    names the graph in which a piece starts, if it has no label.
+    names the graph in which a piece starts, if it has no label; ``labels``, the
+    document if not given, is where labels of blank nodes belong.
     """
 
-    def __init__(self, text: str, doc: str, base: str | None, graphs: bool, scope: str = "", within: str | None = None, starts_open: bool = False) -> None:
+    def __init__(self, text: str, doc: str, base: str | None, graphs: bool, scope: str = "", within: str | None = None, starts_open: bool = False, labels: str | None = None) -> None:
         self.doc, self.base, self.graphs, self.prefixes, self.scope, self.within = doc, base, graphs, {}, scope, within
+        self.labels = doc if labels is None else labels
         self.rows: list[tuple] = []
         self.graph: tuple | None = None
         self.made, self.depth, self.opened = 0, 0, -1 if starts_open else 0
@@ -131,7 +133,7 @@ class _Reader:
         kind, raw = self.peek()
         if kind == "blank":
             self.i += 1
-            return (BLANK, f"{self.doc}|{raw[2:]}", None, None)
+            return (BLANK, f"{self.labels}|{raw[2:]}", None, None)
         if kind == "mark" and raw in "[(":
             self.i += 1
             self.depth += 1
@@ -278,16 +280,16 @@ def _frames(rows: list[tuple]) -> Iterator[pd.DataFrame]:
         yield part.astype({c: "Int8" for c in ("g_kind", "s_kind", "o_kind")})
 
 
-def parse_pieces(pieces: DataFrame, graphs: bool = True, base: str | None = None) -> DataFrame:
+def parse_pieces(pieces: DataFrame, graphs: bool = True, base: str | None = None, scope: str | None = None) -> DataFrame:
     """Quads, with ``error``, of the pieces of files that ``slices.pieces`` gives; a fault costs its piece only."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc, block, piece, text, preamble, at, ends_open in batch[["doc", "block", "piece", "text", "preamble", "graph_at", "ends_open"]].itertuples(index=False, name=None):
                 whole = preamble + text + ("\n}" if ends_open else "")
-                within = f"{doc}|.{at['block']}-{at['piece']}.g{at['opened']}" if at is not None else None
+                within = f"{doc}|.{at}" if at is not None else None
                 try:
-                    found = _Reader(whole, doc, base or doc if "://" in (base or doc) else base, graphs, f"{block}-{piece}.", within, preamble.endswith("{\n")).document()
+                    found = _Reader(whole, doc, base or doc if "://" in (base or doc) else base, graphs, f"{block}-{piece}.", within, preamble.endswith("{\n"), scope).document()
                     rows = [(*r, None) for r in found]
                 except ValueError as fault:
                     rows = [(None,) * 9 + (f"{doc}, from byte {block}, piece {piece}: {fault}",)]
@@ -296,9 +298,13 @@ def parse_pieces(pieces: DataFrame, graphs: bool = True, base: str | None = None
     return pieces.mapInPandas(run, _QUADS)
 
 
-def read(spark: SparkSession, path: str, graphs: bool = True, base: str | None = None, mode: str = "FAILFAST") -> DataFrame:
-    """Quads of files, each of which is read by as many tasks as it has ranges of bytes."""
-    return checked(parse_pieces(slices.pieces(slices.file_lines(spark, path)), graphs, base), mode)
+def read(spark: SparkSession, path: str, graphs: bool = True, base: str | None = None, mode: str = "FAILFAST", scope: str | None = None) -> DataFrame:
+    """Quads of files, each of which is read by as many tasks as it has ranges of bytes.
+
+    A label of a blank node belongs to its file; with ``scope`` to all files that
+    are read with it, such as those of one written output.
+    """
+    return checked(parse_pieces(slices.pieces(slices.file_lines(spark, path)), graphs, base, scope), mode)
 
 
 def _short(kind: str, value: str, prefixes: dict[str, str], base: str | None = None) -> Column:
@@ -383,8 +389,7 @@ def documents(q: DataFrame, prefixes: dict[str, str] | None = None, partitions:
         rows = _nested(rows, prefixes, base)
     keys = ["g_kind", "g", "s_kind", "s", "later", "p", "text"]
     rows = rows.withColumn("later", F.col("p") != TYPE)
-    # a number of its own keeps small results from being drawn together into a few documents, which few tasks would read
-    dealt = rows.repartitionByRange(partitions or int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     rows = dealt.sortWithinPartitions(*keys).select(term_text(F.col("g_kind"), F.col("g")).alias("g"), _short("s_kind", "s", prefixes, base).alias("s"), _predicate(prefixes).alias("p"), "text")
     head = (f"@base <{base}> .\n" if base else "") + "".join(f"@prefix {p}: <{ns}> .\n" for p, ns in sorted(prefixes.items()))
     graph = "GRAPH " if keyword else ""

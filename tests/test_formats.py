@@ -165,3 +165,41 @@ def test_turtle_writes_nodes_in_place(spark):
     assert based.startswith("@base <http://e/> .\n") and "<b> <http://e/shared>" in based
     many = turtle.documents(q.where("o_kind = 2"), {}, 1)
     assert many.count() == 1
+
+
+@pytest.mark.parametrize("deep", [jsonld.DEPTH - 2, jsonld.DEPTH + 2, 100_000])
+def test_json_depth_is_counted(deep):
+    text = '{"http://p":' * deep + '"x"' + "}" * deep
+    if deep < jsonld.DEPTH:
+        assert len(jsonld.parse(text)) == deep
+    else:
+        with pytest.raises(ValueError, match="within each other"):
+            jsonld.parse(text)
+
+
+def test_readers_don_t_depend_on_what_ran_before(spark):
+    """The same worker names tied nodes, then reads a deep document: it stays a fault."""
+    from graphloom.operators import canon
+
+    chain = spark.createDataFrame([(None, None, 1, f"d|n{i}", "http://p", 1, f"d|n{i + 1}", None, None) for i in range(50)], QUAD)
+    docs = spark.createDataFrame([("j", '{"http://p":' * 3000 + "1" + "}" * 3000)], "doc string, text string").coalesce(1)
+    before = jsonld.parse_documents(docs, mode="DROPMALFORMED").count()
+    canon.canonical_lines(chain).count()
+    assert before == jsonld.parse_documents(docs, mode="DROPMALFORMED").count() == 0
+
+
+def test_a_line_is_matched_once(spark):
+    lines = nquads.lines(quads(spark, "/root/testdata/sf0.001", "nation", graphs=True))
+    plan = nquads.checked(nquads.parse_lines(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:[ \\t]*") <= 1 and plan.count(nquads.LINE[:40]) == 1 and "Python" not in plan
+
+
+@pytest.mark.parametrize("kind", ["application/n-quads", "text/turtle"])
+def test_nodes_of_one_output_in_many_files_are_the_same(spark, tmp_path, kind):
+    rows = [(None, None, 1, f"d|n{i}", "http://e/p", 1, f"d|n{i + 1}", None, None) for i in range(40)]
+    path = str(tmp_path / "out")
+    registry.write_rdf(spark.createDataFrame(rows, QUAD).repartition(4), path, kind, **({"partitions": 4} if kind == "text/turtle" else {}))
+    one = registry.read_rdf(spark, path, kind, scope="out").select("s", "o").collect()
+    assert len({r.s for r in one} | {r.o for r in one}) == 41
+    each = registry.read_rdf(spark, path, kind).select("s", "o").collect()
+    assert len({r.s for r in each} | {r.o for r in each}) > 41
