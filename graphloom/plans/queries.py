@@ -764,6 +764,32 @@ def jsonld_roundtrip(spark, d):
     return jsonld.parse_documents(jsonld.documents(quads(spark, d, "customer", "part", graphs=True)).withColumn("doc", F.lit("d")))
 
 
+_OBJECT = f"""'{{{{"@id":"{BASE}orders/' || o_orderkey || '","@type":["{V}Order"],"{V}o_custkey":[{{{{"@id":"{BASE}customer/' || o_custkey || '"}}}}],"{V}o_orderdate":[{{{{"@value":"' || strftime(o_orderdate, '%Y-%m-%d') || '","@type":"{XSD}date"}}}}],"{V}o_orderpriority":[{{{{"@value":"' || o_orderpriority || '"}}}}],"{V}o_orderstatus":[{{{{"@value":"' || o_orderstatus || '"}}}}],"{V}o_totalprice":[{{{{"@value":"' || CAST(o_totalprice AS DECIMAL(18,2)) || '","@type":"{XSD}decimal"}}}}]}}}}'""".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"SELECT '{BASE}orders/' || o_orderkey AS s, {_OBJECT} AS text FROM orders")
+def jsonld_node_objects(spark, d):
+    """A node object for every order, members in order."""
+    from ..sources import jsonld
+
+    return jsonld.node_objects(quads(spark, d, "orders")).select("s", "text")
+
+
+@query(f"""WITH c AS (SELECT conv_id, string_agg('{{"@value":' || CAST(to_json(role) AS VARCHAR) || '}}', ',' ORDER BY turn) AS items FROM conversations GROUP BY conv_id)
+SELECT '{BASE}conv/' || conv_id AS s, '{{"@id":"{BASE}conv/' || conv_id || '","{V}note":[{{"{V}of":[{{"@value":"' || conv_id || '"}}]}}],"{V}turns":[{{"@list":[' || items || ']}}]}}' AS text FROM c""")
+def jsonld_nested_objects(spark, d):
+    """Lists and notes in place below their conversations."""
+    from ..sources import jsonld
+
+    items = containers.list_quads(_turns(spark, d, "role").select(F.concat(F.lit("conv|"), "conv").alias("head"), (F.col("n") - 1).alias("position"), "o_kind", "o", "o_dt", "o_lang"))
+    none = F.lit(None).cast("string")
+    row = lambda kind, s, p, o_kind, o, dt=none: F.struct(F.lit(kind).cast("byte").alias("s_kind"), s.alias("s"), F.lit(V + p).alias("p"), F.lit(o_kind).cast("byte").alias("o_kind"), o.alias("o"), dt.alias("o_dt"), none.alias("o_lang"))
+    conv, note = F.concat(F.lit(BASE + "conv/"), "c"), F.concat(F.lit("note|"), "c")
+    links = F.array(row(IRI, conv, "turns", BLANK, F.concat(F.lit("conv|"), "c")), row(IRI, conv, "note", BLANK, note), row(BLANK, note, "of", LITERAL, F.col("c"), F.lit(STRING)))
+    q = items.unionByName(_none(read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("c")).distinct().select(F.explode(links).alias("t")).select("t.*")))
+    return jsonld.node_objects(q).select("s", "text")
+
+
 @query(f"SELECT {ALL} FROM q", "supplier", "nation")
 def rdfxml_roundtrip(spark, d):
     from ..sources import rdfxml

@@ -5,8 +5,8 @@ caller (tasks never fetch anything): term definitions with @id, @type,
 @container, @language and @reverse, @vocab, @base, keyword aliases, @graph,
 @included, @list, @set, language, index, id and type maps, native numbers and
 booleans, @json.  Each document is one unit; files of one document per line are
-split like any text.  Writing is plain expressions: a node object may be given
-in parts, so every quad is a line and no subject is gathered.
+split like any text.  Writing is plain expressions: a line per quad, or a node
+object per subject with lists and single-use blank nodes in place.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.iri import resolve_one
 from ..functions.terms import blank_label
+from ..operators.nesting import entry, nest
 from ..schema import BLANK, BOOLEAN, COLUMNS, DOUBLE, FIRST, INTEGER, IRI, LANG_STRING, LITERAL, NIL, RDF, REST, STRING, TYPE
+from ..storage import written
 
+#: Values after which a subject is given in several objects.
+OBJECT_VALUES = 2000
 #: Objects and arrays that may stand within each other; more are a fault of the document, on every machine.
 DEPTH = 100
 _ABSOLUTE = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*:")
@@ -320,23 +324,78 @@ def read(spark: SparkSession, path: str, lines: bool = False, base: str | None =
     return parse_documents(files, base, contexts, mode)
 
 
-def documents(q: DataFrame, native: bool = False) -> DataFrame:
-    """(text): expanded node objects, one per quad; ``native`` writes valid numbers and booleans as such."""
-    ref = lambda k, v: F.when(F.col(k) == BLANK, blank_label(F.col(v))).otherwise(F.col(v))
-    quoted = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+def _quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def _ref(kind: str, value: str) -> Column:
+    return F.when(F.col(kind) == BLANK, blank_label(F.col(value))).otherwise(F.col(value))
+
+
+def _value(native: bool = False, classes: bool = True) -> Column:
+    """The object as a value object, a reference, or, with ``classes`` where it is one, a bare name."""
     plain = F.lit(False)
     if native:
         plain = ((F.col("o_dt") == INTEGER) & F.col("o").rlike(r"^-?(0|[1-9]\d{0,14})$")) | ((F.col("o_dt") == BOOLEAN) & F.col("o").isin("true", "false"))
-    value = F.when(plain, F.concat(F.lit('{"@value":'), "o", F.lit("}"))).when(F.col("o_lang").isNotNull(), F.concat(F.lit('{"@value":'), quoted(F.col("o")), F.lit(',"@language":'), quoted(F.col("o_lang")), F.lit("}")))
-    value = value.when(F.col("o_dt").isNull() | (F.col("o_dt") == STRING), F.concat(F.lit('{"@value":'), quoted(F.col("o")), F.lit("}"))).otherwise(F.concat(F.lit('{"@value":'), quoted(F.col("o")), F.lit(',"@type":'), quoted(F.col("o_dt")), F.lit("}")))
-    link = F.concat(F.lit('{"@id":'), quoted(ref("o_kind", "o")), F.lit("}"))
-    entry = F.when((F.col("p") == TYPE) & (F.col("o_kind") != LITERAL), F.concat(F.lit('"@type":['), quoted(ref("o_kind", "o")), F.lit("]"))).otherwise(F.concat(quoted(F.col("p")), F.lit(":["), F.when(F.col("o_kind") == LITERAL, value).otherwise(link), F.lit("]")))
-    node = F.concat(F.lit('{"@id":'), quoted(ref("s_kind", "s")), F.lit(","), entry, F.lit("}"))
-    return q.select(F.when(F.col("g").isNull(), node).otherwise(F.concat(F.lit('{"@id":'), quoted(ref("g_kind", "g")), F.lit(',"@graph":['), node, F.lit("]}"))).alias("text"))
+    value = F.when(plain, F.concat(F.lit('{"@value":'), "o", F.lit("}"))).when(F.col("o_lang").isNotNull(), F.concat(F.lit('{"@value":'), _quoted(F.col("o")), F.lit(',"@language":'), _quoted(F.col("o_lang")), F.lit("}")))
+    value = value.when(F.col("o_dt").isNull() | (F.col("o_dt") == STRING), F.concat(F.lit('{"@value":'), _quoted(F.col("o")), F.lit("}"))).otherwise(F.concat(F.lit('{"@value":'), _quoted(F.col("o")), F.lit(',"@type":'), _quoted(F.col("o_dt")), F.lit("}")))
+    name = _quoted(_ref("o_kind", "o"))
+    found = F.when(F.col("o_kind") == LITERAL, value)
+    return (found.when(F.col("p") == TYPE, name) if classes else found).otherwise(F.concat(F.lit('{"@id":'), name, F.lit("}")))
+
+
+def _key() -> Column:
+    return F.when((F.col("p") == TYPE) & (F.col("o_kind") != LITERAL), F.lit('"@type"')).otherwise(_quoted(F.col("p")))
+
 
+def _in_graph(node: Column) -> Column:
+    return F.when(F.col("g").isNull(), node).otherwise(F.concat(F.lit('{"@id":'), _quoted(_ref("g_kind", "g")), F.lit(',"@graph":['), node, F.lit("]}")))
 
-def write(q: DataFrame, path: str, native: bool = False) -> None:
-    documents(q, native).write.text(path)
+
+def documents(q: DataFrame, native: bool = False) -> DataFrame:
+    """(text): expanded node objects, one per quad; ``native`` writes valid numbers and booleans as such."""
+    node = F.concat(F.lit('{"@id":'), _quoted(_ref("s_kind", "s")), F.lit(","), _key(), F.lit(":["), _value(native), F.lit("]}"))
+    return q.select(_in_graph(node).alias("text"))
+
+
+def _members(entries: Column) -> Column:
+    """Members of an object from sorted entries: each name once, with all its values."""
+    names = F.array_distinct(F.transform(entries, lambda e: e["name"]))
+    values = lambda name: F.transform(F.filter(entries, lambda e: e["name"] == name), lambda e: e["text"])
+    return F.array_join(F.transform(names, lambda name: F.concat(name, F.lit(":["), F.array_join(values(name), ","), F.lit("]"))), ",")
+
+
+def node_objects(q: DataFrame, native: bool = False, nested: bool = True) -> DataFrame:
+    """(g_kind, g, s_kind, s, text): an expanded node object for every subject of every graph, lists and single-use blank nodes in place.
+
+    Members are ordered: @id, @type, then predicates and their values by code
+    point.  A subject with more than ``OBJECT_VALUES`` values is given in
+    several objects that share its @id, dealt by a hash of the value, so no
+    subject is one task's work.
+    """
+    rows = q.select(*COLUMNS, F.when((F.col("o_kind") == IRI) & (F.col("o") == NIL) & (F.col("p") != TYPE), '{"@list":[]}').otherwise(_value(native)).alias("text")).distinct()
+    if nested:
+        item = F.when((F.col("o_kind") == IRI) & (F.col("o") == NIL), '{"@list":[]}').otherwise(_value(native, classes=False))
+        rows = nest(rows, item, _key(), lambda items: F.concat(F.lit('{"@list":['), F.array_join(items, ","), F.lit("]}")), lambda entries: F.concat(F.lit("{"), _members(entries), F.lit("}")), types=False)
+    keys = ["g_kind", "g", "s_kind", "s"]
+    large = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > OBJECT_VALUES), "objects-large")
+    large = large.select(*[F.col(k).alias("_" + k) for k in keys], F.ceil(F.col("n") / OBJECT_VALUES).cast("long").alias("_parts"))
+    if not large.isEmpty():
+        rows = rows.join(large, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys], "left")
+        part = F.pmod(F.xxhash64("p", "text"), F.coalesce("_parts", F.lit(1).cast("long")))
+    else:
+        part = F.lit(0).cast("long")
+    entries = F.sort_array(F.collect_list(entry(_key()))).alias("entries")
+    found = rows.withColumn("_part", part).groupBy(*keys, "_part").agg(entries)
+    node = F.concat(F.lit('{"@id":'), _quoted(_ref("s_kind", "s")), F.lit(","), _members(F.col("entries")), F.lit("}"))
+    return found.select(*keys, _in_graph(node).alias("text"))
+
+
+def write(q: DataFrame, path: str, native: bool = False, objects: bool = False) -> None:
+    """A node object per line: one per quad, or with ``objects`` one per subject."""
+    (node_objects(q, native).select("text") if objects else documents(q, native)).write.text(path)
 
 
 def can_parse(text: str) -> bool:

@@ -18,16 +18,15 @@ from pyspark.sql import functions as F
 
 from ..functions.iri import PREFIXES, resolve_one
 from ..functions.terms import escape_iri, escape_literal, term_text
-from ..operators.traverse import list_places
+from ..operators.nesting import nest
 from ..schema import BLANK, BOOLEAN, COLUMNS, DECIMAL, DOUBLE, FIRST, INTEGER, IRI, LANG_STRING, LITERAL, NIL, REST, STRING, TYPE
-from ..storage import written
 from . import slices
 from .nquads import checked
 
 #: Brackets that may be open within each other; more are a fault of the document, on every machine.
 DEPTH = 150
-#: Characters after which a document is closed; items of a list, triples and levels of nodes that are written in place.
-DOCUMENT_CHARS, LIST_ITEMS, NESTED_TRIPLES, NESTED_LEVELS = 1 << 25, 1000, 100, 16
+#: Characters after which a document is closed.
+DOCUMENT_CHARS = 1 << 25
 
 _LEX = re.compile(
     r"""(?P<skip>(?:\s|\#[^\n\r]*)+)
@@ -333,44 +332,12 @@ def _predicate(prefixes: dict[str, str]) -> Column:
 
 
 def _nested(rows: DataFrame, prefixes: dict[str, str], base: str | None) -> DataFrame:
-    """Rows (quads with ``text``, the object as written) in which blank nodes used once are written where they are used.
-
-    Lists of plain items become ``( )``, other nodes ``[ ]``, from the innermost
-    outwards.  What is large, deep, in a circle or used in another graph keeps
-    its label, which is as valid.
-    """
-    none = lambda c: F.coalesce(c, F.lit(""))
-    rows = written(rows.withColumn("text", F.when((F.col("o_kind") == IRI) & (F.col("o") == NIL), "()").otherwise(F.col("text"))), "turtle-rows")
-    used = rows.where(F.col("o_kind") == BLANK).groupBy(F.col("o").alias("node")).agg(F.count("*").alias("uses"), F.min(none("g")).alias("in_g"), F.max(F.col("p") == REST).alias("in_list"), F.max((F.col("s_kind") == BLANK) & (F.col("s") == F.col("o"))).alias("in_self"))
-    own = rows.where(F.col("s_kind") == BLANK).groupBy(F.col("s").alias("node")).agg(F.count("*").alias("size"), F.min(none("g")).alias("least_g"), F.max(none("g")).alias("most_g"))
-    names = rows.where(F.col("g_kind") == BLANK).select(F.col("g").alias("node")).distinct()
-    once = used.join(own, "node", "left").where("uses = 1 and not in_self and (size is null or (least_g = in_g and most_g = in_g))").join(names, "node", "left_anti")
-    once = written(once.select("node", "in_list", F.coalesce("size", F.lit(0)).alias("size")), "turtle-once")
-
-    places = list_places(rows.select(*COLUMNS)).join(once.select("node", "in_list", "size"), "node", "left")
-    texts = places.groupBy("head").agg(F.count("*").alias("n"), F.count_if((F.col("size") == 2) & (F.col("in_list") == (F.col("position") > 0)) & (F.col("o_kind") != BLANK)).alias("good"), F.collect_list(F.when(F.col("position") < LIST_ITEMS, F.struct("position", _object(prefixes, base).alias("text")))).alias("items"))
-    texts = texts.where(f"n = good and n <= {LIST_ITEMS}").select(F.col("head").alias("node"), F.concat(F.lit("( "), F.array_join(F.transform(F.sort_array("items"), lambda i: i["text"]), " "), F.lit(" )")).alias("inner"))
-    texts = written(texts, "turtle-lists")
-    gone = places.join(texts.select(F.col("node").alias("head")), "head", "left_semi").select("node")
-
-    def folded(rows: DataFrame, texts: DataFrame, gone: DataFrame) -> DataFrame:
-        kept = rows.join(gone.select(F.lit(BLANK).cast("byte").alias("s_kind"), F.col("node").alias("s")), ["s_kind", "s"], "left_anti")
-        joined = kept.join(texts, (F.col("o_kind") == BLANK) & (F.col("o") == F.col("node")), "left")
-        return written(joined.withColumn("text", F.coalesce("inner", "text")).withColumn("open", F.col("open") & F.col("inner").isNull()).select(*COLUMNS, "text", "open"), "turtle-rows")
-
-    rows = folded(rows.withColumn("open", F.col("o_kind") == BLANK), texts, gone)
-    pending = written(once.where(f"not in_list and size <= {NESTED_TRIPLES}").select("node").join(texts, "node", "left_anti"), "turtle-pending")
-    for _ in range(NESTED_LEVELS):
-        held = rows.where("open").join(pending, F.col("o") == F.col("node"), "left_semi").select(F.col("s").alias("node"))
-        leaf = written(pending.join(held, "node", "left_anti"), "turtle-leaves")
-        if leaf.isEmpty():
-            break
-        entry = F.struct((F.col("p") != TYPE).alias("later"), "p", "text", F.concat(_predicate(prefixes), F.lit(" "), "text").alias("entry"))
-        texts = leaf.join(rows.where(F.col("s_kind") == BLANK).withColumnRenamed("s", "node"), "node", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("p").isNotNull(), entry))).alias("entries"))
-        inner = F.when(F.size("entries") == 0, "[]").otherwise(F.concat(F.lit("[ "), F.array_join(F.transform("entries", lambda e: e["entry"]), " ; "), F.lit(" ]")))
-        rows = folded(rows, texts.select("node", inner.alias("inner")), leaf)
-        pending = written(pending.join(leaf, "node", "left_anti"), "turtle-pending")
-    return rows
+    """Rows (quads with ``text``, the object as written) in which blank nodes used once are written where they are used: lists as ``( )``, others as ``[ ]``."""
+    rows = rows.withColumn("text", F.when((F.col("o_kind") == IRI) & (F.col("o") == NIL), "()").otherwise(F.col("text")))
+    wrapped = lambda left, parts, sep, right: F.when(F.size(parts) == 0, left + right).otherwise(F.concat(F.lit(left + " "), F.array_join(parts, sep), F.lit(" " + right)))
+    written_list = lambda items: wrapped("(", items, " ", ")")
+    written_node = lambda entries: wrapped("[", F.transform(entries, lambda e: F.concat(e["name"], F.lit(" "), e["text"])), " ; ", "]")
+    return nest(rows, _object(prefixes, base), _predicate(prefixes), written_list, written_node)
 
 
 def documents(q: DataFrame, prefixes: dict[str, str] | None = None, partitions: int | None = None, nested: bool = False, base: str | None = None, keyword: bool = False) -> DataFrame:
