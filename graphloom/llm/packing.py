@@ -24,6 +24,8 @@ from .tokens import default_vocabulary, encoder
 
 #: Parts that the pieces of one length are ranked in, so that no length is one task's work.
 RANK_PARTS = 1024
+#: Words in each half of a worker's memory: few, as workers of earlier stages may still hold theirs.
+HELD_WORDS = 120_000
 
 
 def pack_histogram(counts: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
@@ -83,7 +85,7 @@ def placement_table(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame
 def _pieces(vocabulary: str, end_id: int, max_tokens: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyspark import TaskContext
 
-    enc, end = encoder(vocabulary), np.array([end_id], "<u2").tobytes()
+    enc, end = encoder(vocabulary, HELD_WORDS), np.array([end_id], "<u2").tobytes()
     uid = TaskContext.get().partitionId() << 36
     for batch in batches:
         out = defaultdict(list)

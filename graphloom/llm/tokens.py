@@ -52,6 +52,7 @@ class WordEncoder(dict):
         self.id_bytes = [i.to_bytes(2, "little") for i in range(size)]
         self.letters = dict(zip(range(256), _byte_letters(), strict=True))
         self.marks: dict[str, bytes] = {}  # runs of punctuation
+        self.words = CACHE_WORDS
         self.older: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -60,7 +61,7 @@ class WordEncoder(dict):
 
     def _marks(self, run: str) -> bytes:
         if run not in self.marks:
-            if len(self.marks) >= CACHE_WORDS:
+            if len(self.marks) >= self.words:
                 self.marks.clear()
             self.marks[run] = self._piece(run)
         return self.marks[run]
@@ -75,7 +76,7 @@ class WordEncoder(dict):
                     ids += self._marks(word[len(stem) :])
             else:
                 ids = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.words:
             self.older = dict(self)
             self.clear()
         self[word] = ids
@@ -92,10 +93,11 @@ class WordEncoder(dict):
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process for a vocabulary file."""
+def encoder(path: str, words: int | None = None) -> WordEncoder:
+    """The encoder of this worker process for a vocabulary file, and how many words it holds from now on."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].words = words or CACHE_WORDS
     return _ENCODERS[path]
 
 
