@@ -35,24 +35,43 @@ TASK_QUADS = 50_000
 def _mentions(q: DataFrame) -> DataFrame:
     """A row for each blank node that a quad mentions."""
     places = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"{c}_kind") == BLANK, F.col(c)) for c in ("s", "o", "g")])))
-    return q.select(*COLUMNS, F.explode(places).alias("node"))
+    return q.select("*", F.explode(places).alias("node"))
 
 
 def first_degree_hashes(q: DataFrame, bits: int = 256) -> DataFrame:
     """(node, hash): sha2 of the node's sorted quads, itself written ``_:a`` and others ``_:z``."""
+    return _first_degree(q.select(F.lit("").alias("ds"), *COLUMNS).distinct(), bits).drop("ds")
+
+
+def _first_degree(q: DataFrame, bits: int) -> DataFrame:
     own = lambda c: F.when(F.col(c) == F.col("node"), "_:a").otherwise("_:z")
     line = F.concat(quad_text(True, own("s"), own("o"), own("g")), F.lit("\n"))
-    rows = _mentions(q.distinct()).select("node", line.alias("line"))
-    return rows.groupBy("node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), bits).alias("hash"))
+    rows = _mentions(q).select("ds", "node", line.alias("line"))
+    return rows.groupBy("ds", "node").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ""), bits).alias("hash"))
 
 
 def _ranked(rows: DataFrame, key: str, size: Column, name: str) -> DataFrame:
-    """``name``: the sum of ``size`` of all rows before, in the order of a hex ``key``, without one window over everything."""
+    """``name``: the sum of ``size`` of all rows of a data set before, in the order of a hex ``key``, without one window over everything."""
     rows = rows.withColumn("_part", F.substring(key, 1, 3)).withColumn("_size", size)
-    sums = rows.groupBy("_part").agg(F.sum("_size").alias("_sum"))
-    before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    inside = F.sum("_size").over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    return rows.withColumn("_inside", inside).join(before, "_part").withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_size", "_before", "_inside")
+    sums = rows.groupBy("ds", "_part").agg(F.sum("_size").alias("_sum"))
+    before = sums.select("ds", "_part", (F.sum("_sum").over(Window.partitionBy("ds").orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_size").over(Window.partitionBy("ds", "_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
+    return rows.withColumn("_inside", inside).join(before, ["ds", "_part"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_part", "_size", "_before", "_inside")
+
+
+def _data_set(by: str | None) -> Column:
+    """A name of a quad's data set, of one length; '' where there is one only."""
+    return F.md5(F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))) if by else F.lit("")
+
+
+def _scoped(q: DataFrame, by: str | None) -> DataFrame:
+    """Distinct quads with ``ds``; blank nodes of different data sets have different names."""
+    rows = q.select(_data_set(by).alias("ds"), *COLUMNS).distinct()
+    if by is None:
+        return rows
+    for c in ("s", "o", "g"):
+        rows = rows.withColumn(c, F.when(F.col(f"{c}_kind") == BLANK, F.concat("ds", F.lit("|"), c)).otherwise(F.col(c)))
+    return rows
 
 
 class Issuer:
@@ -312,30 +331,22 @@ def _name_components(bits: int, budget: int, rows: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(out, columns=["component", "node", "key", "size", "place"])
 
 
-def canonical_ids(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET) -> DataFrame:
-    """(node, id): the canonical identifier of every blank node, by structure alone.
-
-    Ids are ``_:`` with the prefix and a number: first the nodes of unique
-    first-degree hash in the order of their hashes, then those of the components
-    of tied nodes.  A component of n nodes takes up to n^2 runs of the N-degree
-    hash, by the standard; one that takes more than ``budget`` + 4 n^2 raises a
-    ValueError: only orders of alike neighbours, tried one by one, come to that.
-    """
-    q = written(q.select(*COLUMNS).distinct(), "canon-quads")
-    hashes = written(first_degree_hashes(q, bits), "canon-hashes")
-    counts = hashes.groupBy("hash").agg(F.count("*").alias("n"))
-    single = hashes.join(counts.where("n = 1").select("hash"), "hash", "left_semi")
-    name = lambda number: F.concat(F.lit(prefix), number.cast("string"))
-    unique = written(_ranked(single, "hash", F.lit(1).cast("long"), "rank").select("node", name(F.col("rank")).alias("id")), "canon-unique")
-    tied = written(hashes.join(counts.where("n > 1").select("hash"), "hash", "left_semi").select("node", "hash"), "canon-tied")
+def _identifiers(q: DataFrame, prefix: str, bits: int, budget: int) -> DataFrame:
+    """(ds, node, id) for distinct quads with ``ds``, whose nodes are of one data set each."""
+    hashes = written(_first_degree(q, bits), "canon-hashes")
+    counts = hashes.groupBy("ds", "hash").agg(F.count("*").alias("n"))
+    alone = lambda test: hashes.join(counts.where(test).select("ds", "hash"), ["ds", "hash"], "left_semi")
+    name = lambda number: F.concat(F.lit("_:" + prefix), number.cast("string"))
+    unique = written(_ranked(alone("n = 1"), "hash", F.lit(1).cast("long"), "rank").select("ds", "node", name(F.col("rank")).alias("id")), "canon-unique")
+    tied = written(alone("n > 1").select("ds", "node", "hash"), "canon-tied")
     if tied.isEmpty():
-        return unique.select("node", F.concat(F.lit("_:"), "id").alias("id"))
+        return unique
 
     # quads that mention a tied node, with what is known of each of their blank nodes
-    rows = _mentions(q).join(tied, "node", "left_semi").select(*COLUMNS).distinct()
+    rows = _mentions(q).join(tied.select("node"), "node", "left_semi").select(*COLUMNS).distinct()
     for c in ("s", "o", "g"):
         blank = F.when(F.col(f"{c}_kind") == BLANK, F.col(c))
-        known = tied.join(unique, "node", "full").select(F.col("node").alias(f"{c}_node"), F.col("hash").alias(f"{c}_hash"), F.col("id").alias(f"{c}_id"))
+        known = tied.join(unique, "node", "full").select(F.col("node").alias(f"{c}_node"), F.col("hash").alias(f"{c}_hash"), F.expr("substring(id, 3)").alias(f"{c}_id"))
         rows = rows.withColumn(c, blank).join(known, F.col(c) == F.col(f"{c}_node"), "left").drop(f"{c}_node")
     rows = written(rows.select("s", "p", "o", "g", *[f"{c}_{x}" for c in ("s", "o", "g") for x in ("hash", "id")]), "canon-tied-quads")
     tied_in = lambda c: F.when(F.col(f"{c}_hash").isNotNull(), F.col(c))
@@ -345,32 +356,60 @@ def canonical_ids(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: i
     placed = rows.withColumn("node", F.get(present, 0)).join(of, "node").drop("node")
     tasks = max(1, rows.count() // TASK_QUADS)
     schema = "component string, node string, key string, size long, place long"
-    named = written(placed.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks))).applyInPandas(lambda part: _name_components(bits, budget, part), schema), "canon-named")
-    first = unique.count()
-    order = _ranked(named.where("place = 0").select("component", F.concat("key", F.sha2("component", 256)).alias("key"), "size"), "key", F.col("size"), "start").select("component", "start")
-    late = named.join(order, "component").select("node", name(F.lit(first) + F.col("start") + F.col("place")).alias("id"))
-    return unique.unionByName(late).select("node", F.concat(F.lit("_:"), "id").alias("id"))
+    named = placed.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks))).applyInPandas(lambda part: _name_components(bits, budget, part), schema)
+    named = written(named.join(tied.select("ds", "node"), "node"), "canon-named")
+    order = _ranked(named.where("place = 0").select("ds", "component", F.concat("key", F.sha2("component", 256)).alias("key"), "size"), "key", F.col("size"), "start").select("component", "start")
+    first = unique.groupBy("ds").agg(F.count("*").alias("first"))
+    late = named.join(order, "component").join(first, "ds", "left")
+    return unique.unionByName(late.select("ds", "node", name(F.coalesce("first", F.lit(0)) + F.col("start") + F.col("place")).alias("id")))
+
+
+def canonical_ids(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET, by: str | None = None) -> DataFrame:
+    """(node, id): the canonical identifier of every blank node, by structure alone.
+
+    Ids are ``_:`` with the prefix and a number: first the nodes of unique
+    first-degree hash in the order of their hashes, then those of the components
+    of tied nodes.  A component of n nodes takes up to n^2 runs of the N-degree
+    hash, by the standard; one that takes more than ``budget`` + 4 n^2 raises a
+    ValueError: only orders of alike neighbours, tried one by one, come to that.
 
+    With ``by``, a column of the quads, every value of it (null is one) is a data
+    set of its own: (by, node, id), in as many jobs as for one data set.
+    """
+    found = _identifiers(written(_scoped(q, by), "canon-quads"), prefix, bits, budget)
+    if by is None:
+        return found.select("node", "id")
+    names = q.select(by, _data_set(by).alias("ds")).distinct()
+    return found.join(names, "ds").select(by, F.expr("substring(node, 34)").alias("node"), "id")
 
-def canonical_lines(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET) -> DataFrame:
-    """Canonical N-Quads, one distinct line per quad; no label is made up for a node without an identifier."""
-    ids = written(canonical_ids(q, prefix, bits, budget), "canon-ids")
-    rows = q.select(*COLUMNS).distinct()
+
+def canonical_lines(q: DataFrame, prefix: str = "c14n", bits: int = 256, budget: int = BUDGET, by: str | None = None) -> DataFrame:
+    """Canonical N-Quads, one distinct line per quad (of each data set ``by``); no label is made up for a node without an identifier."""
+    rows = written(_scoped(q, by), "canon-quads")
+    ids = written(_identifiers(rows, prefix, bits, budget).select("node", "id"), "canon-ids")
     for c in ("s", "o", "g"):
         rows = rows.join(ids.select(F.col("node").alias(f"{c}_node"), F.col("id").alias(f"{c}_id")), (F.col(f"{c}_kind") == BLANK) & (F.col(c) == F.col(f"{c}_node")), "left")
     issued = lambda c: F.coalesce(f"{c}_id", F.when(F.col(f"{c}_kind") == BLANK, F.raise_error(F.concat(F.lit("no canonical identifier: "), c))))
-    return rows.select(quad_text(True, issued("s"), issued("o"), issued("g")).alias("value")).distinct()
+    lines = rows.select("ds", quad_text(True, issued("s"), issued("o"), issued("g")).alias("value")).distinct()
+    return lines.drop("ds") if by is None else lines.join(q.select(by, _data_set(by).alias("ds")).distinct(), "ds").select(by, "value")
 
 
-def canonical_hash(q: DataFrame, bits: int = 256) -> DataFrame:
-    """One row with the hash of the canonical form: equal for isomorphic datasets, whatever their labels.
+def canonical_hash(q: DataFrame, bits: int = 256, by: str | None = None) -> DataFrame:
+    """One row with the hash of the canonical form, or one per data set ``by``: equal for isomorphic datasets, whatever their labels.
 
     Lines are hashed by range of their own hashes, and the ranges then in order,
     so that no task holds all lines.
     """
-    hashed = canonical_lines(q, bits=bits).select(F.sha2("value", bits).alias("h"))
-    parts = hashed.groupBy(F.substring("h", 1, 4).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), bits).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), bits).alias("hash"))
+    keys = [by] if by else []
+    hashed = canonical_lines(q, bits=bits, by=by).select(*keys, F.sha2("value", bits).alias("h"))
+    parts = hashed.groupBy(*keys, F.substring("h", 1, 4).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), bits).alias("h"))
+    return parts.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), bits).alias("hash"))
+
+
+def isomorphism_classes(q: DataFrame, by: str) -> DataFrame:
+    """(by, hash, same): data sets of a table by their canonical form; ``same`` is the least of those that are isomorphic."""
+    hashed = written(canonical_hash(q, by=by), "canon-classes")
+    return hashed.join(hashed.groupBy("hash").agg(F.min(by).alias("same")), "hash").select(by, "hash", "same")
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:

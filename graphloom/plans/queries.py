@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import iri as I
@@ -282,8 +282,6 @@ _STEPS = "c AS (SELECT *, 'conv|' || conv_id || CASE WHEN n = 1 THEN '' ELSE '-'
 
 def _turns(spark: SparkSession, d: str, column: str) -> DataFrame:
     """Turns of conversations with their number ``n`` from 1, and a column as a string literal."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
     return read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv"), n.alias("n"), F.lit(LITERAL).cast("byte").alias("o_kind"), F.col(column).alias("o"), F.lit(STRING).alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
 
@@ -378,6 +376,35 @@ def canon_relabelled_lines(spark, d):
     return canon.canonical_lines(_event_nodes(spark, d).withColumn("s", F.concat(F.lit("x|"), F.md5("s"))))
 
 
+def _threads(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as chains of blank nodes, a turn each with its role, in the column ``conv``."""
+    turns = _turns(spark, d, "role")
+    node = lambda n: F.concat(F.lit("t|"), n.cast("string"))
+    none, last = F.lit(None).cast("string"), F.max("n").over(Window.partitionBy("conv"))
+    row = lambda p, kind, o, dt: F.struct(F.lit(V + p).alias("p"), F.lit(kind).cast("byte").alias("o_kind"), o.alias("o"), dt.alias("o_dt"))
+    links = F.array(row("role", LITERAL, F.col("o"), F.lit(STRING)), F.when(F.col("n") < last, row("next", BLANK, node(F.col("n") + 1), none)))
+    rows = turns.select("conv", F.lit(BLANK).cast("byte").alias("s_kind"), node(F.col("n")).alias("s"), F.array_compact(links).alias("links"))
+    return rows.select("conv", "s_kind", "s", F.explode("links").alias("t")).select("conv", F.lit(None).cast("byte").alias("g_kind"), none.alias("g"), "s_kind", "s", "t.*", none.alias("o_lang"))
+
+
+@query("WITH r AS (SELECT CAST(conv_id AS VARCHAR) AS conv, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id) SELECT conv, min(conv) OVER (PARTITION BY roles) AS same FROM r")
+def canon_conversation_classes(spark, d):
+    """Conversations whose graphs are the same but for labels: those with the same roles in the same order; nodes of one role are tied and related."""
+    return canon.isomorphism_classes(_threads(spark, d), "conv").select("conv", "same")
+
+
+@query(f"""WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS conv, sha256(string_agg(line, '' ORDER BY line)) AS hash FROM (
+  SELECT conv_id, turn, unnest([CASE WHEN up THEN '_:z <{V}next> _:a .' || chr(10) END, CASE WHEN down THEN '_:a <{V}next> _:z .' || chr(10) END, '_:a <{V}role> "' || role || '" .' || chr(10)]) AS line
+  FROM (SELECT *, lag(1) OVER w IS NOT NULL AS up, lead(1) OVER w IS NOT NULL AS down FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))) WHERE line IS NOT NULL GROUP BY conv_id, turn)
+SELECT conv, count(*) AS nodes, count(DISTINCT hash) AS kinds FROM h GROUP BY conv""")
+def canon_thread_nodes(spark, d):
+    """Blank nodes of every conversation, all with an identifier of their own, and how many kinds of first-degree hashes they have."""
+    q = _threads(spark, d)
+    ids = canon.canonical_ids(q, by="conv").groupBy("conv").agg(F.countDistinct("id").alias("nodes"))
+    kinds = canon.first_degree_hashes(q.withColumn("s", F.concat("conv", F.lit("|"), "s")).withColumn("o", F.when(F.col("o_kind") == BLANK, F.concat("conv", F.lit("|"), "o")).otherwise(F.col("o"))))
+    return ids.join(kinds.groupBy(F.substring_index("node", "|", 1).alias("conv")).agg(F.countDistinct("hash").alias("kinds")), "conv")
+
+
 @query("SELECT true AS same, false AS less FROM (SELECT count(*) AS n FROM nation) WHERE n > 0")
 def canon_isomorphic_relabel(spark, d):
     """Nations as blank nodes below their regions: against a relabelled copy, and against one with a nation less."""

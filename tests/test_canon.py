@@ -159,3 +159,27 @@ def test_no_recursion_limit_is_moved():
     branch = [(f"n{i}", p, f"n{2 * i + j}") for i in range(1, 1 << 6) for j, p in enumerate("pq")]  # a binary tree
     deep = [*branch, *[(f"m{i}", "p", f"m{i + 1}") for i in range(3000)], *[(f"m{i}", "q", f"n{i}") for i in (1, 2)]]
     assert len(component(deep).run("m0")[1]) == 3000 + 1 + 127 and sys.getrecursionlimit() == before
+
+
+def test_data_sets_of_a_table(spark):
+    """Each data set has the identifiers that it has alone; nodes may have the same names in several, and a null names one too."""
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    sets = {"shared": SHARED, "unique": UNIQUE, "ring": ring(["a1", "a2", "a3"]), "other ring": ring(["e0", "e1", "e2"]), "two": [*ring(["a1", "a2"]), *ring(["b1", "b2"])], None: [("e0", "p", ":x")]}
+    parts = [graph(spark, edges).withColumn("set", F.lit(name).cast("string")) for name, edges in sets.items()]
+    q = reduce(lambda a, b: a.unionByName(b), [*parts, parts[0]])
+    found = {}
+    for r in canon.canonical_ids(q, by="set").collect():
+        found.setdefault(r.set, {})[r.node.partition("|")[2]] = r.id
+    assert found.keys() == sets.keys()
+    for name in ("shared", "unique", None):
+        assert found[name] == ids(graph(spark, sets[name]))
+    lines = {}
+    for r in canon.canonical_lines(q, by="set").collect():
+        lines.setdefault(r.set, []).append(r.value)
+    assert all(sorted(lines[name]) == sorted(r.value for r in canon.canonical_lines(graph(spark, edges)).collect()) for name, edges in sets.items() if name in ("ring", "two", "shared"))
+    same = {r.set: r.same for r in canon.isomorphism_classes(q.where("set is not null"), "set").collect()}
+    assert same == {"shared": "shared", "unique": "unique", "ring": "other ring", "other ring": "other ring", "two": "two"}
+    assert canon.canonical_hash(q.limit(0), by="set").count() == 0
