@@ -103,28 +103,27 @@ def tokens(page: str) -> list[tuple[str, str]]:
 
     Comments, scripts, styles and the like are left out, blank texts too.
     """
-    out = []
+    out: list[tuple[str, str]] = []
+    held: list[str] = []  # parts of the text that is open
     for raw, silent in _raw_tokens(page):
         if silent or raw.startswith("<!"):
             continue
         tag = _TAG.match(raw)
         if tag and raw.endswith(">"):
+            if held:
+                out.append((TEXT, "".join(held)))
+                held = []
             name = tag[2].lower()
             if tag[1]:
                 out.append(("/" + name, ""))
             else:
                 names = " ".join(sorted({w for n in _NAME.findall(raw) for w in "".join(n).lower().split() if not w.isdigit()})) if "=" in raw else ""
                 out.append((f"{name} {names}" if names else name, ""))
-        elif not raw.isspace():
-            if out and out[-1][0] == TEXT:
-                out[-1] = (TEXT, out[-1][1] + raw)
-            else:
-                out.append((TEXT, raw))
-        elif out and out[-1][0] == TEXT:
-            out[-1] = (TEXT, out[-1][1] + raw)
+        elif held or not raw.isspace():
+            held.append(raw)
         elif out:
             out.append((" ", raw))
-    return out
+    return [*out, (TEXT, "".join(held))] if held else out
 
 
 class _Stack:
