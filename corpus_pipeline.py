@@ -95,7 +95,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; returns the packed pieces."""
+    """All stages over ``documents``; returns the packed pieces.
+
+    Null and empty texts pass every stage and pack as their end id alone, but
+    for copies of each other, of which one stays.  Ties are decided by doc_id,
+    then by a hash of the text; repeated rows stay once; rows without a doc_id
+    take part; an empty table gives no piece; columns besides those of
+    ``documents`` are carried to the last stage and decide nothing.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
