@@ -221,9 +221,13 @@ def pieces(lines: DataFrame) -> DataFrame:
     found = written(lines.mapInPandas(_scan, PIECE), "slices")
     wrong = found.where("kind = 'end'").select("doc", "block", "ends").groupBy("doc").applyInPandas(_starts, "doc string, block long, mode int")
     wrong = written(wrong, "slices-starts")  # a row per range that starts within a string
-    if not wrong.isEmpty():
-        again = lines.drop("mode").join(F.broadcast(wrong), ["doc", "block"]).select("doc", "block", "mode", "line")
-        found = found.join(F.broadcast(wrong.drop("mode")), ["doc", "block"], "left_anti").unionByName(written(again.mapInPandas(_scan, PIECE), "slices"))
+    rounds = -(-wrong.count() // SMALL_STATES)
+    if rounds:
+        found = found.join(wrong.drop("mode"), ["doc", "block"], "left_anti")
+    for i in range(rounds):  # a broadcast keeps the order of lines; about SMALL_STATES rows at a time
+        some = wrong.where(F.pmod(F.xxhash64("doc", "block"), F.lit(rounds)) == i)
+        again = lines.drop("mode").join(F.broadcast(some), ["doc", "block"]).select("doc", "block", "mode", "line")
+        found = found.unionByName(written(again.mapInPandas(_scan, PIECE), "slices"))
     cut = found.where("kind in ('head', 'through', 'tail')")
     order = Window.partitionBy("doc").orderBy("block", "piece")
     statement = F.sum(F.when(F.col("kind") == "tail", 1).otherwise(0)).over(order)
