@@ -26,10 +26,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,10 @@ COPY = 0.9
 STEM = 4
 #: Sample rows of each class that the calibration is fitted on, and its pull towards none.
 CALIBRATION, RIDGE = 500, 1.0
+#: Texts that are scored at a time, and pieces of texts that are counted at a time.
+TEXTS, PIECES_AT_ONCE = 64, 100_000
+#: Pieces that a task remembers, and the letters of one that it does.
+HELD_PIECES, PIECE = 200_000, 64
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -89,55 +94,68 @@ class BlockMaxIndex:
         self.run_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.term_run = np.searchsorted(terms[first] if len(first) else first, np.arange(n_terms + 1))
         self.blocks = -(-len(order) // block)
-        self.starts = np.arange(self.blocks) * block
+        self.place = np.argsort(self.order)
+        self.rows = np.pad(self.rows, ((0, 0), (0, self.blocks * block - len(order))))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines (rounded to 12 digits) of the k nearest with a cosine over 0.
 
         Ties go to the row that comes first in the index; ``skip`` is left out.
         """
-        if not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        laid = self.row_of[terms]
-        base = weights[laid >= 0] @ self.rows[laid[laid >= 0]]
-        terms, weights = terms[laid < 0], weights[laid < 0]
+        return self.nearest_all(np.array([len(terms)]), terms, weights, k, np.array([skip]))[1:]
+
+    def nearest_all(self, size: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for several queries that lie end to end, ``size`` different terms each: how many rows each has, the rows and cosines.
+
+        Blocks are visited in two rounds: the four of the greatest bounds, then
+        all that may still hold one of the k nearest.
+        """
+        m, width = len(size), self.blocks * self.block
+        if not width or not m:
+            return np.zeros(m, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        of, laid = np.repeat(np.arange(m), size), self.row_of[terms]
+        whole = laid >= 0
+        dense = np.zeros((m, len(self.rows)))
+        dense[of[whole], laid[whole]] = weights[whole]
+        score = dense @ self.rows
+        of, terms, weights = of[~whole], terms[~whole], weights[~whole]
         begin, n = self.term_run[terms], self.term_run[terms + 1] - self.term_run[terms]
-        runs = np.arange(n.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n)  # (term, block) lists of the query
-        blocks, power = self.run_block[runs], np.repeat(weights, n)
-        bound = np.bincount(blocks, power * self.run_most[runs], self.blocks) + np.maximum.reduceat(base, self.starts)
-        wanted_block = np.zeros(self.blocks, bool)
-        todo = np.flatnonzero(bound > 0)
-        todo = todo[np.argsort(-np.round(bound[todo], 12), kind="stable")]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        i = 0
-        while i < len(todo):
-            if len(best) >= k:
-                last, place = best[k - 1], best_at[k - 1]
-                top = bound[todo[i]]
-                if top < last - 1e-11 or (top <= last + 1e-11 and todo[i] * self.block > place):
-                    break
-            # a few blocks first; then all that may still hold one of the best
-            step = 4 if not i else max(4, int(np.searchsorted(-bound[todo[i:]], -best[k - 1] + 1e-11, "right"))) if len(best) >= k else len(todo)
-            group = todo[i : i + step]
-            i += step
-            wanted_block[group] = True
-            wanted = np.flatnonzero(wanted_block[blocks])
-            wanted_block[group] = False
-            first, size = self.run[runs[wanted]], self.run[runs[wanted] + 1] - self.run[runs[wanted]]
-            postings = np.arange(size.sum()) + np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-            score = base + np.bincount(self.at[postings], np.repeat(power[wanted], size) * self.weights[postings], len(self.order))
-            place = (np.sort(group)[:, None] * self.block + np.arange(self.block)).ravel()
-            place = place[place < len(self.order)]
-            place = place[score[place] > 0]
-            if skip >= 0:
-                place = place[self.order[place] != skip]
-            best_at, best = np.concatenate((best_at, place)), np.concatenate((best, np.round(score[place], 12)))
-            if len(best) > 4 * k:  # only what reaches the k-th best is sorted
-                keep = best >= np.partition(best, len(best) - k)[len(best) - k]
-                best_at, best = best_at[keep], best[keep]
-            sort = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[sort], best[sort]
-        return self.order[best_at], best
+        runs = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)  # (term, block) lists of the queries
+        of, power = np.repeat(of, n), np.repeat(weights, n)
+        cell = of * self.blocks + self.run_block[runs]
+        bound = np.bincount(cell, power * self.run_most[runs], m * self.blocks).reshape(m, -1) + score.reshape(m, self.blocks, self.block).max(2)
+
+        def visit(wanted: np.ndarray) -> None:
+            at = np.flatnonzero(wanted.ravel()[cell])
+            first, n = self.run[runs[at]], self.run[runs[at] + 1] - self.run[runs[at]]
+            postings = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            places = np.repeat(of[at] * width, n) + self.at[postings]
+            score.ravel()[:] += np.bincount(places, np.repeat(power[at], n) * self.weights[postings], m * width)
+
+        def standing(visited: np.ndarray) -> np.ndarray:
+            """Cosines within the visited blocks, others 0."""
+            known = np.where(visited[:, :, None], np.round(score, 12).reshape(m, self.blocks, self.block), 0).reshape(m, width)
+            if skip is not None:
+                out = np.flatnonzero(skip >= 0)
+                known[out, self.place[skip[out]]] = 0
+            return known
+
+        first = np.argsort(-np.round(bound, 12), axis=1, kind="stable")[:, :4]
+        visited = np.zeros((m, self.blocks), bool)
+        np.put_along_axis(visited, first, True, 1)
+        visit(visited)
+        best = np.take_along_axis(standing(visited).reshape(m, self.blocks, self.block), first[:, :, None], 1).reshape(m, -1)
+        # the k-th best so far; of fewer, all that is over 0 may come
+        least = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k] if k <= best.shape[1] else np.zeros(m)
+        more = (bound > 0) & (bound >= least[:, None] - 1e-11) & ~visited
+        visit(more)
+        known = standing(visited | more)
+        query, at = np.nonzero((known > 0) & (known >= least[:, None]))
+        cosine = known[query, at]
+        sort = np.lexsort((at, -cosine, query))
+        begin = np.searchsorted(query, np.arange(m + 1))
+        sort = sort[np.arange(len(sort)) - begin[query] < k]
+        return np.minimum(np.diff(begin), k), self.order[at[sort]], cosine[sort]
 
 
 class Voter:
@@ -155,19 +173,23 @@ class Voter:
         weights = (1 + np.log(counts)) * self.power[terms]
         return terms, weights / np.linalg.norm(weights) if len(terms) else weights
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        """Raw score, and (row, cosine) of the voters; without a voter, the rate of the toxic class."""
-        rows, cosine = self.index.nearest(*self.unit(terms, counts), K, skip)
-        power = self.weight[rows] * cosine / (1.05 - np.minimum(cosine, 1.0))
+    def vote(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Raw scores of texts whose terms lie end to end, and number, rows and cosines of their voters; without a voter, the rate of the toxic class."""
+        of, weights = np.repeat(np.arange(len(size)), size), (1 + np.log(counts)) * self.power[terms]
+        weights /= np.sqrt(np.bincount(of, weights * weights, len(size)))[of]
+        n, rows, cosine = self.index.nearest_all(size, terms, weights, K, skip)
+        of, power = np.repeat(np.arange(len(n)), n), self.weight[rows] * cosine / (1.05 - np.minimum(cosine, 1.0))
         pull = float(self.weight.mean()) * 0.5
-        return float((power @ self.labels[rows] + pull * self.prior) / (power.sum() + pull)), list(zip(rows.tolist(), cosine.tolist(), strict=True))
+        toxic, total = np.bincount(of, power * self.labels[rows], len(n)), np.bincount(of, power, len(n))
+        return (toxic + pull * self.prior) / (total + pull), n, rows, cosine
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Logistic fit on left-out votes; kept only if it rises with the vote."""
         pick = np.concatenate([np.flatnonzero(self.labels == c)[:CALIBRATION] for c in (0, 1)])
         if len(pick) < 20 or len(set(self.labels[pick].tolist())) < 2:
             return
-        raw = np.array([self.vote(*vectors[i], skip=int(i))[0] for i in pick])
+        texts = [pick[at : at + TEXTS] for at in range(0, len(pick), TEXTS)]
+        raw = np.concatenate([self.vote(np.array([len(vectors[i][0]) for i in part]), *(np.concatenate([vectors[i][k] for i in part]) for k in (0, 1)), skip=part)[0] for part in texts])
         x, y, w = _logit(raw), self.labels[pick].astype(float), self.weight[pick] / self.weight[pick].mean()
         beta = np.array([1.0, 0.0])
         for _ in range(30):
@@ -182,13 +204,15 @@ class Voter:
         if np.isfinite(beta).all() and beta[0] > 0:
             self.slope, self.shift = float(beta[0]), float(beta[1])
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, float, list[tuple[int, float]]]:
-        raw, voters = self.vote(terms, counts)
-        score = float(_logistic(self.slope * _logit(np.array(raw)) + self.shift))
-        copies = np.array([i for i, cosine in voters if cosine > 1 - 1e-9], np.int64)
-        if len(copies):  # the fit, made on left-out rows, has seen no copy
-            score = COPY * float(self.weight[copies] @ self.labels[copies] / self.weight[copies].sum()) + (1 - COPY) * score
-        return score, raw, voters
+    def score(self, size: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw, n, rows, cosine = self.vote(size, terms, counts)
+        score = _logistic(self.slope * _logit(raw) + self.shift)
+        copy = cosine > 1 - 1e-9
+        of, weight = np.repeat(np.arange(len(n)), n)[copy], self.weight[rows[copy]]
+        held = np.bincount(of, weight, len(n))
+        has = held > 0  # the fit, made on left-out rows, has seen no copy
+        score[has] = COPY * np.bincount(of, weight * self.labels[rows[copy]], len(n))[has] / held[has] + (1 - COPY) * score[has]
+        return np.clip(score, 0, 1), raw, n, rows, cosine
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -219,22 +243,75 @@ def _told(seen: tuple[Counter, Counter]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": part, "benign": [seen[0][t] for t in part], "toxic": [seen[1][t] for t in part]})
 
 
-def _vectors(vocabulary: dict[str, int], batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Numbers and counts of the terms of the vocabulary that a text holds."""
-    words = {t: i for t, i in vocabulary.items() if not t.startswith("^")}
-    stems = {t[1:]: i for t, i in vocabulary.items() if t.startswith("^")}
-    none = repeat(-1)
+class _Pieces(dict):
+    """Maps a blank-separated piece of a text to the numbers of its word and stem, as one number.
+
+    A piece of several words, or of none, is a negative number: the place of its
+    words' numbers in ``several``.  The memory is bounded.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.words = {t: i + 1 for t, i in vocabulary.items() if not t.startswith("^")}
+        self.stems = {t[1:]: i + 1 for t, i in vocabulary.items() if t.startswith("^")}
+        self.base = len(vocabulary) + 1
+        self.several: list[list[int]] = []
+
+    def __missing__(self, piece: str) -> int:
+        word = piece.rstrip(".,;:!?").lower()
+        found = [word] if word.isalnum() else _WORD.findall(piece.lower())
+        numbers = [self.words.get(w, 0) * self.base + self.stems.get(w[:STEM], 0) for w in found]  # a shorter word is no stem
+        if len(numbers) == 1:
+            number = numbers[0]
+        else:
+            self.several.append(numbers)
+            number = -len(self.several)
+        if len(piece) <= PIECE:
+            self[piece] = number
+        return number
+
+    def fresh(self) -> None:
+        """Forgets all pieces once they are too many."""
+        if len(self) > HELD_PIECES or len(self.several) > HELD_PIECES:
+            self.clear()
+            self.several = []
+
+
+def _term_vectors(pieces: _Pieces, numbers: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of terms of each text, and all terms (ascending within a text) and their counts."""
+    size = np.array([len(x) for x in numbers], np.int64)
+    flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(size.sum()))
+    of = np.repeat(np.arange(len(size)), size)
+    split = np.flatnonzero(flat < 0)
+    if len(split):
+        parts = [pieces.several[-1 - i] for i in flat[split].tolist()]
+        of = np.concatenate((np.delete(of, split), np.repeat(of[split], [len(x) for x in parts])))
+        flat = np.concatenate((np.delete(flat, split), np.fromiter(chain.from_iterable(parts), np.int64)))
+    key = np.concatenate([of[held > 0] * pieces.base + held[held > 0] for held in np.divmod(flat, pieces.base)])
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    of, terms = np.divmod(key[first], pieces.base)
+    return np.bincount(of, minlength=len(size)), (terms - 1).astype(np.int32), np.diff(first, append=len(key)).astype(np.int32)
+
+
+def _vectors(vocabulary: dict[str, int], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and counts of the terms of the vocabulary that a text holds, beside the columns before ``text``."""
+    pieces = _Pieces(vocabulary)
     for batch in batches:
-        terms, counts = [], []
-        for text in batch.text:
-            found = Counter(_WORD.findall(text.lower()))
-            numbers = [*map(words.get, found, none), *map(stems.get, [w[:STEM] for w in found], none)]  # a shorter word is no stem
-            held, which = np.unique(np.array(numbers, np.int32), return_inverse=True)
-            n = np.bincount(which, [*found.values()] * 2, len(held))
-            known = np.searchsorted(held, 0)
-            terms.append(held[known:])
-            counts.append(n[known:].astype(np.int32))
-        yield batch.drop(columns=["text"]).assign(terms=terms, counts=counts)
+        texts = batch.column("text")
+        at = 0
+        while at < len(texts):  # a few texts at a time, by their length
+            pieces.fresh()
+            numbers, held, begin = [], 0, at
+            while at < len(texts) and (held < PIECES_AT_ONCE or at == begin):
+                numbers.append(list(map(pieces.__getitem__, texts[at].as_py().split())))
+                held, at = held + len(numbers[-1]), at + 1
+            size, terms, counts = _term_vectors(pieces, numbers)
+            ends = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            part = batch.slice(begin, at - begin)
+            keep = [n for n in batch.schema.names if n != "text"]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + lists, names=[*keep, "terms", "counts"])
 
 
 def _document_counts(n_terms: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,10 +357,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     vocabulary = {r[0]: i for i, r in enumerate(counted)}
     factor = class_factor(*(np.array([r[i] for r in counted], float) for i in (1, 2)), n.get(0, 0), n.get(1, 0))
 
-    exact = rows.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), row_hash().alias("text_hash"), "text")
     words = spark.sparkContext.broadcast(vocabulary)
-    vectors = exact.mapInPandas(lambda it: _vectors(words.value, it), "doc_id decimal(20,0), text_hash long, terms array<int>, counts array<int>")
-    vectors = written(vectors.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "terms", "counts"), "toxicity-vectors")
+    vectors = rows.select("doc_id", row_hash().alias("text_hash"), "text").mapInArrow(lambda it: _vectors(words.value, it), "doc_id long, text_hash long, terms array<int>, counts array<int>")
+    vectors = written(vectors, "toxicity-vectors")
 
     total = vectors.count()
     summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(len(vocabulary), it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -304,19 +380,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
         voter = None
     shared = spark.sparkContext.broadcast(voter)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        ids = np.array(model.ids, np.int64) if model else None
         for batch in batches:
-            score, vote, evidence = [], [], []
-            for terms, counts in zip(batch.terms, batch.counts, strict=True):
-                s, raw, voters = model.score(np.asarray(terms, np.int64), np.asarray(counts, float)) if model else (0.0, 0.0, [])
-                score.append(min(max(s, 0.0), 1.0))
-                vote.append(raw)
-                evidence.append([{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for i, c in voters])
-            yield batch[["doc_id", "text_hash"]].assign(score=score, vote=vote, evidence=evidence)
-
-    exact = vectors.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), "text_hash", "terms", "counts")
-    scored = exact.mapInPandas(run, "doc_id decimal(20,0), text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
-    key = F.col("doc_id").cast("long")
-    held_out = F.coalesce(crc_mod(key, folds) == held_out_fold, F.lit(False))
-    return scored.select(key.alias("doc_id"), "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                terms, counts = part.column("terms"), part.column("counts")
+                size = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                if model:
+                    score, vote, n, voters, cosine = model.score(size, terms.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(float))
+                    who = [pa.array(ids[voters]), pa.array(model.labels[voters].astype(np.int32)), pa.array(cosine)]
+                else:
+                    score, vote, n = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part), np.int64)
+                    who = [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.float64())]
+                ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(who, ["doc_id", "toxic", "cosine"]))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(score), pa.array(vote), evidence], names=["doc_id", "text_hash", "score", "vote", "evidence"])
+
+    scored = vectors.mapInArrow(run, "doc_id long, text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    held_out = F.coalesce(crc_mod("doc_id", folds) == held_out_fold, F.lit(False))
+    return scored.select("doc_id", "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,29 @@ def test_equal_cosines_at_the_last_place():
         places, cosine = index.nearest(np.array([1]), np.array([1.0]), 7)
         assert places.tolist() == list(range(7)) and np.allclose(cosine, 0.8)
         assert index.nearest(np.array([2]), np.array([1.0]), 7)[0].size == 0
+
+
+def test_many_queries_at_once_equal_each_alone():
+    rng = np.random.default_rng(7)
+    vectors = [(np.sort(rng.choice(50, 6, replace=False)), rng.random(6)) for _ in range(90)]
+    index = toxicity.BlockMaxIndex(vectors[:70], 50, block=8, dense=0.2)
+    skip = np.where(np.arange(90) < 70, np.arange(90), -1)
+    n, rows, cosine = index.nearest_all(np.full(90, 6), *(np.concatenate([v[i] for v in vectors]) for i in (0, 1)), 5, skip)
+    ends = np.cumsum(n)
+    for i, (terms, weights) in enumerate(vectors):
+        want = np.round([sum(w * dict(zip(*v, strict=True)).get(t, 0.0) for t, w in zip(terms, weights, strict=True)) for v in vectors[:70]], 12)
+        want[[x for x in [skip[i]] if x >= 0]] = 0
+        got, alone = rows[ends[i] - n[i] : ends[i]], index.nearest(terms, weights, 5, int(skip[i]))[0]
+        assert got.tolist() == alone.tolist() and np.allclose(want[got], np.sort(want)[::-1][: len(got)]) and len(got) == min(5, (want > 0).sum())
+
+
+def test_pieces_of_a_text_give_the_terms_of_the_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECES_AT_ONCE", 3)
+    monkeypatch.setattr(toxicity, "HELD_PIECES", 4)
+    texts = ["Don't stop, (stopping) co_op co-op!", "", "\x85nbsp\xa0Here ΣΑΣ. Σ İstanbul ... ²x", "stop " * 9 + "a" * 100, "... !!"]
+    names = {t: i for i, t in enumerate(sorted({t for x in texts for t in toxicity.terms_of(x)}))}
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts})
+    found = pa.Table.from_batches(list(toxicity._vectors(names, [batch, batch.slice(2, 2)]))).to_pylist()
+    assert [r["doc_id"] for r in found] == [0, 1, 2, 3, 4, 2, 3]
+    for r in found:
+        assert dict(zip(r["terms"], r["counts"], strict=True)) == Counter(names[t] for t in toxicity.terms_of(texts[r["doc_id"]])) and r["terms"] == sorted(r["terms"])
