@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 CALLS = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:variant,depends_on:array<string>>>>"
 RESULT = "struct<tool_call_id:string,content:variant>"
+TOOLS = "struct<tools:array<struct<name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>>>>>"
 #: Tables that placed calls are kept in before they become one.
 PILES = 16
 #: Type names of schemas, and the pattern of the variant types they allow.
@@ -131,11 +132,27 @@ def _levels(calls: DataFrame) -> DataFrame:
     return placed.join(marked, keys, "left").select(*keys, "at.anchor", "at.level", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
+def tool_definitions(messages: DataFrame) -> DataFrame:
+    """(conv_id, tool, name, type, required): the parameters of the tools that system messages define.
+
+    Such a message is a JSON object with ``tools`` of ``name`` and
+    ``parameters``, which has ``properties`` (each with a ``type``) and
+    ``required``.  A tool without parameters has one row with a null name;
+    several definitions of a tool in a conversation count together.
+    """
+    text = F.col("text").cast("string")
+    told = messages.where((F.col("role") == "system") & F.ltrim(text).startswith("{") & text.contains('"tools"')).select("conv_id", F.explode(F.from_json(text, TOOLS)["tools"]).alias("t"))
+    told = told.where("t.name is not null").select("conv_id", F.col("t.name").alias("tool"), F.coalesce("t.parameters.properties", F.from_json(F.lit("{}"), "map<string,struct<type:string>>")).alias("known"), F.coalesce("t.parameters.required", F.array().cast("array<string>")).alias("needed"))
+    named = told.select("conv_id", "tool", "known", "needed", F.explode_outer(F.array_union(F.map_keys("known"), "needed")).alias("name"))
+    return named.select("conv_id", "tool", "name", F.element_at("known", F.col("name"))["type"].alias("type"), F.coalesce(F.array_contains("needed", F.col("name")), F.lit(False)).alias("required"))
+
+
 def format_chat(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """One row per message, call and result of ``messages``.
 
     ``schemas`` (tool, name, type, required) describes the tools' parameters;
-    calls of tools that it doesn't name are not checked.  Returns conv_id, turn,
+    calls of tools that it doesn't name are not checked; with a conv_id it
+    describes those of that conversation only.  Returns conv_id, turn,
     item (place within the turn), kind, role, call_id, anchor, level, status,
     violations and json.  Status: plain; linked, unanswered or cyclic (calls);
     linked, early (before its call) or orphan (results).  A call id that repeats
@@ -164,8 +181,11 @@ def format_chat(messages: DataFrame, schemas: DataFrame | None = None) -> DataFr
     joined = events.join(known, (F.col("conv_id") == F.col("k_conv")) & (F.col("call_id") == F.col("k_call")), "left")
 
     if schemas is not None:
-        tools = schemas.groupBy(F.col("tool").alias("t_name")).agg(F.collect_set(F.struct("name", "type", F.coalesce("required", F.lit(False)).alias("required"))).alias("parameters"))
-        joined = joined.join(tools, F.col("name") == F.col("t_name"), "left")
+        own_tools = "conv_id" in schemas.columns
+        tools = schemas.groupBy(F.col("tool").alias("t_name"), *[F.col("conv_id").alias("t_conv")] * own_tools)
+        tools = tools.agg(F.collect_set(F.when(F.col("name").isNotNull(), F.struct("name", "type", F.coalesce("required", F.lit(False)).alias("required")))).alias("parameters"))
+        of = F.col("name") == F.col("t_name")
+        joined = joined.join(small(tools), of & F.col("conv_id").eqNullSafe(F.col("t_conv")) if own_tools else of, "left")
         arguments = F.from_json(F.to_json("value"), "map<string,variant>")
         checked = F.when(F.col("parameters").isNotNull(), F.when(F.coalesce(F.schema_of_variant("value"), F.lit("VOID")).startswith("OBJECT"), _violations(arguments, F.col("parameters"))).otherwise(F.array(F.lit("arguments:not an object"))))
     else:

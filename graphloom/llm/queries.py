@@ -35,9 +35,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import format_chat
+    from .chat_format import format_chat, tool_definitions
 
-    return format_chat(table(spark, sf_dir, "conversations")).withColumn("violations", F.array_join("violations", ","))
+    messages = table(spark, sf_dir, "conversations")
+    tools = tool_definitions(messages)
+    return format_chat(messages, None if tools.isEmpty() else tools).withColumn("violations", F.array_join("violations", ","))
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

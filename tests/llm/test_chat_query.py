@@ -55,3 +55,15 @@ def test_calls_follow_what_they_need_and_are_checked(spark):
     order = [(r.kind, r.call_id) for r in sorted(found, key=lambda r: (r.anchor, r.level, r.turn, r.item)) if r.call_id]
     assert order == [("call", "a"), ("result", "a"), ("call", "b"), ("result", "b"), ("call", "c"), ("result", "c")]
     assert {r.call_id: list(r.violations) for r in found if r.kind == "call"} == {"a": ["missing:q"], "b": ["unknown:z"], "c": ["type:q"]}
+
+
+def test_the_query_checks_calls_by_the_tools_of_their_conversation(spark, tmp_path):
+    tools = json.dumps({"tools": [{"name": "find", "parameters": {"properties": {"q": {"type": "string"}, "n": {"type": "integer"}}, "required": ["q", "id"]}}, {"name": "stop"}]})
+    calls = call(("a", "find", {"q": 1, "id": 2}), ("b", "find", {"n": 1}), ("c", "stop", {}), ("d", "stop", {"now": True}), ("e", "other", {"x": 1}), ("f", "find", {"q": "x", "id": 1}), ("g", "find", 3))
+    rows = [(1, 0, "system", tools), (1, 1, "assistant", calls), (2, 0, "assistant", calls), (3, 0, "system", '{"tools": 1}'), (None, 0, "system", tools), (None, 1, "assistant", calls)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = queries.op3_chat_format(spark, str(tmp_path)).collect()
+    want = {"a": "type:q", "b": "missing:id,missing:q", "c": "", "d": "unknown:now", "e": "", "f": "", "g": "arguments:not an object"}
+    for conv in (1, None):
+        assert {r.call_id: r.violations for r in found if r.kind == "call" and r.conv_id == conv} == want
+    assert {r.violations for r in found if r.conv_id in (2, 3) or r.kind != "call"} == {""} and len(found) == 6 + 21
