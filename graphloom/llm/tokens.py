@@ -71,16 +71,23 @@ class WordEncoder(dict):
         if ids is None:
             stem = word.rstrip(_MARKS)
             if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST and _TWO_LOWER not in stem)):
-                ids = self._piece(stem.lower())
+                plain = stem.lower()  # most new words are known ones with a capital or a mark
+                ids = None if plain == word else self.get(plain) or self.older.get(plain)
+                if ids is None:
+                    ids = self._piece(plain)
+                    self.remember(plain, ids)
                 if len(stem) < len(word):
                     ids += self._marks(word[len(stem) :])
             else:
                 ids = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+        self.remember(word, ids)
+        return ids
+
+    def remember(self, word: str, ids: bytes) -> None:
         if len(self) >= self.words:
             self.older = dict(self)
             self.clear()
         self[word] = ids
-        return ids
 
     def encode(self, text: str | None) -> bytes:
         """All ids of a text as little-endian 16-bit integers (null: none)."""

@@ -140,3 +140,17 @@ def test_pieces_fill_sequences_without_gaps(spark, odd_docs):
     long = sorted(docs[22], key=lambda r: r.start)
     assert zlib.crc32(b"".join(r.ids for r in long)) in want and {r.doc_tokens for r in long} == {sum(r.length for r in long)}
     assert packing.pack_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_a_known_word_with_a_capital_or_a_mark_is_not_cut_again(monkeypatch):
+    from graphloom.llm import tokens
+
+    encoder = tokens.WordEncoder(tokens.default_vocabulary())
+    cut = []
+    monkeypatch.setattr(encoder, "_piece", lambda piece, real=encoder._piece: cut.append(piece) or real(piece))
+    whole = lambda text: b"".join(i.to_bytes(2, "little") for i in encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+    text = "Grumbling, grumbling GRUMBLING. grumbling Éclairs éclairs, Éclairs"
+    assert encoder.encode(text) == whole(text)
+    assert [x for x in cut if x.isalpha()] == ["grumbling", "éclairs"]
+    encoder.words = 1  # what is forgotten is cut once more, and right
+    assert encoder.encode(text * 3) == whole(text * 3)
