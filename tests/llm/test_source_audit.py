@@ -92,3 +92,11 @@ def test_shares_of_counts_beyond_64_bits(spark):
     n = 5 * 10**12
     row = spark.range(1).select(source_audit.billionths(F.lit(n), F.lit(3 * n), F.lit(7)).alias("p"), source_audit.billionths(F.lit(0), F.lit(0), F.lit(0)).alias("none")).first()
     assert row.p == 1 + 10**9 * (n + 1) // (3 * n + 7) and row.none is None
+
+
+def test_terms_are_counted_with_one_shuffle_and_cut_at_ascii_alone(spark, monkeypatch):
+    plan = source_audit.term_rows
+    monkeypatch.setattr(source_audit, "written", lambda df, name: df if name == "divergence-terms" else df.limit(0))
+    kept, _ = plan(spark.createDataFrame([(i, "Ab\xa0c\x85d ab3X_ é" + chr(0x1680), "xx", "s" + str(i % 2)) for i in range(4)], "doc_id long, text string, lang string, source string"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r.term, r.n_lang, tuple(r.sources), tuple(r.counts)) for r in kept.collect()} == {(t, 4, ("s0", "s1"), (2, 2)) for t in ("ab\xa0c\x85d", "ab", "x", " é ")}
