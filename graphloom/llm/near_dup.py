@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, text_or_empty, written
+from .common import row_hash, text_or_empty, tidy, written
 from .components import components
 
 #: Differing bits at which two fingerprints are linked, and words of a shingle.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield batch[["doc_id", "text_hash"]].assign(fp=bits)
 
     rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), text_or_empty().alias("text"), row_hash().alias("text_hash"))
-    return rows.mapInPandas(run, "doc_id decimal(20,0), text_hash long, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "fp")
+    return rows.mapInPandas(tidy(run), "doc_id decimal(20,0), text_hash long, fp long").select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "fp")
 
 
 def _ball(bits: int, radius: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, tidy, written
 from .tokens import default_vocabulary, encoder
 
 #: Parts that the pieces of one length are ranked in, so that no length is one task's work.
@@ -118,7 +118,7 @@ def pack_documents(docs: DataFrame, max_tokens: int = 2048, vocabulary: str | No
     spark, vocabulary = docs.sparkSession, vocabulary or default_vocabulary()
     # as decimals the ids reach Python as exact integers or None
     rows = docs.select(F.col("doc_id").cast("decimal(20,0)").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = written(rows.mapInPandas(lambda it: _pieces(vocabulary, end_id, max_tokens, it), PIECE_SCHEMA), "packing-pieces", "lz4")
+    pieces = written(rows.mapInPandas(tidy(lambda it: _pieces(vocabulary, end_id, max_tokens, it), "tokens"), PIECE_SCHEMA), "packing-pieces", "lz4")
 
     keys = pieces.select("uid", "doc_id", "start", "length").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(RANK_PARTS)).cast("int"))
     sizes = keys.groupBy("length", "part").agg(F.count("*").alias("n"))

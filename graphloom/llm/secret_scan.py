@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import text_or_empty, tidy, written
 
 # The strong patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -108,7 +108,7 @@ def scan_secrets(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     kept = rows.select(*names.values()).schema
     # whole numbers pass pandas as decimals, so that nulls leave them exact
     via = {f.name: "decimal(20,0)" if f.dataType.simpleString() in ("bigint", "int") else f.dataType.simpleString() for f in kept}
-    found = rows.select(*[F.col(n).cast(t).alias(n) for n, t in via.items()], "_text").mapInPandas(_parts, ", ".join([*(f"{n} {t}" for n, t in via.items()), "_uid long", f"_base {SPANS}", f"_loose {SPANS}"]))
+    found = rows.select(*[F.col(n).cast(t).alias(n) for n, t in via.items()], "_text").mapInPandas(tidy(_parts), ", ".join([*(f"{n} {t}" for n, t in via.items()), "_uid long", f"_base {SPANS}", f"_loose {SPANS}"]))
     found = found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in kept], "_uid", "_base", "_loose")
     parts = written(found, "secret-parts")
 

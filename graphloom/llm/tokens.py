@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 
+from .common import worker_memory
+
 #: Words in each of the two halves of a worker's memory.
 CACHE_WORDS = 300_000
 #: A plain word is letters up to this one, each with one lower case, and then marks that can't join
@@ -97,15 +99,13 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, words))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str, words: int | None = None) -> WordEncoder:
     """The encoder of this worker process for a vocabulary file, and how many words it holds from now on."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    _ENCODERS[path].words = words or CACHE_WORDS
-    return _ENCODERS[path]
+    held = worker_memory("tokens")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    held[path].words = words or CACHE_WORDS
+    return held[path]
 
 
 def default_vocabulary() -> str:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, row_hash, text_or_empty, written
+from .common import crc_mod, row_hash, text_or_empty, tidy, written
 
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 1024
@@ -297,6 +297,7 @@ def _term_vectors(pieces: _Pieces, numbers: list[list[int]]) -> tuple[np.ndarray
 def _vectors(vocabulary: dict[str, int], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Numbers and counts of the terms of the vocabulary that a text holds, beside the columns before ``text``."""
     pieces = _Pieces(vocabulary)
+    del vocabulary  # in its place ``pieces`` has the words and the stems
     for batch in batches:
         texts = batch.column("text")
         at = 0
@@ -314,14 +315,13 @@ def _vectors(vocabulary: dict[str, int], batches: Iterable[pa.RecordBatch]) -> I
             yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + lists, names=[*keep, "terms", "counts"])
 
 
-def _document_counts(n_terms: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _document_counts(n_terms: int, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that hold each term, summed within the task."""
     seen = np.zeros(n_terms, np.int64)
     for batch in batches:
-        if len(batch):
-            seen += np.bincount(np.concatenate(batch.terms.to_list()).astype(np.int64), minlength=n_terms)
+        seen += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=n_terms)
     held = np.flatnonzero(seen)
-    yield pd.DataFrame({"term": held, "n": seen[held]})
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(seen[held])], names=["term", "n"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_fold: int = 0, sample: int = SAMPLE) -> DataFrame:
@@ -342,28 +342,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_mod("doc_id", folds) != held_out_fold))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    picked = []
-    for label in (0, 1):
-        picked += [(r.doc_id, label) for r in usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    chosen = spark.createDataFrame(picked, "doc_id long, toxic int") if picked else spark.createDataFrame([], "doc_id long, toxic int")
+    benign, toxic = (usable.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for label in (0, 1))
+    chosen = written(benign.unionByName(toxic), "toxicity-chosen")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
     # the text of each example: of several with one doc_id, that of the least hash
     own = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(row_hash().alias("text_hash"), "text")).alias("v"))  # a bounded sample
     train = written(own.select("doc_id", "toxic", "v.text_hash", "v.text"), "toxicity-examples")
     n = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
-    counted = train.mapInPandas(_term_counts, "term string, benign long, toxic long").groupBy("term").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
+    counted = train.mapInPandas(tidy(_term_counts), "term string, benign long, toxic long").groupBy("term").agg(F.sum("benign").alias("benign"), F.sum("toxic").alias("toxic"))
     counted = sorted((r.term, r.benign, r.toxic) for r in counted.collect())  # terms of the sample
-    vocabulary = {r[0]: i for i, r in enumerate(counted)}
+    vocabulary, n_terms = [r[0] for r in counted], len(counted)
     factor = class_factor(*(np.array([r[i] for r in counted], float) for i in (1, 2)), n.get(0, 0), n.get(1, 0))
 
-    words = spark.sparkContext.broadcast(vocabulary)
-    vectors = rows.select("doc_id", row_hash().alias("text_hash"), "text").mapInArrow(lambda it: _vectors(words.value, it), "doc_id long, text_hash long, terms array<int>, counts array<int>")
+    words = spark.sparkContext.broadcast("\n".join(vocabulary))  # as one text, which takes the least memory of workers
+    vectors = rows.select("doc_id", row_hash().alias("text_hash"), "text").mapInArrow(tidy(lambda it: _vectors({t: i for i, t in enumerate(words.value.splitlines())}, it)), "doc_id long, text_hash long, terms array<int>, counts array<int>")
     vectors = written(vectors, "toxicity-vectors")
 
     total = vectors.count()
-    summed = vectors.select("terms").mapInPandas(lambda it: _document_counts(len(vocabulary), it), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    seen = np.zeros(len(vocabulary))
+    summed = written(vectors.select("terms").mapInArrow(tidy(lambda it: _document_counts(n_terms, it)), "term int, n long"), "toxicity-frequencies").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = np.zeros(n_terms)
     for r in summed.collect():  # a row per term of the sample
         seen[r.term] = r.n
     power = (np.log((1 + total) / (1 + seen)) + 1) * factor
@@ -398,6 +396,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out_
                 evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(who, ["doc_id", "toxic", "cosine"]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(score), pa.array(vote), evidence], names=["doc_id", "text_hash", "score", "vote", "evidence"])
 
-    scored = vectors.mapInArrow(run, "doc_id long, text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
+    scored = vectors.mapInArrow(tidy(run), "doc_id long, text_hash long, score double, vote double, evidence array<struct<doc_id:bigint,toxic:int,cosine:double>>")
     held_out = F.coalesce(crc_mod("doc_id", folds) == held_out_fold, F.lit(False))
     return scored.select("doc_id", "text_hash", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "vote", "evidence")

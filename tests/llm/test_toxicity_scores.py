@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import weakref
 import zlib
 from collections import Counter
 
@@ -12,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import queries, toxicity
+from graphloom.llm import queries, tokens, toxicity
+from graphloom.llm.common import tidy
 
 SF = "/root/testdata/sf0.01"
 
@@ -153,3 +155,12 @@ def test_pieces_of_a_text_give_the_terms_of_the_whole(monkeypatch):
     assert [r["doc_id"] for r in found] == [0, 1, 2, 3, 4, 2, 3]
     for r in found:
         assert dict(zip(r["terms"], r["counts"], strict=True)) == Counter(names[t] for t in toxicity.terms_of(texts[r["doc_id"]])) and r["terms"] == sorted(r["terms"])
+
+
+def test_a_task_drops_what_other_operators_left_in_its_worker():
+    left = weakref.ref(tokens.encoder(tokens.default_vocabulary(), 10))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["stop it"]})
+    (found,) = tidy(lambda it: toxicity._vectors({"it": 0, "stop": 1}, it))([batch])
+    assert found.column("terms").to_pylist() == [[0, 1]] and left() is None
+    kept = tokens.encoder(tokens.default_vocabulary())
+    assert list(tidy(lambda it: it, "tokens")([1])) == [1] and tokens.encoder(tokens.default_vocabulary()) is kept
