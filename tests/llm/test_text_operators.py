@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import ann, chat_format, components, decontaminate, html_extract, lm_score, near_dup, secret_scan, toxicity
+from graphloom.llm.common import written
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TEXTS = [None, "", "  \n", "One", "One two THREE four five six seven", "one two three four five six seven", "Été été x y", "a " * 3000, "a " * 3000, "lorem ipsum dolor sit amet " * 40 + "end"]
@@ -413,3 +415,17 @@ def test_long_chains_and_real_circles(spark):
     assert {r.call_id for r in found if r.status == "cyclic"} == {"p", "q", "x", "y", "z"}
     assert [at[f"c{i:02}"] for i in range(40)] == [(0, 79 - 2 * i) for i in range(40)]
     assert at["first"] < at["z"] and at["x"] < at["mid"] < at["p"] and at["q"] < at["end"]
+
+
+def test_shuffle_files_of_a_written_table_go_at_once(spark, docs):
+    """Those of the language model's exchanges would add up on the disk."""
+    held = docs.select(F.col("doc_id").alias("k")).repartition(3, "k")
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {str(b) for b in manager.getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    before, setting = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(setting)
+    table = written(held, "shuffled")
+    ends = time.time() + 10
+    while shuffles() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == docs.count() and spark.conf.get(setting) == was
