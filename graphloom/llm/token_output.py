@@ -36,11 +36,11 @@ from .tokens import default_vocabulary, encoder
 MAGIC, VERSION = b"GLTB", 2
 HEAD = struct.Struct("<4sHHIII")
 #: Ids after which a block is closed at the next end of a document.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 22
 #: Bytes of text for which a file is written.
 FILE_BYTES = 1 << 24
-#: Most lanes of a block, and the ids a lane has at least.
-LANES, LANE_IDS = 4096, 256
+#: Most lanes of a block, and the ids a lane has at least.  Wide steps cost less: more of each is arithmetic.
+LANES, LANE_IDS = 16384, 256
 #: Total weight of the order-0 counts, and the most steps between renewals of the weights.
 BASE, RENEW = 1 << 20, 64
 #: Levels of confidence in a point prediction, and bits of the hash of two ids.
@@ -111,14 +111,20 @@ class _Model:
             width += mass * right
         return start, width
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The id in whose interval a value lies: a guess, or that of the order-0 slot."""
-        starts, widths = zip(*(self.interval(guess) for guess in self.guess), strict=True)
-        past = [value >= start + width for start, width in zip(starts, widths, strict=True)]
-        ids = self.slots.take(value - self.mass[0] * past[0] - self.mass[1] * past[1], mode="clip").astype(np.int32)
-        for guess, start, after in zip(self.guess, starts, past, strict=True):
-            np.copyto(ids, guess, where=(value >= start) > after)
-        return ids
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose intervals the values lie, each a guess or that of the order-0 slot, and their intervals."""
+        (a, b), (mass_a, mass_b) = self.guess, self.mass
+        same = a == b
+        start_a, start_b = self.cum.take(a, mode="clip") + mass_b * (b < a), self.cum.take(b, mode="clip") + mass_a * (a < b)
+        past_a = value >= start_a + self.freq.take(a, mode="clip") + mass_a + mass_b * same
+        past_b = value >= start_b + self.freq.take(b, mode="clip") + mass_b + mass_a * same
+        before = mass_a * past_a + mass_b * past_b  # of the guesses below the id
+        ids = self.slots.take(value - before, mode="clip").astype(np.int32)
+        in_a, in_b = (value >= start_a) > past_a, (value >= start_b) > past_b
+        np.copyto(ids, a, where=in_a)
+        np.copyto(ids, b, where=in_b)
+        self.right = [in_a.astype(np.int32), in_b.astype(np.int32)]
+        return ids, self.cum.take(ids, mode="clip") + before, self.freq.take(ids, mode="clip") + mass_a * self.right[0] + mass_b * self.right[1]
 
     def update(self, ids: np.ndarray) -> None:
         for k in (0, 1):
@@ -131,9 +137,9 @@ class _Model:
         self.recent.append(ids)
 
 
-def _lanes(n: int) -> tuple[int, int, np.ndarray]:
-    """Lanes, steps and where each lane's run of consecutive ids begins."""
-    lanes = max(1, min(LANES, n // LANE_IDS))
+def _lanes(n: int, lanes: int = 0) -> tuple[int, int, np.ndarray]:
+    """Lanes (as many as suit ``n`` ids, if not given), steps and where each lane's run of consecutive ids begins."""
+    lanes = lanes or max(1, min(LANES, n // LANE_IDS))
     steps = -(-n // lanes)
     lengths = np.full(lanes, steps)
     lengths[n - lanes * (steps - 1) :] -= 1  # the last lanes have one id less
@@ -184,10 +190,11 @@ def encode_ids(ids: np.ndarray) -> bytes:
     return np.bincount(owner, minlength=lanes).astype("<u4").tobytes() + np.concatenate(words)[np.argsort(owner, kind="stable")].tobytes()
 
 
-def decode_ids(data: bytes, n: int) -> np.ndarray:
+def decode_ids(data: bytes, n: int, lanes: int = 0) -> np.ndarray:
+    """The ids again; ``lanes`` is how many they were written in, if not what suits ``n`` ids now."""
     if not n:
         return np.zeros(0, "<u2")
-    lanes, steps, begin = _lanes(n)
+    lanes, steps, begin = _lanes(n, lanes)
     fill = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate((np.frombuffer(data, "<u4", offset=4 * lanes), np.zeros(2, "<u4"))).astype(np.uint64)
     at = np.cumsum(fill) - fill
@@ -202,8 +209,7 @@ def decode_ids(data: bytes, n: int) -> np.ndarray:
         model.predict(m)
         unit = width[:m] // model.total.astype(np.uint64)
         value = np.minimum((code[:m] - low[:m]) // unit, (model.total - 1).astype(np.uint64)).astype(np.int32)
-        now = model.find(value)
-        start, size = model.interval(now)
+        now, start, size = model.find(value)
         tight = _narrow(low, width, m, unit, start, size)
         if len(tight):
             _shifted(low, width, tight)
@@ -226,14 +232,14 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     """Document ids, lengths and ids of a block; raises ValueError on damage."""
     if len(block) < HEAD.size + 4 or zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("token block: wrong checksum")
-    magic, version, _, n_docs, n_ids, size = HEAD.unpack_from(block)
+    magic, version, lanes, n_docs, n_ids, size = HEAD.unpack_from(block)
     if (magic, version) != (MAGIC, VERSION):
         raise ValueError("token block: unknown format")
     docs = zlib.decompress(block[HEAD.size : HEAD.size + size])
     doc_ids = np.frombuffer(docs, "<i8", n_docs).tolist()
     missing = np.frombuffer(docs, "u1", n_docs, 8 * n_docs)
     lengths = np.frombuffer(docs, "<u4", n_docs, 9 * n_docs).astype(np.int64)
-    return [None if m else d for d, m in zip(doc_ids, missing, strict=True)], lengths, decode_ids(block[HEAD.size + size : -4], n_ids)
+    return [None if m else d for d, m in zip(doc_ids, missing, strict=True)], lengths, decode_ids(block[HEAD.size + size : -4], n_ids, lanes)
 
 
 def _write_blocks(vocabulary: str, end_id: int, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,26 +2,28 @@
 
 A tokenizer of the word kind drops white space and never merges across it, so
 the ids of a text are the ids of its blank-separated words, one after another.
-A worker remembers the ids of the words it has met; only a new word reaches the
-tokenizers library.  The memory is bounded.
+It also lower-cases, so texts are lower-cased before they are cut into words
+wherever that can't change what the tokenizer sees.  A worker remembers the ids
+of the words it has met; only a new word reaches the tokenizers library.  The
+memory is bounded.
 Nothing is approximated - ``tests/llm/test_tokens_packing.py`` holds the ids
 against whole-text encoding by the library, for words of all of Unicode.
 """
 
 from __future__ import annotations
 
-import re
+import numpy as np
 
 from .common import worker_memory
 
 #: Words in each of the two halves of a worker's memory.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: A plain word is letters up to this one, each with one lower case, and then marks that can't join
 #: a letter.  Every other word is left to the library whole.
-_LAST, _TWO_LOWER, _MARKS = "\u017f", "\u0130", "!\"#$%&()*+,-./:;=?@[]^`{}~"
-#: Blanks that Python's split() and the tokenizer's pattern may see differently.
-_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_ASCII_BLANK = re.compile("[\x20\x09-\x0d]+")
+_LAST, _TWO_LOWER, _MARKS = "\u017f", "\u0130", b"!\"#$%&()*+,-./:;=?@[]^`{}~"
+#: Lower case of A-Z, and the least first byte of UTF-8 from U+0300 on: a mark may join the small letter before it
+#: and not the capital one.
+_LOWER, _JOINING = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"), 0xCC
 
 
 def _byte_letters() -> list[str]:
@@ -36,7 +38,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder(dict):
-    """Maps a word to the little-endian 16-bit ids of its pieces, as bytes.
+    """Maps a word, in UTF-8, to the little-endian 16-bit ids of its pieces, as bytes.
 
     New words go into this dictionary; when it is full it becomes the older
     half of the memory, from which words that are met again come back.
@@ -53,39 +55,44 @@ class WordEncoder(dict):
         self.tokenize = self.tokenizer.model.tokenize
         self.id_bytes = [i.to_bytes(2, "little") for i in range(size)]
         self.letters = dict(zip(range(256), _byte_letters(), strict=True))
-        self.marks: dict[str, bytes] = {}  # runs of punctuation
+        # these are found in a text as it stands, before it is lower-cased
+        self.added = [t.content.encode().translate(_LOWER) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks: dict[bytes, bytes] = {}  # runs of punctuation
         self.words = CACHE_WORDS
-        self.older: dict[str, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.id_bytes[t.id] for t in self.tokenize(spelled)])
 
-    def _marks(self, run: str) -> bytes:
+    def _marks(self, run: bytes) -> bytes:
         if run not in self.marks:
             if len(self.marks) >= self.words:
                 self.marks.clear()
-            self.marks[run] = self._piece(run)
+            self.marks[run] = self._piece(run.decode())
         return self.marks[run]
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            stem = word.rstrip(_MARKS)
-            if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST and _TWO_LOWER not in stem)):
-                plain = stem.lower()  # most new words are known ones with a capital or a mark
+            stem, plain = word.rstrip(_MARKS), None
+            if stem.isalpha():  # letters of ASCII only
+                plain = stem.lower()
+            elif (letters := stem.decode()).isalpha() and max(letters) <= _LAST and _TWO_LOWER not in letters:
+                plain = letters.lower().encode()
+            if plain is None:
+                ids = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word.decode(), add_special_tokens=False).ids])
+            else:  # most new words are known ones with a capital or a mark
                 ids = None if plain == word else self.get(plain) or self.older.get(plain)
                 if ids is None:
-                    ids = self._piece(plain)
+                    ids = self._piece(plain.decode())
                     self.remember(plain, ids)
                 if len(stem) < len(word):
                     ids += self._marks(word[len(stem) :])
-            else:
-                ids = b"".join([self.id_bytes[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         self.remember(word, ids)
         return ids
 
-    def remember(self, word: str, ids: bytes) -> None:
+    def remember(self, word: bytes, ids: bytes) -> None:
         if len(self) >= self.words:
             self.older = dict(self)
             self.clear()
@@ -95,8 +102,12 @@ class WordEncoder(dict):
         """All ids of a text as little-endian 16-bit integers (null: none)."""
         if not text:
             return b""
-        words = text.split() if not _ODD_BLANK.search(text) else [w for w in _ASCII_BLANK.split(text) if w]
-        return b"".join(map(self.__getitem__, words))
+        raw = text.encode()
+        if raw.isascii() or np.frombuffer(raw, np.uint8).max() < _JOINING:
+            lower = raw.translate(_LOWER)
+            if not any(token in lower for token in self.added):
+                raw = lower
+        return b"".join(map(self.__getitem__, raw.split()))  # bytes are split at blanks of ASCII only
 
 
 def encoder(path: str, words: int | None = None) -> WordEncoder:

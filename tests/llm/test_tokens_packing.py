@@ -154,3 +154,23 @@ def test_a_known_word_with_a_capital_or_a_mark_is_not_cut_again(monkeypatch):
     assert [x for x in cut if x.isalpha()] == ["grumbling", "éclairs"]
     encoder.words = 1  # what is forgotten is cut once more, and right
     assert encoder.encode(text * 3) == whole(text * 3)
+
+
+def test_words_of_any_case_are_remembered_once_and_right():
+    """Texts are lower-cased first, but not where a mark joins the small letter alone or a special token would arise."""
+    from graphloom.llm import tokens
+
+    enc = tokens.WordEncoder(default_vocabulary())
+    enc.encode("Grumbling GRUMBLING, grumbling gRumbling,")
+    assert len(enc) == 2  # the word, and the word with its mark
+    texts = ["J\u030cA J\u030c AJ\u030c H\u0331 I\u0307 A\u0301", "<|ENDOFTEXT|> Ab<|EndOfText|>C <|endoftext|>D", "ÉÈÀ Ÿ\u017dŠ Ǆ I'LL Don'T X\u02b0Y", "\x1cA\x85B\xa0C"]
+    for text in [*texts, " ".join(texts)]:
+        assert np.frombuffer(enc.encode(text), "<u2").tolist() == library_ids(text)
+
+
+def test_blocks_written_in_other_lanes_are_read(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 49000, 9000).astype("<u2")
+    monkeypatch.setattr(token_output, "LANES", 7)
+    block = token_output.pack_block([1], [9000], ids)
+    monkeypatch.setattr(token_output, "LANES", 16384)
+    assert np.array_equal(token_output.unpack_block(block)[2], ids)
