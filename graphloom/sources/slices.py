@@ -9,8 +9,9 @@ last one is put together with the neighbouring ranges' by (file, statement).
 A range may start inside a long string.  The pass takes it that it doesn't, and
 notes for every way to start how the range ends; from these notes, a row per
 range, follows how each really starts, and the few that were taken wrongly are
-read again.  Prefixes and the open graph before each piece come from a window
-over rows without text.  Then every piece is read on its own.
+read again.  Prefixes, the base and the open graph before each piece come from
+one walk over the file's pieces without their text, which carries on only what
+is in force.  Then every piece is read on its own.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.iri import resolve_one
 from ..storage import written
 
 #: Characters after which a piece is closed at the next end of a statement, and that are looked at together.
 PIECE_CHARS, FEED_CHARS = 1 << 19, 1 << 16
-#: Rows of states up to which they are broadcast to the pieces.
-SMALL_STATES = 100_000
+#: Rows and characters of states up to which they are broadcast to the pieces.
+SMALL_STATES, SMALL_CHARS = 100_000, 1 << 25
 
 _TOKEN = re.compile(
     r"""(?P<long>\"\"\"|''')
@@ -47,7 +49,11 @@ _LABEL = re.compile(r"(?:^|[\s.}])(<[^<>\s]*>|\[\s*\]|_:[^\s<>\"{}]*[^\s<>\"{}.]
 _CLOSE = {1: re.compile(r'(?:[^"\\]|\\.|"(?!""))*?"""', re.DOTALL), 2: re.compile(r"(?:[^'\\]|\\.|'(?!''))*?'''", re.DOTALL)}
 _LAST = re.compile(r"(?:\s|\#[^\n\r]*(?:[\n\r]|$))*$")
 
+_ABSOLUTE = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*:")
+_PLAIN = re.compile(_ABSOLUTE.pattern + r"[^\x00-\x20<>\"{}|^`\\]*")
+
 PIECE = "doc string, block long, piece int, kind string, text string, directives array<string>, graph string, opened int, ends array<int>"
+STATE = "doc string, block long, piece int, preamble string, graph_at string, ends_open boolean"
 
 
 @dataclass
@@ -138,8 +144,63 @@ class Scanner:
         yield "tail", self.piece(len(self.text))
 
 
+def _in_force(directives: list[str]) -> list[str]:
+    """Those that still count behind them all, in order: the last of each prefix, the last base, and bases that these are relative to."""
+    out, names, relative = [], set(), True
+    for directive in reversed(directives):
+        name, _, iri = directive.partition("<")
+        if name == "@base ":
+            keep = relative
+            relative = relative and not _ABSOLUTE.match(iri)
+        else:
+            keep = name not in names
+            relative = relative or keep and not _ABSOLUTE.match(iri)
+            names.add(name)
+        if keep:
+            out.append(directive)
+    return out[::-1]
+
+
+def _resolved(directives: list[str], base: str | None) -> list[str]:
+    """The same, in force and with whole IRIs, so that what is relative to a base doesn't pile up; one that can't be resolved stays."""
+    out = []
+    for directive in directives:
+        name, _, iri = directive[:-3].partition("<")
+        try:
+            whole = resolve_one(iri, base) if "\\" not in iri else ""
+        except ValueError:
+            whole = ""
+        if not _PLAIN.fullmatch(whole):
+            whole = ""
+        if name == "@base ":
+            base = whole or None
+        out.append(f"{name}<{whole or iri}> .")
+    return _in_force(out)
+
+
+def _carried(batches: Iterable[pd.DataFrame], base: str | None) -> Iterator[pd.DataFrame]:
+    """What is in force before each piece, from the pieces of each file in order, without their text."""
+    now, start, said, preamble, open_at = None, None, [], "", None
+    for batch in batches:
+        out = []
+        for doc, block, piece, directives, graph, opened in batch[["doc", "block", "piece", "directives", "graph", "opened"]].itertuples(index=False, name=None):
+            if doc != now:
+                start = base or doc
+                now, start, said, preamble, open_at = doc, start if "://" in start else base, [], "\n", None
+            label = open_at[0] if open_at else "}"
+            within = f"{open_at[1]}-{open_at[2]}.g{open_at[3]}" if label.startswith("{[") else None
+            before = preamble + (f"{label[1:]} {{\n" if label.startswith("{") else "")
+            if graph is not None:
+                open_at = graph, block, piece, opened
+            out.append((doc, block, piece, before, within, bool(open_at) and open_at[0].startswith("{")))
+            if len(directives):
+                said = _resolved([*said, *directives], start)
+                preamble = "".join(f"{d}\n" for d in said)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
+
+
 def _row(doc: str, block: int, number: int, kind: str, piece: Piece) -> tuple:
-    return doc, block, number, kind, piece.text, piece.directives, piece.graph, piece.opened, None
+    return doc, block, number, kind, piece.text, _in_force(piece.directives), piece.graph, piece.opened, None
 
 
 def _scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,13 +269,15 @@ def _rescan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECE.split(", ")])
 
 
-def pieces(lines: DataFrame) -> DataFrame:
+def pieces(lines: DataFrame, base: str | None = None) -> DataFrame:
     """(doc, block, piece, text, preamble, graph_at, ends_open) of lines (doc, block, line), whose order within a range is that of the rows.
 
     ``preamble`` has the directives in force and the opening of the graph in
     which a piece starts; ``graph_at`` names that opening where the graph is a
     blank node without a label; ``ends_open`` tells whether the graph is still
-    open behind the piece.
+    open behind the piece.  Of directives only those in force are carried on,
+    however often a file repeats or changes them; ``base`` (or the file) is
+    what the first ones are relative to.
     """
     at = ["doc", "block", "piece"]
     lines = lines.select("doc", F.col("block").cast("long").alias("block"), F.lit(0).alias("mode"), F.coalesce("line", F.lit("")).alias("line"))
@@ -235,24 +298,11 @@ def pieces(lines: DataFrame) -> DataFrame:
     whole = whole.select("doc", F.col("parts")[0]["block"].alias("block"), F.col("parts")[0]["piece"].alias("piece"), F.array_join(F.col("parts.text"), "").alias("text"))
     body = written(found.where("kind = 'body'").unionByName(whole.mapInPandas(_rescan, PIECE)), "slices-whole")
 
-    graph = F.when(F.col("graph").isNotNull(), F.struct("graph", "block", "piece", "opened"))
-    state = body.select(*at, graph.alias("own"), F.last(graph, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
-    # directives that change something: a prefix that is declared again with the same IRI doesn't
-    said = body.select(*at, F.posexplode("directives").alias("n", "directive")).withColumn("name", F.regexp_extract("directive", "^@[^<]*", 0))
-    before = Window.partitionBy("doc").orderBy("block", "piece", "n")
-    based = said.withColumn("bases", F.count(F.when(F.col("name").startswith("@base"), 1)).over(before))
-    same = F.lag("directive").over(Window.partitionBy("doc", "name").orderBy("block", "piece", "n")).eqNullSafe(F.col("directive")) & F.lag("bases").over(Window.partitionBy("doc", "name").orderBy("block", "piece", "n")).eqNullSafe(F.col("bases"))
-    changes = based.where(~F.col("name").startswith("@base")).withColumn("same", same).where("not same").drop("same").unionByName(based.where(F.col("name").startswith("@base")))
-    per_doc = changes.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("block", "piece", "n", "directive"))).alias("changes"))
-    per_doc = written(per_doc, "slices-directives")
-    states = written(state, "slices-states")
-    states = F.broadcast(states) if states.count() <= SMALL_STATES else states
-    small = per_doc.agg(F.sum(F.size("changes"))).first()[0] or 0
-    joined = body.select(*at, "text").join(states, at).join(F.broadcast(per_doc) if small <= SMALL_STATES else per_doc, "doc", "left")
-    mine = F.filter("changes", lambda c: (c["block"] < F.col("block")) | ((c["block"] == F.col("block")) & (c["piece"] < F.col("piece"))))
-    opened = F.when(F.col("open.graph").startswith("{"), F.concat(F.expr("substring(open.graph, 2)"), F.lit(" {\n"))).otherwise("")
-    preamble = F.concat(F.coalesce(F.array_join(F.transform(mine, lambda c: c["directive"]), "\n"), F.lit("")), F.lit("\n"), opened)
-    return joined.select(*at, "text", preamble.alias("preamble"), F.when(F.col("open.graph").startswith("{["), F.format_string("%d-%d.g%d", "open.block", "open.piece", "open.opened")).alias("graph_at"), F.coalesce(F.coalesce(F.col("own.graph"), F.col("open.graph")).startswith("{"), F.lit(False)).alias("ends_open"))
+    dealt = body.select(*at, "directives", "graph", "opened").repartition("doc").sortWithinPartitions(*at)
+    states = written(dealt.mapInPandas(lambda batches: _carried(batches, base), STATE), "slices-states")
+    size = states.agg(F.count("*"), F.sum(F.length("preamble"))).first()
+    states = F.broadcast(states) if size[0] <= SMALL_STATES and (size[1] or 0) <= SMALL_CHARS else states
+    return body.select(*at, "text").join(states, at)
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -135,3 +135,31 @@ def test_depth_is_counted():
     assert len(turtle.parse(deep(turtle.DEPTH))) == turtle.DEPTH + 1
     with pytest.raises(ValueError, match="brackets"):
         turtle.parse(deep(turtle.DEPTH + 1))
+
+
+def test_only_directives_in_force_are_carried_on(spark, tmp_path, monkeypatch):
+    """A file that declares its base and prefixes again and again, as it is or in turn: each piece gets them once (turtle_files)."""
+    one = "@prefix e: <http://e/{0}> . @base <http://b/{0}/> .\nPREFIX f: <f#>\n@base <sub/> .\n<x{1}> e:p f:y .\n"
+    text = "".join(one.format(i % 3, i) for i in range(400))
+    (tmp_path / "a.ttl").write_text(text)
+    old = slices._scan
+
+    def small(batches):  # the workers' own constants
+        slices.PIECE_CHARS, slices.FEED_CHARS = 300, 70
+        slices.Scanner.__init__.__defaults__ = (0, 300, True)
+        return old(batches)
+
+    monkeypatch.setattr(slices, "_scan", small)
+    pieces = slices.pieces(slices.file_lines(spark, str(tmp_path))).select("preamble").collect()
+    assert len(pieces) > 50 and max(len(p.preamble) for p in pieces) < 150
+    found = turtle.read(spark, str(tmp_path)).select("s", "p", "o").collect()
+    assert sorted(map(tuple, found)) == sorted((r[3], r[4], r[6]) for r in turtle.parse(text)) and len(found) == 400
+
+
+def test_directives_in_force():
+    said = ["@prefix e: <http://e/> .", "@base <http://b/> .", "@prefix f: <f#> .", "@base <sub/> .", "@prefix e: <http://e/> .", "@base <sub/> ."]
+    assert slices._in_force(said) == said[1:]
+    assert slices._in_force([*said, "@base <http://c/> ."]) == [said[1], said[2], said[4], "@base <http://c/> ."]
+    assert slices._resolved(said, "file:///d") == ["@prefix f: <http://b/f#> .", "@prefix e: <http://e/> .", "@base <http://b/sub/sub/> ."]
+    odd = ["@base <a b/> .", "@prefix f: <\\u0066#> .", "@base <x> ."]  # faults and escapes are left to the parser
+    assert slices._resolved(odd, "file:///d") == odd
